@@ -272,10 +272,8 @@ def links(
     rows = nodes.select("id", "fp").filter("fp is not null").mapInArrow(_expander(masks), layout)
     ready = None
     while True:
-        counted = rows.groupBy("sig").agg(
-            F.count("*").alias("n"), F.min(F.struct("fp", "id")).alias("lo"), F.max(F.struct("fp", "id")).alias("hi"), F.bit_and("mask").alias("m")
-        )
-        counted = counted.filter(f"n > 2 or (n = 2 and bit_count(lo.fp ^ hi.fp) <= {k})").select("sig", "n", F.expr("bit_count(m)").alias("fixed"))
+        counted = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_and("mask").alias("m"))
+        counted = counted.filter(f"n > 2 or (n = 2 and bit_count(lo ^ hi) <= {k})").select("sig", "n", F.expr("bit_count(m)").alias("fixed"))
         members = stored(rows.join(counted, "sig"), "buckets")
         small = members.filter(F.col("n") <= cap).select("sig", "id", "fp")
         ready = small if ready is None else ready.unionByName(small)

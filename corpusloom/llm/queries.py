@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash
+from . import bpe, langid, line_dedup, lm, packing, quality, simhash, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +15,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_docs(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(_docs(spark, sf_dir))
 
@@ -23,6 +35,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(_docs(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scoring(_docs(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
@@ -31,6 +47,15 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encoding(_docs(spark, sf_dir))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
+
 OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS w, string_split(t, chr(10)) AS l FROM d),
@@ -59,8 +84,8 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op6_simhash_near_dedup, op9_quality_rules, op10_bpe_encoding)}
+    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_line_dedup, op5_packing, op6_simhash_near_dedup, op7_lm_scoring, op9_quality_rules, op10_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_quality_rules": OP9_SQL}
