@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, lm, packing, quality, simhash, warc
+from . import audio, bpe, langid, license_scan, line_dedup, lm, packing, quality, simhash, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_docs(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
@@ -39,6 +43,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scoring(_docs(spark, sf_dir))
 
 
+def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
@@ -84,7 +92,11 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_line_dedup, op5_packing, op6_simhash_near_dedup, op7_lm_scoring, op9_quality_rules, op10_bpe_encoding)}
+    own = (
+        op1_warc, op2_license_scan, op3_language_id, op4_line_dedup, op5_packing,
+        op6_simhash_near_dedup, op7_lm_scoring, op8_media_fingerprints, op9_quality_rules, op10_bpe_encoding,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
