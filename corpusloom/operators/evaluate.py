@@ -134,13 +134,12 @@ def overlap_scores(df: DataFrame, prediction: str = "predict", label: str = "lab
     """bleu_4, rouge_1, rouge_2, rouge_l of every row; ``segment`` turns a text into words joined by spaces."""
     words = segment or (lambda t: t)
 
-    def score(batches):
-        for p, t in batches:
-            rows = [(bleu4(a or "", b or ""), *rouge(words(a or ""), words(b or ""))) for a, b in zip(p, t, strict=True)]
-            yield pd.DataFrame(rows, columns=["bleu_4", "rouge_1", "rouge_2", "rouge_l"])
+    @F.pandas_udf("bleu_4 double, rouge_1 double, rouge_2 double, rouge_l double")
+    def score(predicted: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        rows = [(bleu4(a or "", b or ""), *rouge(words(a or ""), words(b or ""))) for a, b in zip(predicted, labels, strict=True)]
+        return pd.DataFrame(rows, columns=["bleu_4", "rouge_1", "rouge_2", "rouge_l"])
 
-    udf = F.pandas_udf(score, "bleu_4 double, rouge_1 double, rouge_2 double, rouge_l double", functionType=F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn("__s", udf(prediction, label)).select(*df.columns, "__s.*")
+    return df.withColumn("__s", score(prediction, label)).select(*df.columns, "__s.*")
 
 
 def macro_mean(df: DataFrame, *columns: str) -> DataFrame:
