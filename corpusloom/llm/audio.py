@@ -145,14 +145,15 @@ def align(query: list[np.ndarray], found: list[np.ndarray], min_votes: int = MIN
     return out
 
 
-def fingerprints(rows: DataFrame, id_col: str, audio_col: str) -> DataFrame:
-    """id, ints (packed binary, little-endian unsigned 32-bit), digest of every row."""
+def fingerprints(rows: DataFrame, id_col: str, audio_col: str, reader=None) -> DataFrame:
+    """id, ints (packed binary, little-endian unsigned 32-bit), digest of every row; ``reader`` makes WAV bytes of other values."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                packed = [fingerprint(x).astype("<u4").tobytes() for x in part.column(1).to_pylist()]
+                sounds = map(reader, part.column(1).to_pylist()) if reader else part.column(1).to_pylist()
+                packed = [fingerprint(x).astype("<u4").tobytes() for x in sounds]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, type=pa.binary()), pa.array([sha1(x).hexdigest() for x in packed])], names=["id", "ints", "digest"])
 
     kind = dict(rows.dtypes)[id_col]
@@ -173,12 +174,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "ints").mapInArrow(run, f"ids array<{kind}>, ints array<binary>")
 
 
-def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int = BLOCK) -> DataFrame:
+def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int = BLOCK, reader=None) -> DataFrame:
     """A row per recording: id, n_ints, class_id, and its best match among the queries of other classes: match_id, offset, bit_error, votes.
 
     ``is_query`` is a condition on the column id. Queries are a stated set, compared with all classes in blocks.
     """
-    prints = stored(fingerprints(rows, id_col, audio_col), "audio")
+    prints = stored(fingerprints(rows, id_col, audio_col, reader), "audio")
     classes = stored(prints.filter("length(ints) > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min(F.when(is_query, F.col("id"))).alias("query"), F.first("ints").alias("ints")), "classes")
     kind = dict(prints.dtypes)["id"]
     every = _blocks(classes, block)
@@ -208,35 +209,23 @@ def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int =
     )
 
 
-def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: int = 1000) -> DataFrame:
-    """id, audio: each vector as a WAV melody, one note a coefficient; null where the vector is null. For tables without audio."""
-
-    def tune(vector: list[float] | None) -> bytes | None:
-        if vector is None:
-            return None
-        v = np.clip(np.array([0.0 if x is None else x for x in vector], dtype=float), -0.5, 0.5)
-        steps = np.floor((v + 0.5) * 24)
-        phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (steps / 12) / RATE, note))
-        sound = (12000 * (np.sin(phase) + 0.3 * np.sin(2 * phase))).astype("<i2")
-        out = io.BytesIO()
-        with wave.open(out, "wb") as w:
-            w.setnchannels(1)
-            w.setsampwidth(2)
-            w.setframerate(RATE)
-            w.writeframes(sound.tobytes())
-        return out.getvalue()
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                part = batch.slice(at, 32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tune(x) for x in part.column(1).to_pylist()], type=pa.binary())], names=["id", "audio"])
-
-    kind = dict(vectors.dtypes)[id_col]
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).mapInArrow(run, f"id {kind}, audio binary")
+def tune(vector: list[float] | None, note: int = 1000) -> bytes | None:
+    """A vector as a WAV melody, one note a coefficient; for tables without audio."""
+    if vector is None:
+        return None
+    v = np.clip(np.array([0.0 if x is None else x for x in vector], dtype=float), -0.5, 0.5)
+    steps = np.floor((v + 0.5) * 24)
+    phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (steps / 12) / RATE, note))
+    sound = (12000 * (np.sin(phase) + 0.3 * np.sin(2 * phase))).astype("<i2")
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(RATE)
+        w.writeframes(sound.tobytes())
+    return out.getvalue()
 
 
 def media_fingerprints(vectors: DataFrame) -> DataFrame:
     """Every row of ``embeddings`` as a recording; queries are the ids divisible by 100."""
-    sound = rendered(vectors)
-    return matches(sound, "id", "audio", F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+    return matches(vectors, "vec_id", "embedding", F.col("id") % 100 == 0, reader=tune).withColumnRenamed("id", "vec_id")
