@@ -37,16 +37,17 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(k % 4, (5 * k) % 12 % (13 - (2 + k % 5)), 2 + k % 5, (4, 8, 12, 16)[k // 4]) for k in range(16)]
 
 
-def _pitch_classes() -> np.ndarray:
-    """(bins, 12): which pitch class each frequency bin adds to."""
+def _pitch_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Frequency bins in order of their pitch class, and where each of the 12 classes starts."""
     freq = np.fft.rfftfreq(FRAME, 1 / RATE)
-    to = np.zeros((len(freq), 12))
     used = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
-    to[used, np.round(12 * np.log2(freq[used] / 440.0)).astype(int) % 12] = 1
-    return to
+    classes = np.round(12 * np.log2(freq[used] / 440.0)).astype(int) % 12
+    order = np.argsort(classes, kind="stable")
+    return used[order], np.searchsorted(classes[order], np.arange(12))
 
 
-_TO, _WINDOW = _pitch_classes(), np.hanning(FRAME)
+_BINS, _STARTS = _pitch_classes()
+_WINDOW = np.hanning(FRAME)
 
 
 def samples(audio: bytes | None) -> np.ndarray:
@@ -75,7 +76,8 @@ def chroma(signal: np.ndarray) -> np.ndarray:
     out = np.empty((n, 12))
     view = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     for at in range(0, n, 1024):
-        out[at : at + 1024] = np.abs(np.fft.rfft(view[at : at + 1024] * _WINDOW)) ** 2 @ _TO
+        spectrum = np.fft.rfft(view[at : at + 1024] * _WINDOW)[:, _BINS]
+        out[at : at + 1024] = np.add.reduceat(spectrum.real**2 + spectrum.imag**2, _STARTS, axis=1)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-6, out / np.maximum(norm, 1e-12), 0.0)
 
