@@ -25,6 +25,8 @@ from ._common import stored
 CAP = 2048
 #: Estimated cost of a probe row, in comparisons.
 ROW_COST = 8.0
+#: Blocks: comparing so many fingerprints costs about as much as moving one row.
+BUCKET = 64
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -118,9 +120,9 @@ def plan(n: int, both: np.ndarray, k: int) -> list[int]:
 
 
 def subset_masks(n: int, k: int) -> list[int]:
-    """Masks for many fingerprints with even bits: of m blocks, any m - k that agree; m grows with log n."""
+    """Masks of pigeonhole blocks: of m blocks, any m - k that agree; m grows with log n so that buckets hold ``BUCKET`` or fewer on average."""
     m = k + 1
-    while m < k + 6 and n / 2.0 ** (64 * (m - k) / m) > 0.5:
+    while m < k + 6 and n / 2.0 ** (64 * (m - k) / m) > BUCKET:
         m += 1
     edges = [64 * i // m for i in range(m + 1)]
     blocks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(m)]
@@ -203,6 +205,39 @@ def forest(fps: np.ndarray, k: int, same: Callable[[int, int], bool] | None = No
     return edges
 
 
+def close_pairs(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j that differ in at most k bits; stops early where there are many more than members."""
+    left, right, n, found = [], [], len(fps), 0
+    for at in range(0, n - 1, 256):
+        i, j = np.nonzero(np.bitwise_count(fps[at : at + 256, None] ^ fps[None, at:]) <= k)
+        keep = i < j
+        left.append(i[keep] + at)
+        right.append(j[keep] + at)
+        found += len(left[-1])
+        if found > 2 * n:
+            break
+    return np.concatenate(left), np.concatenate(right)
+
+
+def stars(a: list, b: list) -> tuple[list, list]:
+    """The same components with every member linked to its smallest: what a task knows is joined up before it is written."""
+    parent: dict = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        if x < y:
+            parent[y] = x
+        elif y < x:
+            parent[x] = y
+    members = [x for x in parent if find(x) != x]
+    return [find(x) for x in members], members
+
+
 def _linker(k: int, verify: Callable[[str, str], bool] | None) -> Callable:
     """Reads rows (sig, id, fp[, text]) sorted by sig; a bucket has about CAP rows at most, so few rows wait for the next batch."""
 
@@ -237,14 +272,20 @@ def _linker(k: int, verify: Callable[[str, str], bool] | None) -> Callable:
             left.append(pairs)
             right.append(pairs + 1)
         for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
+            if verify is None:
+                i, j = close_pairs(fps[s:e], k)
+                if len(i) <= 2 * (e - s):
+                    left.append(i + s)
+                    right.append(j + s)
+                    continue
             same = None if verify is None else (lambda i, j, s=s: verify(text[s + i], text[s + j]))
             if found := forest(fps[s:e], k, same):
                 found = np.array(found, dtype=np.int64) + s
                 left.append(found[:, 0])
                 right.append(found[:, 1])
         if left and (a := np.concatenate(left)).size:
-            b = np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+            centre, member = stars(ids.take(pa.array(a)).to_pylist(), ids.take(pa.array(np.concatenate(right))).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(centre, type=ids.type), pa.array(member, type=ids.type)], names=["a", "b"])
 
     return link
 
@@ -261,7 +302,7 @@ def links(
 
     ``nodes`` has a distinct id and its fingerprint fp (long). With ``verify``, a link also needs verify(text, text), and
     ``texts`` returns (id, text) for a table of distinct ids. Buckets are first only counted (partial aggregation takes the
-    hot ones). Buckets of over ``cap`` members are divided by further bits; where all bits agree and there are still more, the
+    hot ones), so that large ones are known before anything is gathered. Buckets of over ``cap`` members are divided by further bits; where all bits agree and there are still more, the
     members are dealt into chunks and each pair of chunks is compared, so no task holds more than about ``cap`` rows of a
     bucket and no link is lost. Null fingerprints link to nothing.
     """
@@ -272,21 +313,21 @@ def links(
     rows = nodes.select("id", "fp").filter("fp is not null").mapInArrow(_expander(masks), layout)
     ready = None
     while True:
-        counted = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_and("mask").alias("m"))
-        counted = counted.filter(f"n > 2 or (n = 2 and bit_count(lo ^ hi) <= {k})").select("sig", "n", F.expr("bit_count(m)").alias("fixed"))
-        members = stored(rows.join(counted, "sig"), "buckets")
-        small = members.filter(F.col("n") <= cap).select("sig", "id", "fp")
+        counted = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("mask").alias("m")).filter(F.col("n") > cap)
+        hot = stored(counted.select("sig", "n", F.expr("bit_count(m)").alias("fixed")), "hot")  # at most rows / cap of them
+        some = not hot.isEmpty()
+        small = (rows.join(hot, "sig", "left_anti") if some else rows).select("sig", "id", "fp")
         ready = small if ready is None else ready.unionByName(small)
-        hot = members.filter((F.col("n") > cap) & (F.col("fixed") <= 60))
-        done = members.filter((F.col("n") > cap) & (F.col("fixed") > 60))
+        if not some:
+            break
+        members = stored(rows.join(hot, "sig"), "hot-rows")
+        done = members.filter("fixed > 60")
         chunks = F.ceil(F.col("n") * 2 / cap)
         own = F.pmod(F.xxhash64("id"), chunks)
         dealt = done.select("sig", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))).alias("other"))
-        dealt = dealt.select(F.xxhash64("sig", F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long"))).alias("sig"), "id", "fp")
-        ready = ready.unionByName(dealt)
-        if hot.isEmpty():
-            break
-        rows = hot.select("sig", "mask", "id", "fp").mapInArrow(_refiner(k), layout)
+        pair = (F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long")))
+        ready = ready.unionByName(dealt.select(F.xxhash64("sig", *pair).alias("sig"), "id", "fp"))
+        rows = stored(members.filter("fixed <= 60").select("sig", "mask", "id", "fp").mapInArrow(_refiner(k), layout), "finer")
     if verify is not None:
         ready = ready.join(texts(ready.select("id").distinct()), "id").select("sig", "id", "fp", "text")
     else:
