@@ -25,12 +25,14 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 600
 #: Follow-the-regularised-leader: learning rate and its offset, elastic net (L1, L2), passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.002, 0.001, 3
+#: Loss (in nats) that a softer temperature may cost.
+SLACK = 0.01
 BLOCK = 1 << 20
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def ngram_counts(text: str) -> np.ndarray:
-    """Counts of hashed character 1- to 3-grams of the whole text, letters in lower case."""
+def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of hashed character 1- to 3-grams of the whole text, letters in lower case; buckets without any are left out."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     for at in range(0, len(points), BLOCK):
@@ -43,7 +45,8 @@ def ngram_counts(text: str) -> np.ndarray:
                 code = (code ^ part[k : len(part) - n + 1 + k]) * _PRIMES[k]
                 code ^= code >> np.uint32(15)
             counts += np.bincount(code & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-    return counts
+    at = np.flatnonzero(counts).astype(np.int32)
+    return at, counts[at].astype(np.int32)
 
 
 def has_letter(text: str | None) -> bool:
@@ -58,13 +61,13 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = (1 + np.log(counts[at])) * self.idf[at]
+    def features(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at, n = counts
+        x = (1 + np.log(n)) * self.idf[at]
         norm = np.sqrt(x @ x)
         return at, x / norm if norm else x
 
-    def scores(self, counts: np.ndarray, temperature: float | None = None) -> np.ndarray:
+    def scores(self, counts: tuple[np.ndarray, np.ndarray], temperature: float | None = None) -> np.ndarray:
         at, x = self.features(counts)
         z = (x @ self.weights[at] + self.bias) / (temperature or self.temperature)
         e = np.exp(z - z.max())
@@ -87,7 +90,9 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     if not k:
         return Model(languages, idf, weights, bias, 1.0)
     counted = [ngram_counts(t) for t, _ in rows]
-    seen = sum((c > 0).astype(np.int64) for c in counted)
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for at, _ in counted:
+        seen[at] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     model = Model(languages, idf, weights, bias, 1.0)
     index = {y: i for i, y in enumerate(languages)}
@@ -115,12 +120,15 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     def loss(t: float) -> float:
         return -float(np.mean([np.log(max(model.scores(c, t)[y], 1e-300)) for c, y in held]))
 
-    grid = np.exp(np.linspace(np.log(0.02), np.log(5), 40))
-    return Model(languages, idf, model.weights, model.bias, float(min(grid, key=loss)))
+    # the softest temperature that is about as good as the best: perfect separation must not end in blind confidence
+    losses = {float(t): loss(float(t)) for t in np.exp(np.linspace(np.log(0.02), np.log(5), 40))}
+    softest = max(t for t, x in losses.items() if x <= min(losses.values()) + SLACK)
+    return Model(languages, idf, model.weights, model.bias, softest)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """Per language, the labelled rows of the smallest hashes outside the held-out fold; at most ``per_language`` each."""
+    # the model has a column of weights per language, so a table of them is small enough to broadcast
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
     u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
     counts = labelled.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n"))
