@@ -185,15 +185,21 @@ def _refiner(k: int) -> Callable:
     return refine
 
 
-def forest(fps: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside one bucket: visits each member once, against those not yet reached."""
+def forest(fps: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None, earlier: list[int] = ()) -> list[tuple[int, int]]:
+    """Spanning forest of the links inside one bucket: visits each member once, against those not yet reached.
+
+    Pairs that also agree under one of the ``earlier`` masks are left to that mask's bucket.
+    """
     edges: list[tuple[int, int]] = []
     left = np.arange(len(fps))
     while len(left) > 1:
         stack, left = [int(left[0])], left[1:]
         while stack and len(left):
             i = stack.pop()
-            close = np.bitwise_count(fps[left] ^ fps[i]) <= k
+            differ = fps[left] ^ fps[i]
+            close = np.bitwise_count(differ) <= k
+            for mask in earlier:
+                close &= (differ & np.uint64(mask)) != 0
             if same is not None and close.any():
                 for at in np.flatnonzero(close):
                     close[at] = same(i, int(left[at]))
@@ -238,8 +244,10 @@ def stars(a: list, b: list) -> tuple[list, list]:
     return [find(x) for x in members], members
 
 
-def _linker(k: int, verify: Callable[[str, str], bool] | None) -> Callable:
-    """Reads rows (sig, id, fp[, text]) sorted by sig; a bucket has about CAP rows at most, so few rows wait for the next batch."""
+def _linker(k: int, masks: list[int], verify: Callable[[str, str], bool] | None) -> Callable:
+    """Reads rows (sig, id, fp[, text, mask]) sorted by sig; a bucket has about CAP rows at most, so few rows wait for the next batch."""
+
+    order = {mask: i for i, mask in enumerate(masks)}
 
     def link(batches):
         rest = None
@@ -260,26 +268,32 @@ def _linker(k: int, verify: Callable[[str, str], bool] | None) -> Callable:
         ids = table.column(1).combine_chunks()
         fps = table.column(2).to_numpy().astype(np.int64).view(np.uint64)
         text = table.column(3).to_pylist() if verify is not None else None
+        under = table.column(4).to_numpy() if verify is not None else None
         cuts = np.flatnonzero(np.diff(sig)) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(sig))
         left, right = [], []
         sizes = ends - starts
-        pairs = starts[sizes == 2]
+        # where links are verified, a bucket of two goes the same way as others
+        pairs = starts[sizes == 2] if verify is None else starts[:0]
         if len(pairs):
             pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= k]
-            if verify is not None:
-                pairs = np.array([p for p in pairs.tolist() if verify(text[p], text[p + 1])], dtype=np.int64)
             left.append(pairs)
             right.append(pairs + 1)
-        for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
+        many = sizes > (2 if verify is None else 1)
+        for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            earlier: list[int] = []
             if verify is None:
                 i, j = close_pairs(fps[s:e], k)
                 if len(i) <= 2 * (e - s):
                     left.append(i + s)
                     right.append(j + s)
                     continue
+            else:
+                own = int(under[s]) % 2**64
+                if own in order and (under[s:e] == under[s]).all():
+                    earlier = masks[: order[own]]
             same = None if verify is None else (lambda i, j, s=s: verify(text[s + i], text[s + j]))
-            if found := forest(fps[s:e], k, same):
+            if found := forest(fps[s:e], k, same, earlier):
                 found = np.array(found, dtype=np.int64) + s
                 left.append(found[:, 0])
                 right.append(found[:, 1])
@@ -316,7 +330,7 @@ def links(
         counted = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("mask").alias("m")).filter(F.col("n") > cap)
         hot = stored(counted.select("sig", "n", F.expr("bit_count(m)").alias("fixed")), "hot")  # at most rows / cap of them
         some = not hot.isEmpty()
-        small = (rows.join(hot, "sig", "left_anti") if some else rows).select("sig", "id", "fp")
+        small = (rows.join(hot, "sig", "left_anti") if some else rows).select("sig", "id", "fp", "mask")
         ready = small if ready is None else ready.unionByName(small)
         if not some:
             break
@@ -326,10 +340,10 @@ def links(
         own = F.pmod(F.xxhash64("id"), chunks)
         dealt = done.select("sig", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))).alias("other"))
         pair = (F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long")))
-        ready = ready.unionByName(dealt.select(F.xxhash64("sig", *pair).alias("sig"), "id", "fp"))
+        ready = ready.unionByName(dealt.select(F.xxhash64("sig", *pair).alias("sig"), "id", "fp", F.lit(0).cast("long").alias("mask")))
         rows = stored(members.filter("fixed <= 60").select("sig", "mask", "id", "fp").mapInArrow(_refiner(k), layout), "finer")
     if verify is not None:
-        ready = ready.join(texts(ready.select("id").distinct()), "id").select("sig", "id", "fp", "text")
+        ready = ready.join(texts(ready.select("id").distinct()), "id").select("sig", "id", "fp", "text", "mask")
     else:
         ready = ready.select("sig", "id", "fp")
-    return ready.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linker(k, verify), f"a {id_type}, b {id_type}")
+    return ready.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linker(k, masks, verify), f"a {id_type}, b {id_type}")
