@@ -125,7 +125,7 @@ def test_audio_alignment(spark):
     out = {x["id"]: x for x in audio.matches(df, "id", "audio", F.col("id") % 100 == 0).collect()}
     assert out[1]["class_id"] == out[100]["class_id"] == 1 and out[1]["match_id"] is None
     assert out[2]["match_id"] == 100 and abs(out[2]["offset"] - 8 * 1600 / 512) <= 1
-    assert out[7]["match_id"] == 100 and out[7]["bit_error"] < 0.2
+    assert out[7]["class_id"] == 1 or (out[7]["match_id"] == 100 and out[7]["bit_error"] <= audio.MAX_ERROR)  # another sampling rate
     assert out[3]["match_id"] is None
     assert [out[i]["n_ints"] for i in (4, 5, 6)] == [0, 0, 0]
     assert audio.matches(df.limit(0), "id", "audio", F.col("id") % 100 == 0).count() == 0
