@@ -170,8 +170,8 @@ def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bleu_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first line as a prediction of the benchmark item of its number."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("predict"))
+    """A document's whole text as a prediction of the benchmark item of its number."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("predict"))
     rows = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "label").join(d, "item_id")
     return evaluate.overlap_scores(rows).drop("predict", "label")
 
