@@ -6,8 +6,8 @@ Alignment: equal integers of two recordings vote for an offset; at the offset wi
 are counted. A stated set of queries is compared with all recordings, block by block.
 
 Defined cases: null, empty or unreadable audio, and audio shorter than the filters reach, has no integers and matches nothing;
-recordings with equal integers form one class, and only its smallest id is compared (copies are never paired); ties go to the
-smaller error, then more votes, then the smaller query id; very long audio is read in blocks; an empty table gives an empty
+recordings with equal integers form one class, and only its smallest id is compared (copies are never paired); every aligned
+pair of classes is returned; for the best match ties go to the smaller error, then more votes, then the smaller query id; very long audio is read in blocks; an empty table gives an empty
 result. Rows with a null id are fingerprinted but not compared. Only id and audio are read.
 """
 
@@ -176,11 +176,8 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "ints").mapInArrow(run, f"ids array<{kind}>, ints array<binary>")
 
 
-def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int = BLOCK, reader=None) -> DataFrame:
-    """A row per recording: id, n_ints, class_id, and its best match among the queries of other classes: match_id, offset, bit_error, votes.
-
-    ``is_query`` is a condition on the column id. Queries are a stated set, compared with all classes in blocks.
-    """
+def _compared(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int, reader) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows, their classes, and every aligned (class, query of another class): id, match_id, offset, bit_error, votes."""
     prints = stored(fingerprints(rows, id_col, audio_col, reader), "audio")
     classes = stored(prints.filter("length(ints) > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min(F.when(is_query, F.col("id"))).alias("query"), F.first("ints").alias("ints")), "classes")
     kind = dict(prints.dtypes)["id"]
@@ -202,15 +199,42 @@ def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int =
                 )
 
     scored = pairs.select("ids", "ints", "q_ids", "q_ints").mapInArrow(compare, f"id {kind}, match_id {kind}, offset long, bit_error double, votes long")
+    return prints, classes, scored
+
+
+def _named(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n_ints, class_id of every row, and digest."""
+    own = prints.withColumn("n_ints", (F.length("ints") / 4).cast("long")).drop("ints")
+    named = own.join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
+    return named.select("id", "n_ints", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), "digest")
+
+
+def matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int = BLOCK, reader=None) -> DataFrame:
+    """A row per recording: id, n_ints, class_id, and its best match among the queries of other classes: match_id, offset, bit_error, votes.
+
+    ``is_query`` is a condition on the column id. Queries are a stated set, compared with all classes in blocks.
+    """
+    prints, classes, scored = _compared(rows, id_col, audio_col, is_query, block, reader)
     best = scored.groupBy("id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("v"), "match_id", "offset")).alias("m"))
-    named = classes.select("digest", F.col("id").alias("class_id")).join(best, F.col("class_id") == best["id"], "left").drop("id")
-    out = prints.withColumn("n_ints", (F.length("ints") / 4).cast("long")).drop("ints").join(named, "digest", "left")
-    return out.select(
-        "id", "n_ints", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.col("m.match_id").alias("match_id"),
-        F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error"), (-F.col("m.v")).alias("votes"),
+    by_class = classes.select("digest", "id").join(best, "id").select("digest", "m")
+    return _named(prints, classes).join(by_class, "digest", "left").select(
+        "id", "n_ints", "class_id", F.col("m.match_id").alias("match_id"), F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error"), (-F.col("m.v")).alias("votes"),
     )
 
 
+def all_matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int = BLOCK, reader=None) -> DataFrame:
+    """Every aligned pair of classes: the columns of ``matches``, a row per recording and further rows for further matches.
+
+    What holds for a class stands at the recording that names it (id = class_id): a row per query class that it aligns with, one
+    row without a match if there is none. Its other members have one row each, without a match, and share the matches by class_id.
+    """
+    prints, classes, scored = _compared(rows, id_col, audio_col, is_query, block, reader)
+    named = _named(prints, classes).drop("digest")
+    found = scored.withColumnRenamed("id", "class_id")
+    at = (named["id"] == found["class_id"]) & (named["class_id"] == found["class_id"])
+    return named.join(found, at, "left").select(named["id"], "n_ints", named["class_id"], "match_id", "offset", "bit_error", "votes")
+
+
 def tune(vector: list[float] | None, note: int = 1000) -> bytes | None:
     """A vector as a WAV melody, one note a coefficient; for tables without audio."""
     if vector is None:
@@ -229,5 +253,5 @@ def tune(vector: list[float] | None, note: int = 1000) -> bytes | None:
 
 
 def media_fingerprints(vectors: DataFrame) -> DataFrame:
-    """Every row of ``embeddings`` as a recording; queries are the ids divisible by 100."""
-    return matches(vectors, "vec_id", "embedding", F.col("id") % 100 == 0, reader=tune).withColumnRenamed("id", "vec_id")
+    """Every row of ``embeddings`` as a recording, with every match; queries are the ids divisible by 100."""
+    return all_matches(vectors, "vec_id", "embedding", F.col("id") % 100 == 0, reader=tune).withColumnRenamed("id", "vec_id")
