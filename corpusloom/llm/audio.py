@@ -2,8 +2,8 @@
 
 Fingerprint: the signal becomes frames of energy per pitch class; an integral image over these frames lets 16 box filters be
 evaluated in constant time; each filter is quantised to two bits (Gray code), so each frame gives one packed 32-bit integer.
-Alignment: equal integers of two recordings vote for an offset; at the offset with the most votes the bit errors of the overlap
-are counted. A stated set of queries is compared with all recordings, block by block.
+Alignment: equal integers of two recordings vote for an offset; at each offset with enough votes the bit errors of the overlap
+are counted, and the smallest counts. A stated set of queries is compared with all recordings, block by block.
 
 Defined cases: null, empty or unreadable audio, and audio shorter than the filters reach, has no integers and matches nothing;
 recordings with equal integers form one class, and only its smallest id is compared (copies are never paired); every aligned
@@ -112,8 +112,11 @@ def fingerprint(audio: bytes | None) -> np.ndarray:
     return packed
 
 
-def align(query: list[np.ndarray], found: list[np.ndarray], min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> list[tuple[int, int, int, float, int]]:
-    """(query, recording, offset, error, votes) of the pairs of two blocks that align; offset: place in the recording less in the query."""
+def align(query: list[np.ndarray], found: list[np.ndarray], min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, every: bool = False) -> list[tuple[int, int, int, float, int]]:
+    """(query, recording, offset, error, votes) of the pairs of two blocks that align; offset: place in the recording less in the query.
+
+    A pair is tested at its most voted offset, or with ``every`` at all offsets of ``min_votes`` or more: the smallest error counts.
+    """
     q_all, r_all = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (query, found))
     q_own, r_own = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (query, found))
     q_at, r_at = (np.concatenate([np.arange(len(v)) for v in x]) if x else np.zeros(0, int) for x in (query, found))
@@ -133,8 +136,9 @@ def align(query: list[np.ndarray], found: list[np.ndarray], min_votes: int = MIN
         keys, votes = np.unique(q_own[i] * (1 << 32) + (shift + (1 << 31)), return_counts=True)
         owner = keys >> 32
         best = np.lexsort((keys, -votes, owner))
-        first = best[np.unique(owner[best], return_index=True)[1]]
-        for f in first[votes[first] >= min_votes]:
+        tried = best if every else best[np.unique(owner[best], return_index=True)[1]]
+        least: dict[int, tuple[int, int, int, float, int]] = {}
+        for f in tried[votes[tried] >= min_votes]:
             q, offset = int(owner[f]), int((keys[f] & 0xFFFFFFFF) - (1 << 31))
             a, b = query[q], found[r]
             a0, b0 = max(0, -offset), max(0, offset)
@@ -142,8 +146,9 @@ def align(query: list[np.ndarray], found: list[np.ndarray], min_votes: int = MIN
             if overlap < MIN_OVERLAP * min(len(a), len(b)):
                 continue
             error = float(np.bitwise_count(a[a0 : a0 + overlap] ^ b[b0 : b0 + overlap]).sum()) / (32 * overlap)
-            if error <= max_error:
-                out.append((q, r, offset, error, int(votes[f])))
+            if error <= max_error and (q not in least or error < least[q][3]):
+                least[q] = q, r, offset, error, int(votes[f])
+        out += least.values()
     return out
 
 
@@ -189,7 +194,7 @@ def _compared(rows: DataFrame, id_col: str, audio_col: str, is_query, block: int
         unpack = lambda column: [np.frombuffer(x, dtype="<u4") for x in column]
         for batch in batches:
             for ids, ints, q_ids, q_ints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [x for x in align(unpack(q_ints), unpack(ints)) if q_ints[x[0]] != ints[x[1]]]
+                found = [x for x in align(unpack(q_ints), unpack(ints), every=True) if q_ints[x[0]] != ints[x[1]]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[x[1]] for x in found], type=batch.schema.types[0].value_type), pa.array([q_ids[x[0]] for x in found], type=batch.schema.types[0].value_type),

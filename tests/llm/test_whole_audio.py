@@ -22,3 +22,30 @@ def test_every_aligned_pair_is_returned(spark):
     assert {x["id"]: x["class_id"] for x in out} == {100: 100, 200: 200, 300: 300, 1: 1, 2: 1, 3: 3, 4: 4}
     best = {x["id"]: x for x in audio.matches(df, "id", "audio", F.col("id") % 100 == 0).collect()}
     assert best[2]["match_id"] == best[1]["match_id"] and len(best) == 7
+
+
+def test_the_best_passing_offset_counts():
+    """The most voted offset overlaps too little or errs too much; a less voted one passes."""
+    r = np.random.default_rng(9)
+    loop = np.full(12, 7, dtype=np.uint32)
+    body = r.integers(0, 2**32, 30, dtype=np.uint32)
+    a = np.concatenate([loop, body])
+    b = np.concatenate([body, loop])
+    a2 = np.concatenate([body[:5], loop, body[5:], loop])
+    for q, f in ((a, b), (b, a), (a, a2), (a2, b)):
+        fine = {}
+        for o in range(-len(q) + 1, len(f)):
+            x, y = q[max(0, -o) :], f[max(0, o) :]
+            n = min(len(x), len(y))
+            if (x[:n] == y[:n]).sum() >= 4 and n >= 0.5 * min(len(q), len(f)):
+                error = float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
+                if error <= audio.MAX_ERROR:
+                    fine[o] = error
+        got = audio.align([q], [f], every=True)
+        assert [x[3] for x in got] == ([min(fine.values())] if fine else [])
+        assert not got or got[0][2] in fine
+    body = r.integers(0, 2**32, 60, dtype=np.uint32)
+    flipped = body ^ np.where(np.arange(60) % 2, 1, 0).astype(np.uint32)
+    looped = [np.concatenate([np.full(50, 3, np.uint32), body]), np.concatenate([flipped, np.full(50, 3, np.uint32)])]
+    assert audio.align(looped[:1], looped[1:]) == []
+    assert [x[2] for x in audio.align(looped[:1], looped[1:], every=True)] == [-50]
