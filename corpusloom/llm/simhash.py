@@ -82,19 +82,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of repeated rows of one id, one. All columns stay.
-
-    Rows with a null id stay only where nothing in their component has an id.
-    """
-    found = stored(near_duplicates(docs, id_col, text_col, max_bits), "components")
-    chosen = found.filter("id <=> component")
-    again = chosen.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").isEmpty()
-    kept = chosen.select(F.col("id").alias(id_col)).distinct()
-    if again:
-        return docs.join(kept, id_col, "left_semi")
-    out = docs.join(kept.withColumnRenamed(id_col, "__kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    keyed = out.withColumn("__key", F.when(F.col(id_col).isNull(), F.xxhash64(text_col)))
-    return keyed.dropDuplicates([id_col, "__key"]).drop("__key")
+    """Of each component the row of the smallest id; rows without an id come last. All columns stay."""
+    from .resemblance import keyed_rows
+
+    keyed, key = keyed_rows(docs, id_col)
+    found = near_duplicates(keyed, key, text_col, max_bits).filter("id <=> component").select(F.col("id").alias("__kept"))
+    return keyed.join(found, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:
