@@ -1,6 +1,6 @@
 """Mixing, sampling and splitting by position.
 
-Position is an explicit ``row_idx`` from 0, numbered over a natural key in two passes (rows per range partition, then offsets), so no
+Position is an explicit ``row_idx`` from 0, numbered over a natural key in two passes (rows per key range, then offsets), so no
 single task sorts everything. "Random" orders are MD5 keys of a seed and the row, the same in any engine.
 """
 
@@ -16,18 +16,58 @@ def random_key(seed: int | str, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)))
 
 
-def numbered(df: DataFrame, *order: Column | str, out: str = "row_idx") -> DataFrame:
-    """``out``: 0-based place in the given order. Range partitions are ranked on their own and shifted by the counts before them."""
+#: Keys drawn per range when ranges are cut, and rows a range should hold at least.
+DRAWN, LEAST = 64, 10_000
+
+
+def _cuts(keys: DataFrame, ranges: int, rows: int) -> list:
+    """Range ends from a bounded sample of the keys. Where they fall changes the balance of the tasks and nothing else."""
+    wanted = DRAWN * ranges
+    drawn = keys.sample(min(1.0, 1.2 * wanted / rows), 7).limit(4 * wanted) if rows > wanted else keys
+    tiles = drawn.select("__key", F.ntile(ranges).over(Window.orderBy("__key")).alias("t"))
+    found = tiles.groupBy("t").agg(F.max("__key").alias("end")).orderBy("t").collect()
+    return [r["end"] for r in found[:-1]]
+
+
+def _place(key: Column, kind, cuts: list) -> Column:
+    """How many of the ordered cuts lie below the key: every root-th cut first, then those between two of them."""
+    def ends(part) -> Column:
+        return F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True))) for c in part))
+
+    def below(column: Column) -> Column:
+        return F.size(F.filter(column, lambda c: c < key))
+
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    group = below(ends([g[-1] for g in groups]))
+    rest = F.element_at(F.array(*map(ends, groups)), F.least(group + 1, F.lit(len(groups))))
+    return F.when(group == len(groups), F.lit(len(cuts))).otherwise(group * step + below(rest))
+
+
+def numbered(df: DataFrame, *order: Column | str, out: str = "row_idx", hot: bool = False) -> DataFrame:
+    """``out``: 0-based place in the given order. Ranges of the keys are ranked on their own and shifted by the counts before them.
+
+    The range of a row is an expression over literal cuts, so the pass that counts and the pass that ranks agree whatever
+    was sampled. With ``hot``, for orders that are not unique, a hash of the whole row tells rows of one key apart, so that
+    a key of many rows is split as well; without it only the key columns are read for counting.
+    """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    sort = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
-    names = [f"__k{i}" for i in range(len(keys))]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sort.repartitionByRange(n, *names).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*names)) - 1)
-    counts = local.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as partitions
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_df = local.join(F.broadcast(before.select("__part", "__before")), "__part")
-    return out_df.withColumn(out, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before", *names)
+    if hot:
+        keys.append(F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and t != "variant")))
+    keyed = df.withColumn("__key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
+    rows = keyed.count()
+    ranges = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // LEAST))
+    cuts = _cuts(keyed.select("__key"), ranges, rows) if ranges > 1 else []
+    placed = keyed.withColumn("__part", _place(F.col("__key"), keyed.schema["__key"].dataType, cuts))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n")).collect()  # as many rows as ranges
+    before, shift = 0, {}
+    for r in sorted(counts, key=lambda r: r["__part"]):
+        shift[r["__part"]], before = before, before + r["n"]
+    shifts = F.array(*(F.lit(shift.get(i, 0)).cast("long") for i in range(len(cuts) + 1)))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
+    return placed.withColumn(out, (F.element_at(shifts, F.col("__part") + 1) + local).cast("long")).drop("__part", "__key")
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
