@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, name: str, weight: str, least: float) -> DataFrame:
+    """``rows`` with the groups of column ``name`` whose weights sum to over ``least`` dealt into pairs of chunks.
+
+    Every two rows of a group meet under some new name, and no new name has much over ``least`` in weight, but for single rows.
+    """
+    large = stored(rows.groupBy(name).agg(F.sum(weight).alias("__w")).filter(F.col("__w") > least), "large")
+    if large.isEmpty():
+        return rows
+    hot = rows.join(large, name)
+    chunks = F.ceil(F.col("__w") * 2 / least)
+    own = F.pmod(F.xxhash64(*(c for c in rows.columns if c != name)), chunks)
+    spread = hot.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    named = spread.withColumn(name, F.xxhash64(name, F.least("__own", "__other"), F.greatest("__own", "__other")))
+    return rows.join(large, name, "left_anti").unionByName(named.select(*rows.columns))
+
+
 def pieces_of(batch: pa.RecordBatch, text_index: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``SLICE_BYTES`` of text each, one row at least."""
     if batch.num_rows == 0:
@@ -56,6 +72,14 @@ def pieces_of(batch: pa.RecordBatch, text_index: int = 1) -> Iterator[pa.RecordB
         start = end
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many more underscores in front as it takes to be none of those taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 

@@ -10,7 +10,6 @@ over estimated rows and candidates; any choice gives the same links, since every
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -19,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import dealt
 
-#: A bucket of up to so many fingerprints is compared inside one task; larger ones are divided again.
-CAP = 2048
+#: A bucket of up to so many fingerprints is compared inside one task; larger ones are dealt into pairs of chunks.
+CAP = 4096
 #: Estimated cost of a probe row, in comparisons.
 ROW_COST = 8.0
 #: Blocks: comparing so many fingerprints costs about as much as moving one row.
@@ -129,16 +128,6 @@ def subset_masks(n: int, k: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, m - k)]
 
 
-@lru_cache(maxsize=100_000)
-def _finer(mask: int, k: int) -> tuple[int, ...]:
-    """The mask with one more block of its free bits fixed, for each of k + 1 blocks; none if every bit is fixed."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    if len(free) < k + 1:
-        return ()
-    edges = [len(free) * i // (k + 1) for i in range(k + 2)]
-    return tuple(mask | sum(1 << b for b in free[edges[i] : edges[i + 1]]) for i in range(k + 1))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -151,58 +140,26 @@ def _signature(values: np.ndarray, mask: int, salt: int = 0) -> np.ndarray:
     return _mix((values & np.uint64(mask)) ^ seed)
 
 
-def _signed(mask: int) -> int:
-    return mask - 2**64 if mask >= 2**63 else mask
-
-
 def _expander(masks: list[int]) -> Callable:
     def expand(batches):
         for batch in batches:
             ids, fps = batch.column(0), batch.column(1)
             values = fps.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for mask in masks:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signature(values, mask).view(np.int64)), pa.array(np.full(len(values), _signed(mask))), ids, fps], names=["sig", "mask", "id", "fp"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(_signature(values, mask).view(np.int64)), ids, fps], names=["sig", "id", "fp"])
 
     return expand
 
 
-def _refiner(k: int) -> Callable:
-    def refine(batches):
-        for batch in batches:
-            masks = batch.column(1).to_numpy(zero_copy_only=False)
-            values = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for old in np.unique(masks):
-                rows = np.flatnonzero(masks == old)
-                take = pa.array(rows)
-                for mask in _finer(int(old) % 2**64, k):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signature(values[rows], mask).view(np.int64)), pa.array(np.full(len(rows), _signed(mask))), batch.column(2).take(take), batch.column(3).take(take)],
-                        names=["sig", "mask", "id", "fp"],
-                    )
-
-    return refine
-
-
-def forest(fps: np.ndarray, k: int, same: Callable[[int, int], bool] | None = None, earlier: list[int] = ()) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside one bucket: visits each member once, against those not yet reached.
-
-    Pairs that also agree under one of the ``earlier`` masks are left to that mask's bucket.
-    """
+def forest(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links inside one bucket: visits each member once, against those not yet reached."""
     edges: list[tuple[int, int]] = []
     left = np.arange(len(fps))
     while len(left) > 1:
         stack, left = [int(left[0])], left[1:]
         while stack and len(left):
             i = stack.pop()
-            differ = fps[left] ^ fps[i]
-            close = np.bitwise_count(differ) <= k
-            for mask in earlier:
-                close &= (differ & np.uint64(mask)) != 0
-            if same is not None and close.any():
-                for at in np.flatnonzero(close):
-                    close[at] = same(i, int(left[at]))
+            close = np.bitwise_count(fps[left] ^ fps[i]) <= k
             if close.any():
                 reached = left[close].tolist()
                 edges += [(i, j) for j in reached]
@@ -244,10 +201,8 @@ def stars(a: list, b: list) -> tuple[list, list]:
     return [find(x) for x in members], members
 
 
-def _linker(k: int, masks: list[int], verify: Callable[[str, str], bool] | None) -> Callable:
-    """Reads rows (sig, id, fp[, text, mask]) sorted by sig; a bucket has about CAP rows at most, so few rows wait for the next batch."""
-
-    order = {mask: i for i, mask in enumerate(masks)}
+def _linker(k: int) -> Callable:
+    """Reads rows (sig, id, fp) sorted by sig; a bucket has about CAP rows at most, so few rows wait for the next batch."""
 
     def link(batches):
         rest = None
@@ -267,83 +222,40 @@ def _linker(k: int, masks: list[int], verify: Callable[[str, str], bool] | None)
         sig = table.column(0).to_numpy()
         ids = table.column(1).combine_chunks()
         fps = table.column(2).to_numpy().astype(np.int64).view(np.uint64)
-        text = table.column(3).to_pylist() if verify is not None else None
-        under = table.column(4).to_numpy() if verify is not None else None
         cuts = np.flatnonzero(np.diff(sig)) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(sig))
-        left, right = [], []
         sizes = ends - starts
-        # where links are verified, a bucket of two goes the same way as others
-        pairs = starts[sizes == 2] if verify is None else starts[:0]
-        if len(pairs):
-            pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= k]
-            left.append(pairs)
-            right.append(pairs + 1)
-        many = sizes > (2 if verify is None else 1)
+        pairs = starts[sizes == 2]
+        pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= k]
+        left, right = [pairs], [pairs + 1]
+        many = sizes > 2
         for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            earlier: list[int] = []
-            if verify is None:
-                i, j = close_pairs(fps[s:e], k)
-                if len(i) <= 2 * (e - s):
-                    left.append(i + s)
-                    right.append(j + s)
-                    continue
-            else:
-                own = int(under[s]) % 2**64
-                if own in order and (under[s:e] == under[s]).all():
-                    earlier = masks[: order[own]]
-            same = None if verify is None else (lambda i, j, s=s: verify(text[s + i], text[s + j]))
-            if found := forest(fps[s:e], k, same, earlier):
+            i, j = close_pairs(fps[s:e], k)
+            if len(i) <= 2 * (e - s):
+                left.append(i + s)
+                right.append(j + s)
+            elif found := forest(fps[s:e], k):
                 found = np.array(found, dtype=np.int64) + s
                 left.append(found[:, 0])
                 right.append(found[:, 1])
-        if left and (a := np.concatenate(left)).size:
+        if (a := np.concatenate(left)).size:
             centre, member = stars(ids.take(pa.array(a)).to_pylist(), ids.take(pa.array(np.concatenate(right))).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(centre, type=ids.type), pa.array(member, type=ids.type)], names=["a", "b"])
 
     return link
 
 
-def links(
-    nodes: DataFrame,
-    k: int,
-    masks: list[int],
-    verify: Callable[[str, str], bool] | None = None,
-    texts: Callable[[DataFrame], DataFrame] | None = None,
-    cap: int = CAP,
-) -> DataFrame:
+def links(nodes: DataFrame, k: int, masks: list[int], cap: int = CAP) -> DataFrame:
     """Links (a, b) that connect what differs in at most k bits; a spanning forest of each bucket rather than all its pairs.
 
-    ``nodes`` has a distinct id and its fingerprint fp (long). With ``verify``, a link also needs verify(text, text), and
-    ``texts`` returns (id, text) for a table of distinct ids. Buckets are first only counted (partial aggregation takes the
-    hot ones), so that large ones are known before anything is gathered. Buckets of over ``cap`` members are divided by further bits; where all bits agree and there are still more, the
-    members are dealt into chunks and each pair of chunks is compared, so no task holds more than about ``cap`` rows of a
-    bucket and no link is lost. Null fingerprints link to nothing.
+    ``nodes`` has a distinct id and its fingerprint fp (long), distinct too where a group may be large. Buckets are counted
+    before they are gathered (partial aggregation takes the hot ones); those of over ``cap`` members are dealt into pairs
+    of chunks, so no task holds more than about ``cap`` rows of a bucket and no link is lost. Null fingerprints link to
+    nothing.
     """
     id_type = dict(nodes.dtypes)["id"]
     if not masks:
         return nodes.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}")
-    layout = f"sig long, mask long, id {id_type}, fp long"
-    rows = nodes.select("id", "fp").filter("fp is not null").mapInArrow(_expander(masks), layout)
-    ready = None
-    while True:
-        counted = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("mask").alias("m")).filter(F.col("n") > cap)
-        hot = stored(counted.select("sig", "n", F.expr("bit_count(m)").alias("fixed")), "hot")  # at most rows / cap of them
-        some = not hot.isEmpty()
-        small = (rows.join(hot, "sig", "left_anti") if some else rows).select("sig", "id", "fp", "mask")
-        ready = small if ready is None else ready.unionByName(small)
-        if not some:
-            break
-        members = stored(rows.join(hot, "sig"), "hot-rows")
-        done = members.filter("fixed > 60")
-        chunks = F.ceil(F.col("n") * 2 / cap)
-        own = F.pmod(F.xxhash64("id"), chunks)
-        dealt = done.select("sig", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))).alias("other"))
-        pair = (F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long")))
-        ready = ready.unionByName(dealt.select(F.xxhash64("sig", *pair).alias("sig"), "id", "fp", F.lit(0).cast("long").alias("mask")))
-        rows = stored(members.filter("fixed <= 60").select("sig", "mask", "id", "fp").mapInArrow(_refiner(k), layout), "finer")
-    if verify is not None:
-        ready = ready.join(texts(ready.select("id").distinct()), "id").select("sig", "id", "fp", "text", "mask")
-    else:
-        ready = ready.select("sig", "id", "fp")
-    return ready.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linker(k, masks, verify), f"a {id_type}, b {id_type}")
+    rows = nodes.select("id", "fp").filter("fp is not null").mapInArrow(_expander(masks), f"sig long, id {id_type}, fp long")
+    ready = dealt(rows.withColumn("w", F.lit(1)), "sig", "w", float(cap)).select("sig", "id", "fp")
+    return ready.repartition("sig").sortWithinPartitions("sig").mapInArrow(_linker(k), f"a {id_type}, b {id_type}")

@@ -8,6 +8,7 @@ import xxhash
 from corpusloom.llm import hamming, line_dedup, simhash
 from corpusloom.llm._common import bit_counts
 from corpusloom.llm.components import components
+from pyspark.sql import functions as F
 
 
 def classes(pairs, nodes):
@@ -132,19 +133,25 @@ def test_edit_similarity_matches_brute_force():
 
 
 def line_brute(rows):
-    """Rows (key, text) in order of their key."""
+    """Near-equal pairs and the component of each line occurrence (key, number), every pair of lines compared."""
     lines = []
     for key, text in sorted(rows, key=lambda x: x[0]):
         for j, words in enumerate(line_dedup.normal_lines(None if text is None else text.encode())):
-            if len(words) >= line_dedup.MIN_WORDS:
-                h = [xxhash.xxh64_intdigest(w) for w in words]
-                fp = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-                lines.append((key, j, b" ".join(words).decode(), fp))
+            if words:
+                lines.append((key, j, b" ".join(words).decode()))
     at = range(len(lines))
-    same = lambda a, b: a[2] == b[2] or ((a[3] ^ b[3]).bit_count() <= 3 and line_dedup.similar(a[2], b[2]))
-    root = classes(((i, j) for i in at for j in range(i) if same(lines[i], lines[j])), at)
-    gone = {(lines[i][0], lines[i][1]) for i in at if root[i] != i}
-    return {key: None if text is None else "\n".join(x for j, x in enumerate(text.split("\n")) if (key, j) not in gone) for key, text in rows}
+    counts = np.zeros((len(lines), 512), dtype=np.int32)  # each character that differs costs an edit at least
+    for i, (_, _, text) in enumerate(lines):
+        np.add.at(counts[i], [ord(c) % 512 for c in text], 1)
+    sizes = np.array([len(x[2]) for x in lines])
+    pairs = []
+    for i in at:
+        more = np.maximum(counts[:i] - counts[i], 0).sum(axis=1)
+        fewer = np.maximum(counts[i] - counts[:i], 0).sum(axis=1)
+        for j in np.flatnonzero(np.maximum(more, fewer) <= 0.2 * np.maximum(sizes[:i], sizes[i]) + 1e-9).tolist():
+            if lines[i][2] == lines[j][2] or line_dedup.similar(lines[i][2], lines[j][2]):
+                pairs.append((i, j))
+    return lines, pairs, classes(pairs, at)
 
 
 def line_rows():
@@ -164,16 +171,86 @@ def line_rows():
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
+def links_of(spark, rows):
+    df = spark.createDataFrame(rows, "row long, text string")
+    lines = df.mapInArrow(line_dedup._lines, "row long, line int, key binary, sketch binary, size long")
+    groups = lines.groupBy("key").agg(F.min(F.struct("row", "line")).alias("first"), F.count("*").alias("n"), F.max("sketch").alias("sketch"), F.max("size").alias("size"))
+    found = {bytes(r["node"]): bytes(r["component"]) for r in components(line_dedup.near_links(groups, df)).collect()}
+    return lambda text: found.get(k := xxhash.xxh3_128_digest(text.encode()), k)
+
+
+@pytest.mark.parametrize("source", ["edited", "sf0.001"])
+def test_line_links_against_all_pairs(spark, source):
+    """Nothing is linked that brute force does not connect, and of its pairs at least 0.9 are."""
+    if source == "edited":
+        rows = [(k, t) for k, t in line_rows()]
+    else:
+        rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    lines, pairs, root = line_brute(rows)
+    of = links_of(spark, rows)
+    unequal = [(i, j) for i, j in pairs if lines[i][2] != lines[j][2]]
+    caught = sum(of(lines[i][2]) == of(lines[j][2]) for i, j in unequal)
+    assert len(unequal) > 20 and caught >= 0.9 * len(unequal)
+    seen = {}
+    for i, (_, _, text) in enumerate(lines):
+        assert root[seen.setdefault(of(text), i)] == root[i]
+
+
+def test_line_dedup_keeps_one_of_each_group(spark):
     rows = line_rows()
-    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, __row string, __gone int")
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
-    assert got == line_brute(rows)
+    lines, _, root = line_brute(rows)
+    of = links_of(spark, rows)
+    first = {}
+    for key, j, text in lines:
+        first.setdefault(of(text), (key, j))
+    gone = {(key, j) for key, j, text in lines if first[of(text)] != (key, j)}
+    assert got == {key: None if text is None else "\n".join(x for j, x in enumerate(text.split("\n")) if (key, j) not in gone) for key, text in rows}
     out = line_dedup.dedup_lines(df, drop_emptied=True)
-    assert out.columns == ["doc_id", "text", "key", "__lines", "__removed"]
+    assert out.columns == df.columns
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_very_long_lines_are_compared_whole(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(500)]
+    long = " ".join(r.choices(words, k=20_000))
+    rows = [(1, long), (2, long.replace(words[7], "other")), (3, " ".join(reversed(long.split())))]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: long, 2: "", 3: rows[2][1]}
+
+
+def test_tables_grow_with_the_lines_and_miss_alike():
+    for n in (0, 1, 10**3, 10**6, 10**9, 10**12):
+        drawn = line_dedup.blocks.tables(n)
+        width = len(drawn[0])
+        assert all(len(set(t)) == width for t in drawn) and (1 - 0.85**width) ** len(drawn) <= line_dedup.blocks.MISS
+
+
+def test_matches_find_every_close_pair_of_a_bucket():
+    r = np.random.default_rng(1)
+    blocks = line_dedup.blocks
+    base = r.integers(0, 2**64, 40, dtype=np.uint64)
+    records = np.zeros(300, dtype=blocks.RECORD)
+    for i in range(300):
+        x = int(base[i % 40])
+        for bit in r.choice(64, int(r.integers(0, 15)), replace=False):
+            x ^= 1 << int(bit)
+        records[i] = (i % 3, x, 0, 0, 50 + int(r.integers(0, 9)))
+    groups, places, ordered = blocks.matches(records, [])
+    at = range(300)
+
+    def close(i, j):
+        p, q = ordered[i], ordered[j]
+        bits = (int(p["a"]) ^ int(q["a"])).bit_count()
+        return p["key"] == q["key"] and abs(int(p["m"]) - int(q["m"])) <= blocks.LENGTHS and bits <= blocks.MAX_BITS and (bits > 0 or p["m"] != q["m"])
+
+    root = classes(((i, j) for i in at for j in range(i) if close(i, j)), at)
+    want = {i: c for i, c in root.items() if list(root.values()).count(c) > 1}
+    assert dict(zip(places.tolist(), groups.tolist(), strict=True)) == want
+
+
 def test_line_dedup_with_repeated_and_null_ids(spark):
     line = "this very line comes again and again here"
     rows = [(1, line), (1, line), (None, f"{line}\nshort one")]
@@ -182,17 +259,24 @@ def test_line_dedup_with_repeated_and_null_ids(spark):
     assert sum(line in t for t in got) == 1 and sum("short one" in t for t in got) == 1 and len(got) == 3
 
 
-def test_many_lines_with_one_fingerprint(spark):
-    """Lines of the same words in other orders share a fingerprint; the bucket is compared in chunks."""
+def test_many_lines_with_one_print(spark, monkeypatch):
+    """Lines of the same words in other orders share a sketch; the group is compared in pairs of chunks, and none is lost."""
     r = random.Random(3)
     words = [f"v{i}" for i in range(12)]
     texts = []
     for _ in range(60):
-        r.shuffle(words)
+        i, j = r.sample(range(12), 2)
+        words[i], words[j] = words[j], words[i]
         texts.append(" ".join(words))
-    nodes = spark.createDataFrame([(t.encode(), 7, t) for t in dict.fromkeys(texts)], "id binary, fp long, text string")
-    got = hamming.links(nodes, 3, hamming.subset_masks(60, 3), line_dedup.similar, lambda ids: nodes.select("id", "text").join(ids, "id"), cap=10)
-    found = {r["node"]: r["component"] for r in components(got).collect()}
-    ids = [t.encode() for t in dict.fromkeys(texts)]
-    want = classes(((a, b) for i, a in enumerate(ids) for b in ids[:i] if line_dedup.similar(a.decode(), b.decode())), ids)
-    assert {bytes(k): bytes(v) for k, v in found.items()} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+    rows = list(enumerate(dict.fromkeys(texts)))
+    lines, _, root = line_brute(rows)
+    for cap in (1024, 10):
+        monkeypatch.setattr(line_dedup, "CAP", cap)
+        of = links_of(spark, rows)
+        named = {}
+        for i, (_, _, text) in enumerate(lines):
+            named.setdefault(of(text), set()).add(i)
+        want = {}
+        for i in range(len(lines)):
+            want.setdefault(root[i], set()).add(i)
+        assert sorted(map(sorted, named.values())) == sorted(map(sorted, want.values()))
