@@ -99,6 +99,13 @@ def segments(data: bytes, size: int = 8 << 20) -> Iterator[bytes]:
         start = end
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def crc_mod(id_column: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(n))

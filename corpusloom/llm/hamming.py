@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dealt
+from ._common import dealt, mixed
 
 #: A bucket of up to so many fingerprints is compared inside one task; larger ones are dealt into pairs of chunks.
 CAP = 4096
@@ -128,16 +128,10 @@ def subset_masks(n: int, k: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, m - k)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _signature(values: np.ndarray, mask: int, salt: int = 0) -> np.ndarray:
     """Names a bucket. Two buckets that share a name only cost comparisons."""
-    seed = _mix(np.array([(mask + 0x9E3779B97F4A7C15 * (salt + 1)) % 2**64], dtype=np.uint64))
-    return _mix((values & np.uint64(mask)) ^ seed)
+    seed = mixed(np.array([(mask + 0x9E3779B97F4A7C15 * (salt + 1)) % 2**64], dtype=np.uint64))
+    return mixed((values & np.uint64(mask)) ^ seed)
 
 
 def _expander(masks: list[int]) -> Callable:

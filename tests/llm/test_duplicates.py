@@ -130,6 +130,8 @@ def test_edit_similarity_matches_brute_force():
         a, b = ("".join(r.choice("abcü") for _ in range(r.randint(0, 14))) for _ in "xy")
         assert line_dedup.distance(a, b) == lev(a, b)
         assert line_dedup.similar(a, b) == (lev(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+    pairs = [tuple("".join(r.choice("abcü") for _ in range(r.randint(0, 70))) for _ in "xy") for _ in range(200)]
+    assert line_dedup.distances(pairs) == [lev(a, b) for a, b in pairs]
 
 
 def line_brute(rows):
@@ -176,7 +178,7 @@ def links_of(spark, rows):
     lines = df.mapInArrow(line_dedup._lines, "row long, line int, key binary, sketch binary, size long")
     groups = lines.groupBy("key").agg(F.min(F.struct("row", "line")).alias("first"), F.count("*").alias("n"), F.max("sketch").alias("sketch"), F.max("size").alias("size"))
     found = {bytes(r["node"]): bytes(r["component"]) for r in components(line_dedup.near_links(groups, df)).collect()}
-    return lambda text: found.get(k := xxhash.xxh3_128_digest(text.encode()), k)
+    return lambda text: found.get(k := line_dedup.lines_of([text.encode()])[2].astype("<u8").tobytes(), k)
 
 
 @pytest.mark.parametrize("source", ["edited", "sf0.001"])
@@ -228,6 +230,18 @@ def test_tables_grow_with_the_lines_and_miss_alike():
         assert all(len(set(t)) == width for t in drawn) and (1 - 0.85**width) ** len(drawn) <= line_dedup.blocks.MISS
 
 
+def test_lines_and_their_keys():
+    texts = [b"One two\n\n TWO\tone.\n---\nlast", None, b"", b"\n\none TWO", "é\u2003x 12,3".encode()]
+    owner, number, keys, words, size, *_ = line_dedup.lines_of(texts)
+    want = [(i, j, b" ".join(w)) for i, t in enumerate(texts) for j, w in enumerate(line_dedup.normal_lines(t)) if w]
+    assert [(i, j, len(x), x.count(b" ") + 1) for i, j, x in want] == list(zip(owner.tolist(), number.tolist(), size.tolist(), words.tolist(), strict=True))
+    named = [x.tobytes() for x in keys]
+    for i, x in enumerate(want):
+        for j, y in enumerate(want):
+            assert (x[2] == y[2]) == (named[i] == named[j])
+    assert len(line_dedup.lines_of([None, b""])[0]) == 0
+
+
 def test_matches_find_every_close_pair_of_a_bucket():
     r = np.random.default_rng(1)
     blocks = line_dedup.blocks
