@@ -131,6 +131,9 @@ def test_edit_similarity_matches_brute_force():
         assert line_dedup.distance(a, b) == lev(a, b)
         assert line_dedup.similar(a, b) == (lev(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
     pairs = [tuple("".join(r.choice("abcü") for _ in range(r.randint(0, 70))) for _ in "xy") for _ in range(200)]
+    for a, b in pairs:  # judgements short of the distance are right
+        v, w = a.replace("a", " "), b.replace("a", " ")
+        assert line_dedup._aligned(v.split(" "), w.split(" "), 100) >= lev(v, w) and line_dedup._runs_apart(a, b) <= 6 * lev(a, b)
     assert line_dedup.distances(pairs) == [lev(a, b) for a, b in pairs]
 
 
