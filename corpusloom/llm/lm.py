@@ -1,294 +1,353 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Model: a trigram over words, absolute discounting with backoff (Katz style, one discount D). A state is a history: the empty
-one, one word, or two words. Event space: the V training words and one unknown word, V + 1 in all (as in the base). An arc of a state carries a word's discounted log-probability; where a state has no arc for the
-word, its failure arc leads to the next shorter history at the price of the state's backoff weight. The empty history has an
-arc for every word of the training text, and the discounted mass D * V / N for the unknown word. One traversal
-from left to right carries the state and adds up the log-probabilities. The end of a text is a word like any other there.
-
-Size: unigram counts hold every training word, are never pruned and stay distributed. Higher-order arcs are those whose n-gram
-has a relative frequency of ``PAIR_SHARE`` (pairs) or ``TRIPLE_SHARE`` (triples) or more and occurs twice at least. As shares add up
-to 1 there are at most 1 / share of each, whatever the input; that bounds the automaton, which every task holds, with the words
-of ``WORD_SHARE`` or more. Rarer words are looked up by a join with the full table. N-grams are counted in two passes: one that
-reaches a share over the corpus reaches it in some section of it, so the sections' candidates hold them all, and only
-candidates are counted over the corpus. Both passes read every training text.
+Model: a trigram over words with Dirichlet smoothing. With n(.) the counts of the training texts, h a history and h' the history
+without its first word, P(c | h) = (n(hc) + M * P(c | h')) / (n(h) + M), where M is ``STRENGTH`` of the history's length. The empty
+history gives (n(c) + a) / (N + a * (V + 1)) with a = ``FLOOR``: the event space is the V training words and one unknown word, as in the base.
+As an automaton: a state is a history seen in training (the empty one, one word, two words); an arc of a state is a seen
+n-gram and carries log10 P(c | h); where a state has no arc for the word, its failure arc leads to the next shorter history at the
+price of log10(M / (n(h) + M)), the weight that the formula leaves for unseen words, so each state's probabilities add up
+to 1. The end of a text is a word like any other. One traversal from left to right carries the state and adds up.
+
+Size: every n-gram of the training texts counts, none is cut. The texts are dealt into units of about ``UNIT`` tokens. Each unit names its
+distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space, added up there, and the
+totals that differ from a unit's own are sent back to it. So a task that scores a unit holds exactly the arcs that its texts can
+touch, and what is moved grows with the input, a few bytes an n-gram. Different n-grams of one hash (48 bits and those of the part's
+number) add their counts: about one in 10^7 of the n-grams of half a gigabyte, fewer for words, whose counts decide n_known.
 
 Defined cases: a null text is empty and scores its end alone; repeated rows count as often as they occur and are scored alike;
-a row with a null id is in neither fold (held_out false, not learned from); very long
-texts are traversed in parts with the state carried on; without a training row, N = V = 0 and every word has probability
-1 / (V + 1). Only id and text are read, so other columns can have any name.
+ties do not matter, as nothing is ranked; a row with a null id is in neither fold (held_out false, not learned from); very long
+texts are traversed in several units, each starting in the state that the one before ends in; without a training row,
+N = V = 0 and every word has probability 1; an empty table gives an empty result. Only id and text are read, so other columns can have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log2, log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import as_bytes, crc_mod, pieces_of, segments, stored
+from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 
 #: The end of a text; no word holds white space, so none equals it.
 END = b"\n"
-WORD_SHARE, PAIR_SHARE, TRIPLE_SHARE, DISCOUNT = 1e-6, 2e-6, 4e-6, 0.5
-#: Distinct words that a task gathers before it hands them on, and tokens of a section of the corpus.
-HELD, SECTION = 250_000, 4_000_000
-#: So many candidates are handed to every task; more are counted by a join.
-CANDIDATES = 2_000_000
-_BITS = 20  # 1 / WORD_SHARE words and the end fit
+FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
+#: Tokens of a unit, and n-grams that a part of the hash space takes.
+UNIT, PART = 400_000, 4_000_000
+#: Bytes of a hash that travel besides the part.
+KEY = 6
 
 
 def _fold(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = crc_mod(id_col, 7) == 2
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(~held, F.lit(False)).alias("train"))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+def _unit_layout(kind: str) -> str:
+    return f"unit long, row array<long>, id array<{kind}>, held array<boolean>, train array<boolean>, n array<long>, ahead array<int>, words binary, tokens binary, learned long"
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], names=["word", "n"])
 
-    for whole in batches:
-        for batch in pieces_of(whole, 0):
-            for text in as_bytes(batch.column(0)):
-                for part in segments((text or b"").lower()):
-                    seen.update(part.split())
-            seen[END] += batch.num_rows
-            if len(seen) > HELD:
-                yield out()
-                seen.clear()
-    if seen:
-        yield out()
+def _units(id_type: pa.DataType):
+    """Texts to units: pieces of rows, the hash of each distinct word, and the words as numbers. A piece has up to two words ahead, of its own text."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, serial, number = TaskContext.get().partitionId() << 40, 0, 0
+        pack = zstandard.ZstdCompressor(level=1).compress
+        vocabulary: defaultdict[bytes, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        pieces: list[tuple] = []
+        tokens: list[np.ndarray] = []
+        size = learned = 0
 
-def _sequence(part: bytes, ids: dict[bytes, int]) -> np.ndarray:
-    """Word numbers; 0 for words below the share."""
-    words = part.split()
-    return np.fromiter(map(ids.get, words, [0] * len(words)), dtype=np.int64, count=len(words))
+        def out() -> pa.RecordBatch:
+            words = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
+            row, ids, held, train, n, ahead = (list(x) for x in zip(*pieces, strict=True))
+            cells = [
+                pa.array([part | serial]), pa.array([row], pa.list_(pa.int64())), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([train], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([ahead], pa.list_(pa.int32())),
+                pa.array([words.tobytes()], pa.binary()), pa.array([pack(np.concatenate(tokens).tobytes())], pa.binary()), pa.array([learned], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(cells, names=["unit", "row", "id", "held", "train", "n", "ahead", "words", "tokens", "learned"])
 
+        for whole in batches:
+            for batch in pieces_of(whole):
+                ids, held, train = (batch.column(i).to_pylist() for i in (0, 2, 3))
+                for i, text in enumerate(as_bytes(batch.column(1))):
+                    before: list[bytes] = []
+                    sections = [s.split() for s in segments((text or b"").lower(), 2 << 20)]
+                    sections[-1].append(END)
+                    for words in sections:
+                        own = before + words
+                        tokens.append(np.fromiter(map(vocabulary.__getitem__, own), dtype=np.uint32, count=len(own)))
+                        pieces.append((part | number, ids[i], held[i], train[i], len(words), len(before)))
+                        size += len(own)
+                        learned += len(words) if train[i] else 0
+                        before = own[-2:]
+                        if size >= UNIT:
+                            yield out()
+                            vocabulary.clear()
+                            pieces.clear()
+                            tokens.clear()
+                            serial += 1
+                            size = learned = 0
+                    number += 1
+        if pieces:
+            yield out()
+
+    return deal
+
+
+class Grams:
+    """The n-grams of one unit: for each order the distinct hashes, the unit's own training counts, and the number of each position's n-gram (-1: none)."""
+
+    def __init__(self, words: bytes, tokens: bytes, train: list[bool], n: list[int], ahead: list[int]):
+        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), dtype=np.uint32).astype(np.int64)
+        sizes = np.array(n, dtype=np.int64) + np.array(ahead, dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
+        scored = place >= np.repeat(np.array(ahead, dtype=np.int64), sizes)
+        self.scored, self.starts = scored, starts
+        counted = (scored & np.repeat(np.array(train, dtype=bool), sizes)).astype(np.float64)
+        hashes = np.frombuffer(words, dtype=np.uint64)
+        keys = [mixed(hashes)]
+        numbers, counts = [self.tokens], [np.bincount(self.tokens, counted, len(hashes)).astype(np.int64)]
+        chained = keys[0][self.tokens]
+        word = chained
+        for order in (2, 3):
+            chained = mixed(chained[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[order - 1 :] + np.uint64(order)) if len(chained) else chained
+            at = np.full(len(self.tokens), -1, dtype=np.int64)
+            valid = np.flatnonzero(place >= order - 1)
+            found, own = np.unique(chained[valid - (order - 1)], return_inverse=True)
+            at[valid] = own
+            keys.append(found)
+            numbers.append(at)
+            counts.append(np.bincount(own, counted[valid], len(found)).astype(np.int64))
+        self.keys, self.numbers, self.counts = keys, numbers, counts
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts) of all orders by hash."""
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
+    def learn(self, keys: np.ndarray, totals: np.ndarray, bits: int) -> None:
+        """Puts in the totals of all training texts; ``keys`` are sorted, n-grams absent there stay as they are."""
+        if len(keys):
+            for own, counts in zip(self.keys, self.counts, strict=True):
+                short = shortened(own, bits)
+                at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+                hit = keys[at] == short
+                counts[hit] = totals[at[hit]]
+
+
+def shortened(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits, which number the part, and the ``KEY`` bytes after them, which travel."""
+    return keys >> np.uint64(64 - 8 * KEY - bits)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY, 8), dtype=np.uint8)
+    out[:, :KEY] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY)
+    return out.view("<u8").reshape(-1)
+
+
+_UNIT_GRAMS = ("words", "tokens", "train", "n", "ahead")
+
+
+def _rows(batch: pa.RecordBatch, names) -> Iterator[tuple]:
+    for i in range(batch.num_rows):  # a unit at a time: one may be large
+        yield tuple(batch.column(batch.schema.get_field_index(c))[i].as_py() for c in names)
+
+
+def _asker(bits: int):
+    """Units to (part, unit, none, one, many, counts): packed hashes that the unit counts not at all, once, or more often."""
+    parts = 1 << bits
+
+    def ask(batches):
+        for batch in batches:
+            for unit, *own in _rows(batch, ("unit", *_UNIT_GRAMS)):
+                keys, counts = Grams(*own).all()
+                keys = shortened(keys, bits)
+                edges = np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(8 * KEY)).tolist() + [len(keys)]
+                cells: list[list[bytes]] = [[], [], [], []]
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    k, c = keys[s:e], counts[s:e]
+                    for cell, value in zip(cells, (_packed(k[c == 0]), _packed(k[c == 1]), _packed(k[c > 1]), c[c > 1].astype("<u8").tobytes()), strict=True):
+                        cell.append(value)
+                names = ["part", "unit", "none", "one", "many", "counts"]
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
+
+    return ask
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part after the other to (unit, part, keys, totals), where totals differ from the unit's own counts."""
+
+    def work(part: int, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, own, unit = [], [], []
+        for i, (_, none, one, many, counts) in enumerate(asked):
+            for data, c in ((none, 0), (one, 1), (many, None)):
+                k = _unpacked(data)
+                keys.append(k)
+                own.append(np.full(len(k), c, dtype=np.int64) if c is not None else np.frombuffer(counts, dtype="<u8").astype(np.int64))
+                unit.append(np.full(len(k), i, dtype=np.int32))
+        key, count, of = np.concatenate(keys), np.concatenate(own), np.concatenate(unit)
+        order = np.argsort(key)
+        key, count, of = key[order], count[order], of[order]
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.repeat(np.add.reduceat(count, starts), np.diff(np.append(starts, len(key))))
+        told = np.flatnonzero(total != count)
+        told = told[np.argsort(of[told], kind="stable")]
+        edges = np.searchsorted(of[told], np.arange(len(asked) + 1)).tolist()
+        for (name, *_), s, e in zip(asked, edges[:-1], edges[1:], strict=True):
+            if e > s:
+                cells = [pa.array([name]), pa.array([part], pa.int32()), pa.array([_packed(key[told[s:e]])], pa.binary()), pa.array([total[told[s:e]].astype("<u8").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["unit", "part", "keys", "totals"])
+
+    part, asked = None, []
+    for batch in batches:
+        for p, *row in _rows(batch, ("part", "unit", "none", "one", "many", "counts")):
+            if p != part:
+                if asked:
+                    yield from work(part, asked)
+                part, asked = p, []
+            asked.append(tuple(row))
+    if asked:
+        yield from work(part, asked)
 
-def _counted(seq: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, n-grams, counts) of word numbers; 0 breaks n-grams."""
-    a, b, c = seq[:-2], seq[1:-1], seq[2:]
-    two = (b > 0) & (c > 0)
-    three = two & (a > 0)
-    for order, keys in ((2, (b[two] << _BITS) | c[two]), (3, (a[three] << 2 * _BITS) | (b[three] << _BITS) | c[three])):
-        yield order, *np.unique(keys, return_counts=True)
 
+class Automaton:
+    """The states and arcs that a unit's texts can touch. State 0 is the empty history, 1 + w a word's, beyond those a pair's."""
+
+    def __init__(self, grams: Grams, total: int, distinct: int):
+        one, two, three = grams.counts
+        words, space = len(one), total + FLOOR * (distinct + 1)
+        self.single = ((one + FLOOR) / space if total else np.ones(words)).astype(float)
+        ends = grams.tokens
+        # the first position of each n-gram tells its parts
+        at2, at3 = (self._first(numbers, len(counts)) for numbers, counts in ((grams.numbers[1], two), (grams.numbers[2], three)))
+        last2, before2 = ends[at2], ends[at2 - 1]
+        pair3, inner3 = grams.numbers[1][at3 - 1], grams.numbers[1][at3]
+        m1, m2 = STRENGTH[1], STRENGTH[2]
+        p2 = (two + m1 * self.single[last2]) / (one[before2] + m1)
+        p3 = (three + m2 * p2[inner3]) / (two[pair3] + m2)
+        has2, has3 = np.flatnonzero(two), np.flatnonzero(three)
+        key2 = ((1 + before2[has2]) << 32) | last2[has2]
+        key3 = ((1 + words + pair3[has3]) << 32) | ends[at3[has3]]
+        # an arc of a word leads to its own state if it was seen in training, an arc of a pair to the pair's
+        self.arcs = dict(zip(np.concatenate([key2, key3]).tolist(), zip(np.log10(np.concatenate([p2[has2], p3[has3]])).tolist(), (1 + words + np.concatenate([has2, inner3[has3]])).tolist(), strict=True), strict=True))
+        self.empty = list(zip(np.log10(self.single).tolist(), np.where(one > 0, 1 + np.arange(words), 0).tolist(), strict=True))
+        self.fail = [0.0, *np.log10(m1 / (one + m1)).tolist(), *np.log10(m2 / (two + m2)).tolist()]
+        self.shorter = [0, *([0] * words), *(1 + last2).tolist()]
+
+    @staticmethod
+    def _first(numbers: np.ndarray, n: int) -> np.ndarray:
+        at = np.zeros(n, dtype=np.int64)
+        valid = np.flatnonzero(numbers >= 0)[::-1]
+        at[numbers[valid]] = valid
+        return at
+
+    def traverse(self, words: list[int], state: int = 0) -> tuple[float, int]:
+        """Log-probability of the words and the state reached."""
+        total, arcs, fail, shorter, empty = 0.0, self.arcs.get, self.fail, self.shorter, self.empty
+        for w in words:
+            while state:
+                if (arc := arcs(state << 32 | w)) is not None:
+                    break
+                total += fail[state]
+                state = shorter[state]
+            p, state = arc if state else empty[w]
+            total += p
+        return total, state
+
+
+def _scorer(total: int, distinct: int, bits: int, kind: pa.DataType):
+    """Rows of a unit (first the unit itself, then its answers) to (row, id, held_out, n_tokens, n_known, base, score) of its pieces."""
+
+    def work(unit: tuple, keys: list[np.ndarray], totals: list[np.ndarray]) -> pa.RecordBatch:
+        row, ids, held, *own = unit
+        _, _, _, n, ahead = own
+        grams = Grams(*own)
+        if keys:
+            grams.learn(np.concatenate(keys), np.concatenate(totals), bits)
+        automaton = Automaton(grams, total, distinct)
+        log = np.log10(grams.counts[0] + 1.0)
+        known, base, score = [], [], []
+        for start, count, before in zip(grams.starts.tolist(), n, ahead, strict=True):
+            state = automaton.traverse(grams.tokens[start : start + before].tolist())[1]
+            words = grams.tokens[start + before : start + before + count]
+            known.append(int((grams.counts[0][words] > 0).sum()))
+            base.append(float(log[words].sum()))
+            score.append(automaton.traverse(words.tolist(), state)[0])
+        cells = [pa.array(row, pa.int64()), pa.array(ids, kind), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(cells, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-def _ngram_counter(ids: dict[bytes, int], end: int, wanted: dict[int, np.ndarray] | None):
-    """Per section of the corpus, n-grams and counts: those that reach their share there (wanted None), those wanted, or all ({})."""
+    def run(batches):
+        unit, keys, totals = None, [], []
+        for batch in batches:
+            for part, told, counts, *own in _rows(batch, ("part", "keys", "totals", "row", "id", "held", *_UNIT_GRAMS)):
+                if part < 0:
+                    if unit is not None:
+                        yield work(unit, keys, totals)
+                    unit, keys, totals = tuple(own), [], []
+                else:
+                    keys.append(_unpacked(told) | np.uint64(part << 8 * KEY))
+                    totals.append(np.frombuffer(counts, dtype="<u8").astype(np.int64))
+        if unit is not None:
+            yield work(unit, keys, totals)
 
-    def count(batches):
-        held: list[np.ndarray] = []  # an array a text
-        tokens = 0
-        for whole in batches:
-            for batch in pieces_of(whole, 0):
-                for text in as_bytes(batch.column(0)):
-                    own = [_sequence(part, ids) for part in segments((text or b"").lower())]
-                    # zeros keep n-grams inside their text
-                    held.append(np.concatenate([np.zeros(2, np.int64), *own, np.array([end], np.int64)]))
-                    tokens += len(held[-1]) - 2
-                if tokens >= 2 * SECTION:
-                    # one section goes, at least one stays: a small last one would make everything a candidate
-                    upto = int(np.searchsorted(np.cumsum([len(x) - 2 for x in held]), SECTION)) + 1
-                    gone = sum(len(x) - 2 for x in held[:upto])
-                    yield from out(np.concatenate(held[:upto]), gone)
-                    held, tokens = held[upto:], tokens - gone
-        if held:
-            yield from out(np.concatenate(held), tokens)
-
-    def out(seq, tokens):
-        for order, keys, n in _counted(seq):
-            if wanted is None:
-                keep = n >= (PAIR_SHARE if order == 2 else TRIPLE_SHARE) * tokens
-            elif not wanted:
-                keep = n > 0
-            else:
-                at = np.minimum(np.searchsorted(wanted[order], keys), max(len(wanted[order]) - 1, 0))
-                keep = wanted[order][at] == keys if len(wanted[order]) else np.zeros(len(keys), dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), order, dtype=np.int32)), pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], names=["k", "gram", "n"])
-
-    return count
-
-
-def _ngrams(texts: DataFrame, ids: dict[bytes, int], counts: list[int], total: int) -> dict[int, dict[int, int]]:
-    """The pairs and triples that reach their share, with their counts over all texts."""
-    spark, layout = texts.sparkSession, "k int, gram long, n long"
-    # an n-gram is no more frequent than its words
-    own = {w: i for w, i in ids.items() if counts[i] >= min(PAIR_SHARE, TRIPLE_SHARE) * total}
-    shared, end = spark.sparkContext.broadcast(own), own.get(END, 0)
-
-    def candidates(batches):
-        yield from _ngram_counter(shared.value, end, None)(batches)
-
-    found = stored(texts.mapInArrow(candidates, layout).select("k", "gram").distinct(), "candidates")
-    if found.count() <= CANDIDATES:
-        table = found.toArrow()
-        k, gram = (table.column(c).to_numpy() for c in ("k", "gram"))
-        wanted = spark.sparkContext.broadcast({order: np.sort(gram[k == order]) for order in (2, 3)})
-
-        def count(batches):
-            yield from _ngram_counter(shared.value, end, wanted.value)(batches)
-
-        rows = texts.mapInArrow(count, layout)
-    else:
-
-        def every(batches):
-            yield from _ngram_counter(shared.value, end, {})(batches)
-
-        rows = texts.mapInArrow(every, layout).join(found, ["k", "gram"], "left_semi")
-    limit = F.when(F.col("k") == 2, F.lit(max(2.0, PAIR_SHARE * total))).otherwise(F.lit(max(2.0, TRIPLE_SHARE * total)))
-    kept = rows.groupBy("k", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).toArrow()  # 1 / PAIR_SHARE + 1 / TRIPLE_SHARE rows at most
-    grams: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    for k, g, n in sorted(zip(*(kept.column(c).to_pylist() for c in ("k", "gram", "n")), strict=True)):
-        grams[k][g] = n
-    return grams
+    return run
 
 
-class Automaton:
-    """States are packed histories (0: the empty one); arcs map state and word to a log-probability."""
-
-    def __init__(self, ids: dict[bytes, int], counts: list[int], total: int, distinct: int, pairs: dict[int, int], triples: dict[int, int]):
-        self.ids, self.counts, self.total, self.distinct = ids, counts, total, distinct
-        self.end = ids.get(END, 0)
-        mass = DISCOUNT * distinct / total if total else 1.0
-        self.unseen = log10(mass)
-        #: log-probability of a word at the empty history, by its number
-        self.single = [0.0] + [log10((n - DISCOUNT) / total) for n in counts[1:]] if total else [0.0]
-        low = (1 << _BITS) - 1
-        self.arcs: dict[int, float] = {}
-        self.fail: dict[int, float] = {}
-        unigram = [0.0] + [(n - DISCOUNT) / total for n in counts[1:]] if total else [0.0]
-        left = self._layer(pairs, lambda h: counts[h], lambda g: unigram[g & low])
-        pair_p = {g: 10**p for g, p in self.arcs.items()}
-
-        def lower(g: int) -> float:  # P(c | b) for the triple a b c
-            pair = g & ((1 << 2 * _BITS) - 1)
-            return pair_p[pair] if pair in pair_p else left.get(pair >> _BITS, 1.0) * unigram[g & low]
-
-        self._layer(triples, lambda h: pairs.get(h, 0), lower)
-
-    def _layer(self, grams: dict[int, int], seen, lower) -> dict[int, float]:
-        kept: dict[int, list[float]] = {}
-        for g, n in grams.items():
-            h = g >> _BITS
-            if not (c := seen(h)):
-                continue
-            p = (n - DISCOUNT) / c
-            self.arcs[g] = log10(p)
-            own = kept.setdefault(h, [0.0, 0.0])
-            own[0] += p
-            own[1] += lower(g)
-        weights = {}
-        for h, (high, low) in kept.items():
-            weights[h] = max(1 - high, 1e-9) / max(1 - low, 1e-9)
-            self.fail[h] = log10(weights[h])
-        return weights
-
-    def traverse(self, numbers: list[int], state: tuple[int, int]) -> tuple[float, tuple[int, int]]:
-        """Log-probability along the arcs without the empty history's arcs of words numbered 0, and the state reached.
-
-        The state is the last two words' numbers; 0 stands for no history (a text's begin, or a word below the share).
-        """
-        total, (a, b) = 0.0, state
-        arcs, fail, single = self.arcs.get, self.fail.get, self.single
-        for c in numbers:
-            if b:
-                if a:
-                    h = a << _BITS | b
-                    if c and (p := arcs(h << _BITS | c)) is not None:
-                        total += p
-                        a, b = b, c
-                        continue
-                    total += fail(h, 0.0)
-                if c and (p := arcs(b << _BITS | c)) is not None:
-                    total += p
-                    a, b = b, c
-                    continue
-                total += fail(b, 0.0)
-            total += single[c]
-            a, b = b, c
-        return total, (a, b)
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (word, n) of all training words."""
-    texts = _fold(docs, id_col, text_col).filter("not held").select("text")
-    words = stored(texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = row["total"], row["distinct"]
-    least = max(2, int(np.ceil(WORD_SHARE * total)))
-    common = words.filter((F.col("n") >= least) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").toArrow()  # 1 / WORD_SHARE + 1 rows at most
-    ids = {w: i for i, w in enumerate(common.column("word").to_pylist(), 1)}
-    counts = [0, *common.column("n").to_pylist()]
-    grams = _ngrams(texts, ids, counts, total) if ids else {2: {}, 3: {}}
-    pairs, triples = ({g: grams[k][g] for g in sorted(grams[k])} for k in (2, 3))
-    return Automaton(ids, counts, total, distinct, pairs, triples), words
-
-
-def _tallied(words: list[bytes]) -> tuple[list[bytes], list[int]]:
-    seen = Counter(words)
-    return list(seen), list(seen.values())
+def _distinct_words(units: DataFrame) -> int:
+    """How many distinct words the training texts have."""
+
+    def learned(batches):
+        for batch in batches:
+            for own in _rows(batch, _UNIT_GRAMS):
+                grams = Grams(*own)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.keys[0][grams.counts[0] > 0].view(np.int64))], names=["word"])
+
+    return units.filter("learned > 0").mapInArrow(learned, "word long").distinct().count()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    automaton, words = train(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    n, v = automaton.total, automaton.distinct
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches):
-        auto, part, at = shared.value, TaskContext.get().partitionId() << 40, 0
-        logs = np.log10(np.array(auto.counts, dtype=float) + 1)
-        for whole in batches:
-            for batch in pieces_of(whole):
-                columns: list[list] = [[] for _ in range(7)]
-                for text in as_bytes(batch.column(1)):
-                    rare: list[bytes] = []
-                    total, state, tokens, base = 0.0, (0, 0), 0, 0.0
-                    for section in segments((text or b"").lower()):
-                        own = section.split()
-                        numbers = list(map(auto.ids.get, own, [0] * len(own)))
-                        more, state = auto.traverse(numbers, state)
-                        total += more
-                        tokens += len(own)
-                        base += float(logs[numbers].sum())
-                        rare += [w for w, i in zip(own, numbers, strict=True) if not i]
-                    more, _ = auto.traverse([auto.end], state)
-                    base += float(logs[auto.end])
-                    for column, x in zip(columns, (part | at, tokens + 1, len(rare) + (not auto.end), base, total + more, *_tallied(rare)), strict=True):
-                        column.append(x)
-                    at += 1
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))],
-                    names=["id", "held_out", "row", "n_tokens", "n_rare", "base", "total", "rare", "times"],
-                )
-
-    layout = f"id {kind}, held_out boolean, row long, n_tokens long, n_rare long, base double, total double, rare array<binary>, times array<int>"
-    folded = _fold(docs, id_col, text_col).withColumn("held", F.coalesce("held", F.lit(False)))
-    walked = stored(folded.mapInArrow(run, layout), "walked")
-    each = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    looked = each.join(words, "word", "left")
-    per_row = looked.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("base_more"),
-        F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") - F.lit(DISCOUNT)) / F.lit(float(max(n, 1)))), F.lit(automaton.unseen))).alias("more"),
+    texts = _fold(docs, id_col, text_col)
+    kind = texts.schema["id"].dataType.simpleString()
+    arrow = to_arrow_type(texts.schema["id"].dataType)
+    units = stored(texts.mapInArrow(_units(arrow), _unit_layout(kind)), "units")
+    sums = units.agg(F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()
+    total, distinct = sums["learned"], _distinct_words(units)
+    bits = min(16, max(0, ceil(log2(max(1, 2 * sums["n"] / PART)))))
+    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, none binary, one binary, many binary, counts binary")
+    told = asked.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, keys binary, totals binary")
+    own = ("row", "id", "held", *_UNIT_GRAMS)
+    types = dict(units.dtypes)
+    ready = units.select("unit", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"), *own).unionByName(
+        told.select("unit", "part", "keys", "totals", *(F.lit(None).cast(types[c]).alias(c) for c in own))
+    )
+    scored = ready.repartition("unit").sortWithinPartitions("unit", "part").mapInArrow(
+        _scorer(total, distinct, bits, arrow), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
-    joined = walked.drop("rare", "times").join(per_row, "row", "left")
-    end_unseen = 0.0 if automaton.end else automaton.unseen
-    return joined.select(
-        "id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(n + v + 1))).alias("base_score"),
-        (F.col("total") + F.coalesce("more", F.lit(0.0)) + F.lit(end_unseen)).alias("score"),
+    rows = scored.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return rows.select(
+        "id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"), "score",
     )
 
 

@@ -143,15 +143,46 @@ def test_lm_base_matches_brute_force(spark):
     assert all(r["score"] <= 0 for r in out)
 
 
-def test_lm_automaton_is_a_distribution(spark):
-    rows = docs(150, 3)
-    auto, words = lm.train(frame(spark, rows))
-    vocabulary = {bytes(r["word"]): r["n"] for r in words.collect()}
-    every = [auto.ids.get(w, 0) for w in vocabulary]
-    assert 0 not in every  # all words of so small a corpus are common
-    for state in [(0, 0), (0, every[0]), (every[0], every[1]), (every[1], every[2])]:
-        total = sum(10 ** auto.traverse([w], state)[0] for w in every) + 10 ** (auto.unseen + auto.traverse([0], state)[0])
-        assert total == pytest.approx(1, abs=1e-6)
+def lm_scores(rows):
+    """The model by its formula: counts of whole n-grams, no automaton."""
+    words = lambda t: (t or "").encode().lower().split() + [lm.END]
+    train = [words(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    n = [Counter(tuple(x[i : i + k]) for x in train for i in range(len(x) - k + 1)) for k in (0, 1, 2, 3)]
+    total, distinct = sum(n[1].values()), len(n[1])
+
+    def p(h, c):
+        if not h:
+            return (n[1][(c,)] + lm.FLOOR) / (total + lm.FLOOR * (distinct + 1)) if total else 1.0
+        m = lm.STRENGTH[len(h)]
+        return (n[len(h) + 1][(*h, c)] + m * p(h[1:], c)) / (n[len(h)][h] + m)
+
+    return [(i, round(sum(log10(p(tuple(x[max(0, j - 2) : j]), x[j])) for j in range(len(x))), 6)) for i, t in rows for x in [words(t)]], p, n[1]
+
+
+@pytest.mark.parametrize("unit", [400_000, 50])
+def test_lm_scores_match_the_formula(spark, monkeypatch, unit):
+    """Every n-gram counts; small units send their counts to each other, and a text goes on from one unit into the next."""
+    monkeypatch.setattr(lm, "UNIT", unit)
+    monkeypatch.setattr(lm, "PART", 4_000_000 if unit > 50 else 500)
+    rows = [*EDGES, *docs(60), *docs(60)[:9], (None, "the cat"), (77_001, None), (77_001, "a b a b a b")]
+    out = lm.lm_scoring(frame(spark, rows).repartition(3)).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in out) == Counter(lm_scores(rows)[0])
+
+
+def test_lm_states_are_distributions():
+    _, p, words = lm_scores(docs(40, 3))
+    every = [w for (w,) in words]
+    for h in [(), (every[0],), (every[0], every[1]), (every[1], b"never seen")]:
+        assert sum(p(h, w) for w in every) + p(h, b"unknown word") == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_of_a_text_in_many_sections(spark, monkeypatch):
+    text = " ".join(f"w{i % 97}x{i % 13}" for i in range(400_000))
+    rows = [(1, text), (2, text), (4, "w1x1")]
+    monkeypatch.setattr(lm, "UNIT", 50_000)
+    got = {r["doc_id"]: r for r in lm.lm_scoring(frame(spark, rows)).collect()}
+    assert got[1]["score"] == pytest.approx(got[2]["score"]) and got[1]["n_tokens"] == 400_001
+    assert got[1]["score"] == pytest.approx(dict(lm_scores(rows)[0])[1], rel=1e-9)
 
 
 def test_lm_beats_its_base_on_held_out_text(spark):
@@ -160,9 +191,7 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_candidates_by_join_give_the_same(spark, monkeypatch):
-    rows = frame(spark, docs(120, 5))
-    a, _ = lm.train(rows)
-    monkeypatch.setattr(lm, "CANDIDATES", 0)
-    b, _ = lm.train(rows)
-    assert a.arcs == b.arcs and a.fail == b.fail and a.arcs
+def test_lm_without_training_rows(spark):
+    rows = [(i, "some words") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.lm_scoring(frame(spark, rows)).collect()
+    assert {(r["n_known"], r["train_tokens"], r["score"]) for r in got} == {(0, 0, 0.0)}
