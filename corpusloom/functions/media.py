@@ -138,11 +138,43 @@ def crops(token: str) -> Pieces:
     return lambda counts: F.transform(counts, lambda n: F.when(n > 0, told(n)).otherwise(F.lit(token)))
 
 
+def lined(token: str, line_end: str, end: str) -> Pieces:
+    """Rows of tokens, each closed by ``line_end``, the last by ``end``; a count is struct<rows, columns>."""
+
+    def one(n: Column) -> Column:
+        row = F.repeat(F.lit(token), n["columns"].cast("int"))
+        return F.concat(F.array_join(F.array_repeat(row, n["rows"].cast("int")), line_end), F.lit(end))
+
+    return lambda counts: F.transform(counts, one)
+
+
+def tiled(patch: str, whole: str, start: str, end: str, beside: str, below: str) -> Pieces:
+    """Tiles in rows where there are several, then the whole image; a count is struct<rows, columns, patches>."""
+
+    def one(n: Column) -> Column:
+        tile = F.repeat(F.lit(patch), n["patches"].cast("int"))
+        row = F.concat(F.array_join(F.array_repeat(tile, n["columns"].cast("int")), beside), F.lit(below))
+        tiles = F.when(n["rows"] * n["columns"] > 1, F.repeat(row, n["rows"].cast("int"))).otherwise(F.lit(""))
+        return F.concat(F.lit(start), tiles, F.lit(whole), tile, F.lit(end))
+
+    return lambda counts: F.transform(counts, one)
+
+
+def leading_ids(name: str, images: Column, tokens_per_image: int, image_id: int) -> Column:
+    """Ids in front of a sequence for models that put all images first, else none; their labels are ignored."""
+    n = F.coalesce(F.size(images), F.lit(0)) * tokens_per_image if name in FRONT else F.lit(0)
+    return F.array_repeat(F.lit(image_id), F.greatest(n, F.lit(0)))
+
+
+#: Plugins whose images stand in front of the text.
+FRONT = ("paligemma",)
 _VISION = {"before": "<|vision_start|>", "after": "<|vision_end|>"}
 for _name, _kinds in {
     "base": {}, "mllama": {"image": once("<|image|>")}, "paligemma": {"image": once("")}, "gemma3": {"image": crops("<start_of_image>")},
     "llava": {"image": repeated("<image>")}, "llava_next": {"image": repeated("<image>")}, "llava_next_video": {"image": repeated("<image>"), "video": repeated("<video>")},
-    "video_llava": {"image": repeated("<image>"), "video": repeated("<video>")}, "pixtral": {"image": repeated("[IMG]")},
+    "video_llava": {"image": repeated("<image>"), "video": repeated("<video>")}, "pixtral": {"image": lined("[IMG]", "[IMG_BREAK]", "[IMG_END]")},
+    "llama4": {"image": tiled("<|patch|>", "<|image|>", "<|image_start|>", "<|image_end|>", "<|tile_x_separator|>", "<|tile_y_separator|>")},
+    "minicpm_v": {"image": once("(<image>./</image>)"), "video": repeated("(<image>./</image>)"), "audio": once("(<audio>./</audio>)")},
     "qwen2_vl": {"image": repeated("<|image_pad|>", **_VISION), "video": repeated("<|video_pad|>", **_VISION)},
     "qwen2_audio": {"audio": repeated("<|AUDIO|>", "<|audio_bos|>", "<|audio_eos|>")},
     "qwen2_omni": {

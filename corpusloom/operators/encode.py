@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DataArgs
-from corpusloom.functions import templates
+from corpusloom.functions import media, templates, tools
 from corpusloom.functions.tokens import head, ignored, infer_seqlen, source_labels, tokenizer
 from corpusloom.operators.align import message, none, valid
 
@@ -14,10 +16,34 @@ EOS_ID, BOS_ID, PAD_ID = 2, 1, 0
 _INTS = "cast(array() as array<int>)"
 
 
-def _turn_ids(template: templates.Template, messages: Column, tok, eos: str) -> Column:
+@dataclass(frozen=True)
+class Extras:
+    """What a row has besides text. Counts are columns by kind of medium, one entry per medium of the row."""
+
+    media: dict[str, Column] = field(default_factory=dict)
+    #: Rows may have tools or function turns. Without them encoding stays free of Python.
+    tools: bool = True
+    #: Ids in front of the sequence, for models that put the images there.
+    front: Column | None = None
+
+
+def rendered(template: templates.Template, messages: Column, eos: str, extras: Extras = Extras()) -> Column:
+    """The text of each message: media expanded, function turns and the tool prompt written in the template's tool format."""
+    if extras.media:
+        messages = media.process(messages, template.media, **extras.media)
+    told = F.lit("")
+    if extras.tools:
+        given = F.coalesce(F.col("_tools"), F.lit(""))
+        # a constant empty _tools folds away, and the Python pass with it
+        told = F.when(given == "", F.lit("")).otherwise(tools.tool_prompt_column(given, template.tools))
+        calls = F.exists(messages, lambda m: m["role"] == "function")
+        messages = F.when(calls, tools.spoken(messages, template.tools)).otherwise(messages)
+    return templates.turns(template, messages, F.col("_system"), told, eos=eos)
+
+
+def _turn_ids(text: Column, tok) -> Column:
     """array<struct<source, target>> of token ids, one per round."""
-    rendered = templates.turns(template, messages, F.col("_system"), F.col("_tools"), eos=eos)
-    return F.transform(templates.pairs(rendered), lambda p: F.struct(tok(p["source"]).alias("source"), tok(p["target"]).alias("target")))
+    return F.transform(templates.pairs(text), lambda p: F.struct(tok(p["source"]).alias("source"), tok(p["target"]).alias("target")))
 
 
 def fold_turns(rounds: Column, args: DataArgs, efficient_eos: bool = False, eos_id: int = EOS_ID, cutoff: int | None = None) -> Column:
@@ -43,27 +69,30 @@ def fold_turns(rounds: Column, args: DataArgs, efficient_eos: bool = False, eos_
     return F.transform(F.array(done), lambda d: F.struct(F.concat(d["ids"], end).alias("ids"), F.concat(d["labels"], end).alias("labels")))[0]
 
 
-def supervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>") -> DataFrame:
+def supervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>", extras: Extras = Extras()) -> DataFrame:
     """input_ids, attention_mask, labels of the valid rows."""
     t = templates.get(template)
-    rows = df.filter(valid("sft"))
-    folded = fold_turns(_turn_ids(t, F.concat("_prompt", "_response"), tokenizer(tok), eos), args, t.efficient_eos, cutoff=args.capacity)
-    return _sequence(rows.withColumn("__e", folded))
+    rows = df.filter(valid("sft")).withColumn("__text", rendered(t, F.concat("_prompt", "_response"), eos, extras))
+    folded = fold_turns(_turn_ids(F.col("__text"), tokenizer(tok)), args, t.efficient_eos, cutoff=args.capacity)
+    return _sequence(rows.withColumn("__e", folded).drop("__text"), front=extras.front)
 
 
-def _sequence(df: DataFrame, prefix: str = "") -> DataFrame:
-    out = df.withColumns({f"{prefix}input_ids": F.col("__e.ids"), f"{prefix}labels": F.col("__e.labels")}).drop("__e")
+def _sequence(df: DataFrame, prefix: str = "", front: Column | None = None) -> DataFrame:
+    ids, labels = F.col("__e.ids"), F.col("__e.labels")
+    if front is not None:
+        ids, labels = F.concat(front, ids), F.concat(ignored(F.size(front)), labels)
+    out = df.withColumns({f"{prefix}input_ids": ids, f"{prefix}labels": labels}).drop("__e")
     return out.withColumn(f"{prefix}attention_mask", F.array_repeat(F.lit(1), F.size(f"{prefix}input_ids")))
 
 
-def pairwise(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>") -> DataFrame:
+def pairwise(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>", extras: Extras = Extras()) -> DataFrame:
     """chosen_ and rejected_ input_ids, labels, attention_mask: one prompt, cut for the longer of the two answers."""
     t, f = templates.get(template), tokenizer(tok)
     rows = df.filter(valid("rm"))
     sides = {}
     for i, name in enumerate(("chosen", "rejected")):
         whole = F.concat("_prompt", F.slice("_response", i + 1, 1))
-        prompt, answer = templates.one_turn(templates.turns(t, whole, F.col("_system"), F.col("_tools"), eos=eos))
+        prompt, answer = templates.one_turn(rendered(t, whole, eos, extras))
         end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
         sides |= {"__prompt": f(prompt), f"__{name}": F.concat(f(answer), end)}
     rows = rows.withColumns(sides)
@@ -88,7 +117,7 @@ def batched(df: DataFrame, size: int = 1000) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col("row_idx") / size).cast("long"))
 
 
-def feedback(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>") -> DataFrame:
+def feedback(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>", extras: Extras = Extras()) -> DataFrame:
     """Preference rows: own sequence, that with the previous row's answer (kl_), and kto_tags (does the first answer have text?)."""
     t, f = templates.get(template), tokenizer(tok)
     rows = shifted(batched(df, args.batch_size), "_response").filter(valid("kto"))
@@ -99,7 +128,7 @@ def feedback(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespac
     rows = rows.withColumn("kto_tags", tag)
     end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
     for prefix, last in (("", own), ("kl_", kl)):
-        prompt, response = templates.one_turn(templates.turns(t, F.concat("_prompt", F.array(last)), F.col("_system"), F.col("_tools"), eos=eos))
+        prompt, response = templates.one_turn(rendered(t, F.concat("_prompt", F.array(last)), eos, extras))
         rows = rows.withColumns({"__p": f(prompt), "__r": F.concat(f(response), end)})
         s, n = infer_seqlen(F.size("__p"), F.size("__r"), args.cutoff_len)
         source, target = head(F.col("__p"), s), head(F.col("__r"), n)
@@ -112,12 +141,12 @@ def balance(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if("kto_tags").alias("desirable"), F.count_if(~F.col("kto_tags")).alias("undesirable")).withColumn("unbalanced", (F.col("desirable") == 0) | (F.col("undesirable") == 0))
 
 
-def unsupervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>") -> DataFrame:
+def unsupervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>", extras: Extras = Extras()) -> DataFrame:
     """input_ids of the prompt, labels of the response (an empty answer where there is none)."""
     t, f = templates.get(template), tokenizer(tok)
     rows = df.filter(valid("unsupervised"))
     answer = F.when(F.size("_response") == 1, F.col("_response")).otherwise(F.array(message("assistant", F.lit(""))))
-    prompt, response = templates.one_turn(templates.turns(t, F.concat("_prompt", answer), F.col("_system"), F.col("_tools"), eos=eos))
+    prompt, response = templates.one_turn(rendered(t, F.concat("_prompt", answer), eos, extras))
     end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
     rows = rows.withColumns({"__p": f(prompt), "__r": F.concat(f(response), end)})
     s, n = infer_seqlen(F.size("__p"), F.size("__r"), args.cutoff_len)

@@ -98,11 +98,24 @@ def schedule(rows: int, per_step: int, accumulate: int, epochs: int, done: int =
     return {"steps_per_epoch": steps, "total_steps": steps * epochs, "first_epoch": done // steps, "skip_batches": done % steps * accumulate}
 
 
-def transformer_flops(layers: int, hidden: int, inner: int, vocab: int, length: Column, kv_share: float = 1.0) -> Column:
-    """Multiply-adds, twice, of a forward and backward pass over one sequence."""
-    attention = layers * (2 * hidden * hidden + 2 * hidden * hidden * kv_share)
-    dense = layers * 3 * hidden * inner + vocab * hidden
-    return 6 * (attention + dense) * length + 6 * layers * hidden * length * length
+def transformer_flops(
+    layers: int, hidden: int, inner: int, vocab: int, length: Column, kv_share: float = 1.0, batch: int = 1,
+    tied: bool = False, backward: bool = True, recompute: bool = False, flash: bool = False,
+) -> Column:
+    """Floating-point operations of a pass over ``batch`` sequences of ``length`` tokens.
+
+    A multiply-add counts 2. Blocks (gated layers, projections, the two products of attention) count once more for each further
+    pass: two for backward, one for recomputation; embeddings, twice unless tied, have no recomputation.
+    """
+    n = length.cast("double")
+    tokens = n * float(batch)
+    dense = tokens * float(layers * 6 * hidden * inner)
+    projected = tokens * float(layers * 4 * hidden * hidden * (1 + kv_share))
+    products = n * n * float(batch * layers * 4 * hidden)
+    embedded = tokens * float(hidden * vocab * (1 if tied else 2))
+    passes = 3 if backward else 1
+    total = (dense + projected + products) * (passes + int(recompute)) + embedded * passes
+    return total + products if flash else total
 
 
 def utilisation(flops: Column, seconds: Column, device_tflops: float, world: int = 1) -> Column:
@@ -110,9 +123,10 @@ def utilisation(flops: Column, seconds: Column, device_tflops: float, world: int
 
 
 def mean_embedding(tokens: DataFrame, vectors: DataFrame, key: str, ids: str, vector_id: str, vector: str) -> DataFrame:
-    """Per key, the mean of the vectors of its token ids (unknown ids left out)."""
-    each = tokens.select(key, F.explode(ids).alias(vector_id)).join(vectors.select(vector_id, F.posexplode(vector).alias("__i", "__v")), vector_id)
-    means = each.groupBy(key, "__i").agg(F.avg("__v").alias("__m"))
+    """Per key, the mean of the vectors of its token ids (unknown ids left out). Vectors are joined whole and taken apart only for the sums."""
+    each = tokens.select(key, F.explode(ids).alias(vector_id)).groupBy(key, vector_id).agg(F.count("*").alias("__times"))
+    placed = each.join(vectors.select(vector_id, F.col(vector).alias("__vector")), vector_id).select(key, "__times", F.posexplode("__vector").alias("__i", "__v"))
+    means = placed.groupBy(key, "__i").agg((F.sum(F.col("__v") * F.col("__times")) / F.sum("__times")).alias("__m"))
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda x: x["__m"]).alias("embedding"))
 
 

@@ -20,6 +20,10 @@ TALK = DatasetSpec(
 TEXTS = DatasetSpec("documents", columns={"prompt": "instruction", "query": "input", "response": "output", "kto_tag": "tag"})
 
 
+#: The tables below have neither tools nor function turns nor media.
+PLAIN = encode.Extras(tools=False)
+
+
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned conversations; row_idx is conv_id, which is dense."""
     rows = gathered(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("conv_id", "row_idx")
@@ -104,13 +108,13 @@ fold AS (SELECT conv_id, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS kept FR
       FROM fold f JOIN r ON f.conv_id = r.conv_id AND f.r = r.r WHERE used < {CUT}) f))
 SELECT conv_id AS row_idx, max(used) AS n_ids, max(kept) AS n_labels FROM fold GROUP BY conv_id""")
 def sft_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.supervised(talk(spark, sf_dir), "default", DataArgs(cutoff_len=CUT))
+    out = encode.supervised(talk(spark, sf_dir), "default", DataArgs(cutoff_len=CUT), extras=PLAIN)
     return out.select("row_idx", F.size("input_ids").cast("long").alias("n_ids"), F.size(valid_labels(F.col("labels"))).cast("long").alias("n_labels"))
 
 
 @query()
 def sft_mask_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.supervised(talk(spark, sf_dir), "qwen", DataArgs(cutoff_len=CUT, mask_history=True))
+    out = encode.supervised(talk(spark, sf_dir), "qwen", DataArgs(cutoff_len=CUT, mask_history=True), extras=PLAIN)
     return out.select("row_idx", "input_ids", "labels", "attention_mask")
 
 
@@ -159,18 +163,18 @@ def kto_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT count(*) FILTER (ok) AS desirable, count(*) FILTER (NOT ok) AS undesirable, count(*) FILTER (ok) = 0 OR count(*) FILTER (NOT ok) = 0 AS unbalanced FROM (
 SELECT quality = 1 AND length(text) > length(split_part(text, chr(10), 1)) + 1 AS ok FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)""")
 def kto_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.balance(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256)))
+    return encode.balance(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256), extras=PLAIN))
 
 
 @query()
 def kto_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256))
+    out = encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256), extras=PLAIN)
     return out.select("row_idx", "kto_tags", "input_ids", "labels", "kl_input_ids", "kl_labels")
 
 
 @query()
 def kto_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack.feedback_rows(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=64)))
+    out = pack.feedback_rows(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=64), extras=PLAIN))
     return out.select("row_idx", F.size("input_ids").alias("width"), F.size("kl_input_ids").alias("kl_width"), F.size("labels").alias("label_width"))
 
 
@@ -194,7 +198,7 @@ z AS (SELECT g.doc_id, 5 + 2 AS s, len(regexp_extract_all(g.text || '</s>', '\\S
 n AS (SELECT *, least(t, CASE WHEN t * 2 < 128 THEN 128 WHEN s * 2 < 128 THEN 128 - s ELSE trunc(128 * (t::DOUBLE / (s + t)))::BIGINT END) AS nt FROM m)
 SELECT doc_id AS row_idx, (least(greatest(128 - nt, 0), s) + least(c, nt))::INT AS n_chosen, (least(greatest(128 - nt, 0), s) + least(j, nt))::INT AS n_rejected, least(c, nt)::INT AS n_labels FROM n""")
 def pairwise_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.pairwise(align(pairs_by_source(spark, sf_dir), PAIRED), "ext_pair", DataArgs(cutoff_len=128), eos="</s>")
+    out = encode.pairwise(align(pairs_by_source(spark, sf_dir), PAIRED), "ext_pair", DataArgs(cutoff_len=128), extras=PLAIN, eos="</s>")
     return out.select("row_idx", F.size("chosen_input_ids").alias("n_chosen"), F.size("rejected_input_ids").alias("n_rejected"), F.size(valid_labels(F.col("chosen_labels"))).alias("n_labels"))
 
 
@@ -204,19 +208,19 @@ templates.register(templates.Template("ext_pair", "Human : please : <C>", "<C><E
 
 @query()
 def pairwise_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.batched(encode.pairwise(align(pairs_by_source(spark, sf_dir), PAIRED), "default", DataArgs(cutoff_len=128)), 8)
+    out = encode.batched(encode.pairwise(align(pairs_by_source(spark, sf_dir), PAIRED), "default", DataArgs(cutoff_len=128), extras=PLAIN), 8)
     return pack.pair_rows(out).select("batch_id", "place", "side", "row_idx", F.size("input_ids").alias("width"), F.size(valid_labels(F.col("labels"))).alias("n_labels"))
 
 
 @query()
 def unsupervised_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.unsupervised(talk(spark, sf_dir), "llama3", DataArgs(cutoff_len=CUT))
+    out = encode.unsupervised(talk(spark, sf_dir), "llama3", DataArgs(cutoff_len=CUT), extras=PLAIN)
     return out.select("row_idx", "input_ids", "labels")
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = DataArgs(cutoff_len=512, packing=True)
-    rows = encode.batched(encode.supervised(talk(spark, sf_dir), "default", args))
+    rows = encode.batched(encode.supervised(talk(spark, sf_dir), "default", args, extras=PLAIN))
     return pack.knapsack(rows, args.capacity)
 
 
@@ -255,7 +259,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT b, sum(v) AS v, max(n) * count(*) AS places FROM c GROUP BY b)
 SELECT sum(v)::BIGINT AS valid, sum(places)::BIGINT AS places, sum(v) / sum(places) AS ratio, 3e-4 * sqrt(sum(v) / sum(places) * 4096.0 * 8 / 4000000) AS rate FROM p""")
 def valid_ratio_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode.batched(encode.supervised(talk(spark, sf_dir), "default", DataArgs(cutoff_len=1_000_000)), 8)
+    rows = encode.batched(encode.supervised(talk(spark, sf_dir), "default", DataArgs(cutoff_len=1_000_000), extras=PLAIN), 8)
     out = stats.valid_ratio(rows)
     return out.withColumn("rate", stats.optimal_rate(4096, 8, F.col("ratio")))
 
@@ -285,3 +289,50 @@ def seeded(seed: int, column: str) -> Column:
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('7-' || doc_id)) - 1 AS place FROM documents")
 def shuffled_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "documents").select("doc_id"), seeded(7, "doc_id"), out="place")
+
+
+#: Rows with one tool, a call and its result, as JSON text; the SQL below says what the qwen layout makes of them.
+TOOLED = DatasetSpec(
+    "tooled", formatting="sharegpt", columns={"messages": "messages", "tools": "tools"},
+    tags={"role_tag": "role", "content_tag": "content", "user_tag": "user", "assistant_tag": "assistant", "observation_tag": "observation", "function_tag": "function_call", "system_tag": "system"},
+)
+
+
+@query(r"""SELECT p_partkey AS row_idx, '<|im_start|>system' || chr(10) || 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.'
+  || chr(10) || chr(10) || '# Tools' || chr(10) || chr(10) || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10)
+  || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || chr(10)
+  || '{"type": "function", "function": {"name": "price", "description": "Price of a part", "parameters": {"type": "object", "properties": {"key": {"type": "integer"}}}}}'
+  || chr(10) || '</tools>' || chr(10) || chr(10) || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:' || chr(10)
+  || '<tool_call>' || chr(10) || '{"name": <function-name>, "arguments": <args-json-object>}' || chr(10) || '</tool_call><|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || 'Price of ' || p_name || '?<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+  || '<tool_call>' || chr(10) || '{"name": "price", "arguments": {"key": ' || p_partkey || '}}' || chr(10) || '</tool_call><|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || '<tool_response>' || chr(10) || '{"size": ' || p_size || '}' || chr(10) || '</tool_response><|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+  || 'It is of size ' || p_size || '.<|im_end|>' || chr(10) AS text FROM part""")
+def render_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    turn = lambda role, *text: F.struct(F.lit(role).alias("role"), F.concat(*text).alias("content"))
+    rows = part.select(
+        F.col("p_partkey").alias("row_idx"),
+        F.lit('[{"name": "price", "description": "Price of a part", "parameters": {"type": "object", "properties": {"key": {"type": "integer"}}}}]').alias("tools"),
+        F.array(
+            turn("user", F.lit("Price of "), F.col("p_name"), F.lit("?")),
+            turn("function_call", F.lit('{"name":"price","arguments":{"key":'), F.col("p_partkey").cast("string"), F.lit("}}")),
+            turn("observation", F.lit('{"size": '), F.col("p_size").cast("string"), F.lit("}")),
+            turn("assistant", F.lit("It is of size "), F.col("p_size").cast("string"), F.lit(".")),
+        ).alias("messages"),
+    )
+    out = align(rows, TOOLED)
+    text = encode.rendered(templates.get("qwen"), F.concat("_prompt", "_response"), "<|im_end|>")
+    return out.select("row_idx", F.array_join(text, "").alias("text"))
+
+
+@query(r"""SELECT p_partkey AS row_idx, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
+  || 'What is <|vision_start|>' || repeat('<|image_pad|>', p_size) || '<|vision_end|> beside <|vision_start|>' || repeat('<|image_pad|>', 2) || '<|vision_end|>?<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10) || p_name || '<|im_end|>' || chr(10) AS text FROM part""")
+def render_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_idx"), F.lit("What is <image> beside <image>?").alias("instruction"), F.col("p_name").alias("output"), F.array(F.col("p_size"), F.lit(2)).alias("counts"),
+    )
+    out = align(rows, DatasetSpec("pictures", columns={"prompt": "instruction", "response": "output"}))
+    extras = encode.Extras(media={"image": F.col("counts")}, tools=False)
+    return out.select("row_idx", F.array_join(encode.rendered(templates.get("qwen2_vl"), F.concat("_prompt", "_response"), "<|im_end|>", extras), "").alias("text"))

@@ -145,10 +145,17 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.throughput(rows, "ids", 3.0, 60.0, 8).withColumn("tokens_per_second", cents("tokens_per_second"))
 
 
-@query("""SELECT p_partkey, round(6.0 * (32 * (4.0 * 4096 * 4096) + 32 * 3 * 4096 * 11008.0 + 32000 * 4096.0) * p_size * 64 + 6.0 * 32 * 4096 * (p_size * 64.0) * (p_size * 64.0), 0) / 1e12 AS tflops FROM part""")
+@query("""WITH s AS (SELECT p_partkey, (p_size * 64)::DOUBLE AS n FROM part),
+f AS (SELECT p_partkey, 8 * n * 32 * 3 * 2 * 4096.0 * 11008.0 AS mlp, 8 * n * 32 * (2 * 2 * 4096.0 * 4096.0 + 2 * (2 * 4096.0 * 4096.0 * 8 / 32)) AS proj,
+  8 * 32 * (2 * 2 * 4096.0 * n * n) AS sdpa, 8 * n * 4096.0 * 32000.0 * 2 AS emb FROM s)
+SELECT p_partkey, round(3 * (mlp + proj + sdpa) + 3 * emb, 0) / 1e12 AS train_tflops, round(4 * (mlp + proj + sdpa) + 3 * emb + sdpa, 0) / 1e12 AS recompute_tflops,
+  round(mlp + proj + sdpa + emb / 2, 0) / 1e12 AS forward_tied_tflops FROM f""")
 def analytic_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (F.col("p_size") * 64).cast("double")
-    return table(spark, sf_dir, "part").select("p_partkey", (F.round(stats.transformer_flops(32, 4096, 11008, 32000, n), 0) / 1e12).alias("tflops"))
+    n = F.col("p_size") * 64
+    flops = lambda **how: F.round(stats.transformer_flops(32, 4096, 11008, 32000, n, kv_share=0.25, batch=8, **how), 0) / 1e12
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", flops().alias("train_tflops"), flops(recompute=True, flash=True).alias("recompute_tflops"), flops(backward=False, tied=True).alias("forward_tied_tflops")
+    )
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
