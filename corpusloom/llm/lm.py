@@ -11,8 +11,9 @@ to 1. The end of a text is a word like any other. One traversal from left to rig
 Size: every n-gram of the training texts counts, none is cut. The texts are dealt into units of about ``UNIT`` tokens. Each unit names its
 distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space, added up there, and the
 totals that differ from a unit's own are sent back to it. So a task that scores a unit holds exactly the arcs that its texts can
-touch, and what is moved grows with the input, a few bytes an n-gram. Different n-grams of one hash (48 bits and those of the part's
-number) add their counts: about one in 10^7 of the n-grams of half a gigabyte, fewer for words, whose counts decide n_known.
+touch, and what is moved grows with the input, a few bytes an n-gram. Words are told by 64 bits. Pairs and triples are told by 40
+bits besides those of the part; as the parts' number grows with the n-grams, about 4 in a million share a hash with another and
+add their counts, at any size.
 
 Defined cases: a null text is empty and scores its end alone; repeated rows count as often as they occur and are scored alike;
 ties do not matter, as nothing is ranked; a row with a null id is in neither fold (held_out false, not learned from); very long
@@ -40,10 +41,10 @@ from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 #: The end of a text; no word holds white space, so none equals it.
 END = b"\n"
 FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
-#: Tokens of a unit, and n-grams that a part of the hash space takes.
-UNIT, PART = 400_000, 4_000_000
-#: Bytes of a hash that travel besides the part.
-KEY = 6
+#: Tokens of a unit, tokens whose arcs are held at once while it is scored, and n-grams that a part of the hash space takes.
+UNIT, HELD, PART = 1_500_000, 400_000, 4_000_000
+#: Bits of the hash of a pair or triple besides those that number the part.
+KEY = 40
 
 
 def _fold(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,7 +74,7 @@ def _units(id_type: pa.DataType):
             cells = [
                 pa.array([part | serial]), pa.array([row], pa.list_(pa.int64())), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([train], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([ahead], pa.list_(pa.int32())),
-                pa.array([words.tobytes()], pa.binary()), pa.array([pack(np.concatenate(tokens).tobytes())], pa.binary()), pa.array([learned], pa.int64()),
+                pa.array([words.tobytes()], pa.binary()), pa.array([pack(np.concatenate(tokens).astype(np.uint16 if len(vocabulary) < 1 << 16 else np.uint32).tobytes())], pa.binary()), pa.array([learned], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(cells, names=["unit", "row", "id", "held", "train", "n", "ahead", "words", "tokens", "learned"])
 
@@ -109,7 +110,7 @@ class Grams:
     """The n-grams of one unit: for each order the distinct hashes, the unit's own training counts, and the number of each position's n-gram (-1: none)."""
 
     def __init__(self, words: bytes, tokens: bytes, train: list[bool], n: list[int], ahead: list[int]):
-        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), dtype=np.uint32).astype(np.int64)
+        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), dtype=np.uint16 if len(words) // 8 < 1 << 16 else np.uint32).astype(np.int64)
         sizes = np.array(n, dtype=np.int64) + np.array(ahead, dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
@@ -132,35 +133,40 @@ class Grams:
             counts.append(np.bincount(own, counted[valid], len(found)).astype(np.int64))
         self.keys, self.numbers, self.counts = keys, numbers, counts
 
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, counts) of all orders by hash."""
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys)
-        return keys[order], counts[order]
-
-    def learn(self, keys: np.ndarray, totals: np.ndarray, bits: int) -> None:
-        """Puts in the totals of all training texts; ``keys`` are sorted, n-grams absent there stay as they are."""
-        if len(keys):
-            for own, counts in zip(self.keys, self.counts, strict=True):
-                short = shortened(own, bits)
+    def spaces(self, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, counts) by hash: of the words, and of the pairs and triples, shortened."""
+        out = []
+        for keys, counts in ((self.keys[0], self.counts[0]), (np.concatenate(self.keys[1:]) >> np.uint64(64 - KEY - bits), np.concatenate(self.counts[1:]))):
+            order = np.argsort(keys)
+            out.append((keys[order], counts[order]))
+        return out
+
+    def learn(self, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], bits: int) -> None:
+        """Puts in the totals of all training texts, as (sorted keys, totals); n-grams absent there stay as they are."""
+        for order, (own, counts) in enumerate(zip(self.keys, self.counts, strict=True)):
+            keys, totals = grams if order else words
+            if len(keys):
+                short = own >> np.uint64(64 - KEY - bits) if order else own
                 at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                 hit = keys[at] == short
                 counts[hit] = totals[at[hit]]
 
 
-def shortened(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The first ``bits`` bits, which number the part, and the ``KEY`` bytes after them, which travel."""
-    return keys >> np.uint64(64 - 8 * KEY - bits)
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte by byte of their places, and counts, mostly one byte each; compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    large = counts >= 255
+    parts = [np.array([len(keys)], "<i8").tobytes(), np.ascontiguousarray(gaps.T).tobytes(), np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEY, 8), dtype=np.uint8)
-    out[:, :KEY] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY)
-    return out.view("<u8").reshape(-1)
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").reshape(-1)
+    counts = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<i8", offset=8 + 9 * n)
+    return np.cumsum(gaps, dtype=np.uint64), counts
 
 
 _UNIT_GRAMS = ("words", "tokens", "train", "n", "ahead")
@@ -172,94 +178,94 @@ def _rows(batch: pa.RecordBatch, names) -> Iterator[tuple]:
 
 
 def _asker(bits: int):
-    """Units to (part, unit, none, one, many, counts): packed hashes that the unit counts not at all, once, or more often."""
+    """Units to (part, unit, words, grams): packed hashes with the unit's own counts, by part."""
     parts = 1 << bits
 
     def ask(batches):
         for batch in batches:
             for unit, *own in _rows(batch, ("unit", *_UNIT_GRAMS)):
-                keys, counts = Grams(*own).all()
-                keys = shortened(keys, bits)
-                edges = np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(8 * KEY)).tolist() + [len(keys)]
-                cells: list[list[bytes]] = [[], [], [], []]
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    k, c = keys[s:e], counts[s:e]
-                    for cell, value in zip(cells, (_packed(k[c == 0]), _packed(k[c == 1]), _packed(k[c > 1]), c[c > 1].astype("<u8").tobytes()), strict=True):
-                        cell.append(value)
-                names = ["part", "unit", "none", "one", "many", "counts"]
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
+                cells = []
+                for (keys, counts), width in zip(Grams(*own).spaces(bits), (64, KEY + bits), strict=True):
+                    edges = [*np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(keys)] if bits else [0, len(keys)]
+                    cells.append(pa.array([packed(keys[s:e], counts[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts, pa.int64()), *cells], names=["part", "unit", "words", "grams"])
 
     return ask
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part after the other to (unit, part, keys, totals), where totals differ from the unit's own counts."""
-
-    def work(part: int, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, own, unit = [], [], []
-        for i, (_, none, one, many, counts) in enumerate(asked):
-            for data, c in ((none, 0), (one, 1), (many, None)):
-                k = _unpacked(data)
-                keys.append(k)
-                own.append(np.full(len(k), c, dtype=np.int64) if c is not None else np.frombuffer(counts, dtype="<u8").astype(np.int64))
-                unit.append(np.full(len(k), i, dtype=np.int32))
-        key, count, of = np.concatenate(keys), np.concatenate(own), np.concatenate(unit)
-        order = np.argsort(key)
-        key, count, of = key[order], count[order], of[order]
-        if not len(key):
-            return
+def _summed(asked: list[bytes]) -> list[bytes]:
+    """For each unit's packed counts, packed totals of what others count as well."""
+    found = [unpacked(x) for x in asked]
+    key, count = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+    of = np.repeat(np.arange(len(found), dtype=np.int32), [len(k) for k, _ in found])
+    order = np.argsort(key)
+    key, count, of = key[order], count[order], of[order]
+    if len(key):
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         total = np.repeat(np.add.reduceat(count, starts), np.diff(np.append(starts, len(key))))
-        told = np.flatnonzero(total != count)
-        told = told[np.argsort(of[told], kind="stable")]
-        edges = np.searchsorted(of[told], np.arange(len(asked) + 1)).tolist()
-        for (name, *_), s, e in zip(asked, edges[:-1], edges[1:], strict=True):
-            if e > s:
-                cells = [pa.array([name]), pa.array([part], pa.int32()), pa.array([_packed(key[told[s:e]])], pa.binary()), pa.array([total[told[s:e]].astype("<u8").tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cells, names=["unit", "part", "keys", "totals"])
+    else:
+        total = count
+    told = np.flatnonzero(total != count)
+    told = told[np.argsort(of[told], kind="stable")]
+    edges = np.searchsorted(of[told], np.arange(len(found) + 1)).tolist()
+    return [packed(key[told[s:e]], total[told[s:e]]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part after the other to (unit, part, words, grams), totals where they differ from the unit's own counts."""
+
+    def work(part: int, asked: list[tuple]) -> pa.RecordBatch:
+        units, words, grams = zip(*asked, strict=True)
+        cells = [pa.array(units, pa.int64()), pa.array([part] * len(units), pa.int32()), pa.array(_summed(words), pa.binary()), pa.array(_summed(grams), pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, names=["unit", "part", "words", "grams"])
 
     part, asked = None, []
     for batch in batches:
-        for p, *row in _rows(batch, ("part", "unit", "none", "one", "many", "counts")):
+        for p, *row in _rows(batch, ("part", "unit", "words", "grams")):
             if p != part:
                 if asked:
-                    yield from work(part, asked)
+                    yield work(part, asked)
                 part, asked = p, []
             asked.append(tuple(row))
     if asked:
-        yield from work(part, asked)
+        yield work(part, asked)
 
 
 class Automaton:
     """The states and arcs that a unit's texts can touch. State 0 is the empty history, 1 + w a word's, beyond those a pair's."""
 
     def __init__(self, grams: Grams, total: int, distinct: int):
-        one, two, three = grams.counts
+        self.grams = grams
+        one, two, _ = grams.counts
         words, space = len(one), total + FLOOR * (distinct + 1)
         self.single = ((one + FLOOR) / space if total else np.ones(words)).astype(float)
-        ends = grams.tokens
-        # the first position of each n-gram tells its parts
-        at2, at3 = (self._first(numbers, len(counts)) for numbers, counts in ((grams.numbers[1], two), (grams.numbers[2], three)))
-        last2, before2 = ends[at2], ends[at2 - 1]
-        pair3, inner3 = grams.numbers[1][at3 - 1], grams.numbers[1][at3]
+        at2 = np.zeros(len(two), dtype=np.int64)  # a position of each pair tells its words
+        valid = np.flatnonzero(grams.numbers[1] >= 0)
+        at2[grams.numbers[1][valid]] = valid
+        self.last2, self.before2 = grams.tokens[at2], grams.tokens[at2 - 1]
         m1, m2 = STRENGTH[1], STRENGTH[2]
-        p2 = (two + m1 * self.single[last2]) / (one[before2] + m1)
-        p3 = (three + m2 * p2[inner3]) / (two[pair3] + m2)
-        has2, has3 = np.flatnonzero(two), np.flatnonzero(three)
-        key2 = ((1 + before2[has2]) << 32) | last2[has2]
-        key3 = ((1 + words + pair3[has3]) << 32) | ends[at3[has3]]
-        # an arc of a word leads to its own state if it was seen in training, an arc of a pair to the pair's
-        self.arcs = dict(zip(np.concatenate([key2, key3]).tolist(), zip(np.log10(np.concatenate([p2[has2], p3[has3]])).tolist(), (1 + words + np.concatenate([has2, inner3[has3]])).tolist(), strict=True), strict=True))
+        self.p2 = (two + m1 * self.single[self.last2]) / (one[self.before2] + m1)
         self.empty = list(zip(np.log10(self.single).tolist(), np.where(one > 0, 1 + np.arange(words), 0).tolist(), strict=True))
         self.fail = [0.0, *np.log10(m1 / (one + m1)).tolist(), *np.log10(m2 / (two + m2)).tolist()]
-        self.shorter = [0, *([0] * words), *(1 + last2).tolist()]
-
-    @staticmethod
-    def _first(numbers: np.ndarray, n: int) -> np.ndarray:
-        at = np.zeros(n, dtype=np.int64)
-        valid = np.flatnonzero(numbers >= 0)[::-1]
-        at[numbers[valid]] = valid
-        return at
+        self.shorter = [0, *([0] * words), *(1 + self.last2).tolist()]
+        self.arcs: dict[int, tuple[float, int]] = {}
+
+    def hold(self, start: int, end: int) -> None:
+        """Builds the arcs that the positions from start to end can touch; an arc of a word leads to its own state, an arc of a pair to the pair's."""
+        grams, words = self.grams, len(self.single)
+        _, two, three = grams.counts
+        pairs = np.unique(grams.numbers[1][start:end])
+        pairs = pairs[pairs >= 0]
+        pairs = pairs[two[pairs] > 0]
+        found, first = np.unique(grams.numbers[2][start:end], return_index=True)
+        at = first[found >= 0] + start
+        at = at[three[grams.numbers[2][at]] > 0]
+        pair, inner, last = grams.numbers[1][at - 1], grams.numbers[1][at], grams.tokens[at]
+        m2 = STRENGTH[2]
+        p3 = (three[grams.numbers[2][at]] + m2 * self.p2[inner]) / (two[pair] + m2)
+        keys = np.concatenate([((1 + self.before2[pairs]) << 32) | self.last2[pairs], ((1 + words + pair) << 32) | last])
+        ways = zip(np.log10(np.concatenate([self.p2[pairs], p3])).tolist(), (1 + words + np.concatenate([pairs, inner])).tolist(), strict=True)
+        self.arcs = dict(zip(keys.tolist(), ways, strict=True))
 
     def traverse(self, words: list[int], state: int = 0) -> tuple[float, int]:
         """Log-probability of the words and the state reached."""
@@ -278,18 +284,24 @@ class Automaton:
 def _scorer(total: int, distinct: int, bits: int, kind: pa.DataType):
     """Rows of a unit (first the unit itself, then its answers) to (row, id, held_out, n_tokens, n_known, base, score) of its pieces."""
 
-    def work(unit: tuple, keys: list[np.ndarray], totals: list[np.ndarray]) -> pa.RecordBatch:
+    def work(unit: tuple, answers: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         row, ids, held, *own = unit
         _, _, _, n, ahead = own
         grams = Grams(*own)
-        if keys:
-            grams.learn(np.concatenate(keys), np.concatenate(totals), bits)
+        if answers:  # in order of the parts, which number the first bits of the hashes
+            told = [[unpacked(x) for x in column] for column in zip(*answers, strict=True)]
+            grams.learn(*((np.concatenate([k for k, _ in t]), np.concatenate([c for _, c in t])) for t in told), bits)
         automaton = Automaton(grams, total, distinct)
         log = np.log10(grams.counts[0] + 1.0)
         known, base, score = [], [], []
-        for start, count, before in zip(grams.starts.tolist(), n, ahead, strict=True):
+        held_to = 0
+        ends = [*grams.starts.tolist()[1:], len(grams.tokens)]
+        for start, end, before in zip(grams.starts.tolist(), ends, ahead, strict=True):
+            if end > held_to:
+                held_to = next((e for e in ends if e >= start + HELD), ends[-1])
+                automaton.hold(start, held_to)
             state = automaton.traverse(grams.tokens[start : start + before].tolist())[1]
-            words = grams.tokens[start + before : start + before + count]
+            words = grams.tokens[start + before : end]
             known.append(int((grams.counts[0][words] > 0).sum()))
             base.append(float(log[words].sum()))
             score.append(automaton.traverse(words.tolist(), state)[0])
@@ -297,18 +309,17 @@ def _scorer(total: int, distinct: int, bits: int, kind: pa.DataType):
         return pa.RecordBatch.from_arrays(cells, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     def run(batches):
-        unit, keys, totals = None, [], []
+        unit, answers = None, []
         for batch in batches:
-            for part, told, counts, *own in _rows(batch, ("part", "keys", "totals", "row", "id", "held", *_UNIT_GRAMS)):
+            for part, told, grams, *own in _rows(batch, ("part", "told", "grams", "row", "id", "held", *_UNIT_GRAMS)):
                 if part < 0:
                     if unit is not None:
-                        yield work(unit, keys, totals)
-                    unit, keys, totals = tuple(own), [], []
+                        yield work(unit, answers)
+                    unit, answers = tuple(own), []
                 else:
-                    keys.append(_unpacked(told) | np.uint64(part << 8 * KEY))
-                    totals.append(np.frombuffer(counts, dtype="<u8").astype(np.int64))
+                    answers.append((told, grams))
         if unit is not None:
-            yield work(unit, keys, totals)
+            yield work(unit, answers)
 
     return run
 
@@ -331,17 +342,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = texts.schema["id"].dataType.simpleString()
     arrow = to_arrow_type(texts.schema["id"].dataType)
     units = stored(texts.mapInArrow(_units(arrow), _unit_layout(kind)), "units")
-    sums = units.agg(F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()
+    sums = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()
     total, distinct = sums["learned"], _distinct_words(units)
     bits = min(16, max(0, ceil(log2(max(1, 2 * sums["n"] / PART)))))
-    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, none binary, one binary, many binary, counts binary")
-    told = asked.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, keys binary, totals binary")
+    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, words binary, grams binary")
+    told = asked.repartition(1 << bits, "part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, words binary, grams binary")
     own = ("row", "id", "held", *_UNIT_GRAMS)
     types = dict(units.dtypes)
-    ready = units.select("unit", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"), *own).unionByName(
-        told.select("unit", "part", "keys", "totals", *(F.lit(None).cast(types[c]).alias(c) for c in own))
+    none = F.lit(None).cast("binary")
+    ready = units.select("unit", F.lit(-1).alias("part"), none.alias("told"), none.alias("grams"), *own).unionByName(
+        told.select("unit", "part", F.col("words").alias("told"), "grams", *(F.lit(None).cast(types[c]).alias(c) for c in own))
     )
-    scored = ready.repartition("unit").sortWithinPartitions("unit", "part").mapInArrow(
+    # about a unit a task: it is some megabytes in a row, and its answers as much
+    scored = ready.repartition(max(1, sums["units"]), "unit").sortWithinPartitions("unit", "part").mapInArrow(
         _scorer(total, distinct, bits, arrow), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
     rows = scored.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))

@@ -159,11 +159,12 @@ def lm_scores(rows):
     return [(i, round(sum(log10(p(tuple(x[max(0, j - 2) : j]), x[j])) for j in range(len(x))), 6)) for i, t in rows for x in [words(t)]], p, n[1]
 
 
-@pytest.mark.parametrize("unit", [400_000, 50])
+@pytest.mark.parametrize("unit", [1_500_000, 50])
 def test_lm_scores_match_the_formula(spark, monkeypatch, unit):
     """Every n-gram counts; small units send their counts to each other, and a text goes on from one unit into the next."""
     monkeypatch.setattr(lm, "UNIT", unit)
     monkeypatch.setattr(lm, "PART", 4_000_000 if unit > 50 else 500)
+    monkeypatch.setattr(lm, "HELD", 400_000 if unit > 50 else 20)
     rows = [*EDGES, *docs(60), *docs(60)[:9], (None, "the cat"), (77_001, None), (77_001, "a b a b a b")]
     out = lm.lm_scoring(frame(spark, rows).repartition(3)).collect()
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in out) == Counter(lm_scores(rows)[0])
@@ -180,6 +181,7 @@ def test_lm_of_a_text_in_many_sections(spark, monkeypatch):
     text = " ".join(f"w{i % 97}x{i % 13}" for i in range(400_000))
     rows = [(1, text), (2, text), (4, "w1x1")]
     monkeypatch.setattr(lm, "UNIT", 50_000)
+    monkeypatch.setattr(lm, "HELD", 10_000)
     got = {r["doc_id"]: r for r in lm.lm_scoring(frame(spark, rows)).collect()}
     assert got[1]["score"] == pytest.approx(got[2]["score"]) and got[1]["n_tokens"] == 400_001
     assert got[1]["score"] == pytest.approx(dict(lm_scores(rows)[0])[1], rel=1e-9)
