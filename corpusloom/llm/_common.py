@@ -17,9 +17,11 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests only) a new temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a new temporary one if all runs in one process, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="loom-")
         sc.setCheckpointDir(root)
@@ -59,12 +61,12 @@ def dealt(rows: DataFrame, name: str, weight: str, least: float) -> DataFrame:
     return rows.join(large, name, "left_anti").unionByName(named.select(*rows.columns))
 
 
-def pieces_of(batch: pa.RecordBatch, text_index: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``SLICE_BYTES`` of text each, one row at least."""
+def pieces_of(batch: pa.RecordBatch, text_index: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``size`` bytes of text each, one row at least."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text_index)), 0).to_numpy(zero_copy_only=False)
-    bucket = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    bucket = np.cumsum(sizes, dtype=np.int64) // size
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     start = 0
     for end in [*cuts.tolist(), batch.num_rows]:
