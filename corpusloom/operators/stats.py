@@ -46,22 +46,29 @@ def smoothing_weight(n: Column) -> Column:
     return 1.8 * (1 / (1 + F.exp(-0.05 * n)) - 0.5)
 
 
-def smoothed(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def smoothed(df: DataFrame, key: str, order: str, value: str, stretch: int = 1024) -> DataFrame:
     """Per key, the exponentially smoothed series as rows (key, order, value, smoothed); the weight follows the series' length.
 
-    A series is folded in one row, so it has to fit one task: meant for logs.
+    A series is cut into stretches. Each is folded from zero, which tells what it adds and by how much it fades what came
+    before; a fold over those few numbers a key gives the value that each stretch starts from. No task holds more than a
+    stretch, and per key the numbers of its stretches.
     """
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__s"))
-    w = smoothing_weight(F.size("__s").cast("double"))
-    start = F.struct(F.col("__s")[0][value].cast("double").alias("last"), F.expr("cast(array() as array<double>)").alias("out"))
-
-    def step(state, x):
-        now = state["last"] * F.col("__w") + (1 - F.col("__w")) * x[value]
-        return F.struct(now.alias("last"), F.concat(state["out"], F.array(now)).alias("out"))
-
-    folded = series.withColumn("__w", w).withColumn("__o", F.aggregate("__s", start, step)["out"])
-    rows = folded.select(key, F.posexplode(F.arrays_zip("__s", "__o")).alias("__i", "__z"))
-    return rows.select(key, F.col(f"__z.__s.{order}").alias(order), F.col(f"__z.__s.{value}").alias(value), F.col("__z.__o").alias("smoothed"))
+    w = Window.partitionBy(key)
+    placed = df.withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(order)) - 1, "__x": F.col(value).cast("double")})
+    cut = placed.groupBy(key, F.floor(F.col("__k") / stretch).alias("__b")).agg(
+        F.array_sort(F.collect_list(F.struct("__k", order, value, "__x"))).alias("__s"), F.first(smoothing_weight(F.col("__n").cast("double"))).alias("__w")
+    )
+    weight = F.col("__w")
+    onward = lambda last, x: last * weight + (1 - weight) * x["__x"]
+    told = cut.withColumn("__t", F.struct("__b", F.aggregate("__s", F.lit(0.0), onward).alias("adds"), F.pow("__w", F.size("__s")).alias("fades"), F.col("__s")[0]["__x"].alias("first")))
+    chain = told.groupBy(key).agg(F.array_sort(F.collect_list("__t")).alias("__c"))
+    none = F.expr("cast(array() as array<double>)")
+    starts = F.aggregate("__c", F.struct(F.col("__c")[0]["first"].alias("last"), none.alias("out")), lambda a, t: F.struct((a["last"] * t["fades"] + t["adds"]).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out")))
+    begun = chain.select(key, F.posexplode(starts["out"]).alias("__b", "__start"))
+    joined = cut.join(begun.withColumn("__b", F.col("__b").cast("long")), [key, "__b"])
+    fold = F.aggregate("__s", F.struct(F.col("__start").alias("last"), none.alias("out")), lambda a, x: F.struct(onward(a["last"], x).alias("last"), F.concat(a["out"], F.array(onward(a["last"], x))).alias("out")))
+    rows = joined.select(key, F.explode(F.arrays_zip(F.col("__s").alias("s"), fold["out"].alias("o"))).alias("__z"))
+    return rows.select(key, F.col(f"__z.s.{order}").alias(order), F.col(f"__z.s.{value}").alias(value), F.col("__z.o").alias("smoothed"))
 
 
 def loss_rows(df: DataFrame, loss: str = "loss") -> DataFrame:

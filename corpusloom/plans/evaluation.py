@@ -105,22 +105,22 @@ def embedding_noisy_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.noisy_mean(table(spark, sf_dir, "embeddings"), "embedding", 42)
 
 
-@query("""WITH RECURSIVE s AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id < 400 AND value IS NOT NULL AND value <> 0),
+@query("""WITH RECURSIVE s AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL AND value <> 0),
 w AS (SELECT *, 1.8 * (1 / (1 + exp(-0.05 * n)) - 0.5) AS w FROM s),
 f AS (SELECT event_type, event_id, k, value * w + (1 - w) * value AS smoothed FROM w WHERE k = 1
   UNION ALL SELECT w.event_type, w.event_id, w.k, f.smoothed * w.w + (1 - w.w) * w.value FROM f JOIN w ON w.event_type = f.event_type AND w.k = f.k + 1)
 SELECT event_type, event_id, round(smoothed, 6) AS smoothed FROM f""")
 def loss_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event type, the first events as a training log."""
-    log = stats.loss_rows(table(spark, sf_dir, "events").filter("event_id < 400"), "value")
+    """Per event type, the events as a training log."""
+    log = stats.loss_rows(table(spark, sf_dir, "events"), "value")
     return stats.smoothed(log, "event_type", "event_id", "value").select("event_type", "event_id", cents("smoothed").alias("smoothed"))
 
 
-@query("""WITH l AS (SELECT event_id, event_id + 1 AS done, 12345 AS total, event_id * 7 AS elapsed FROM events WHERE event_id < 12345), r AS (SELECT *, round(done / total * 100, 2) AS percentage, CAST(trunc(elapsed / done * (total - done)) AS BIGINT) AS remain FROM l)
+@query("""WITH l AS (SELECT event_id, event_id + 1 AS done, event_id + 1000 AS total, event_id * 7 AS elapsed FROM events), r AS (SELECT *, round(done / total * 100, 2) AS percentage, CAST(trunc(elapsed / done * (total - done)) AS BIGINT) AS remain FROM l)
 SELECT event_id, percentage, (CASE WHEN elapsed >= 86400 THEN (elapsed // 86400) || CASE elapsed // 86400 WHEN 1 THEN ' day, ' ELSE ' days, ' END ELSE '' END) || (elapsed % 86400 // 3600) || ':' || lpad((elapsed % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((elapsed % 60)::VARCHAR, 2, '0') AS elapsed_time,
  (CASE WHEN remain >= 86400 THEN (remain // 86400) || CASE remain // 86400 WHEN 1 THEN ' day, ' ELSE ' days, ' END ELSE '' END) || (remain % 86400 // 3600) || ':' || lpad((remain % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((remain % 60)::VARCHAR, 2, '0') AS remaining_time FROM r""")
 def training_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").filter("event_id < 12345").select("event_id", (F.col("event_id") + 1).alias("done"), F.lit(12345).alias("total"), (F.col("event_id") * 7).alias("elapsed"))
+    log = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") + 1).alias("done"), (F.col("event_id") + 1000).alias("total"), (F.col("event_id") * 7).alias("elapsed"))
     return stats.progress(log, "done", "total", "elapsed").select("event_id", "percentage", "elapsed_time", "remaining_time")
 
 
@@ -130,11 +130,11 @@ def running_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", cents("sum").alias("sum"), "count", cents("avg", 9).alias("avg"))
 
 
-@query("""SELECT max_by(event_id, ts) FILTER (event_id < 100) AS event_id FROM events WHERE ts = (SELECT max(ts) FROM events WHERE event_id < 100) AND event_id < 100""")
+@query("""SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 1""")
 def last_log_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.sources.catalog import last_log
 
-    return last_log(table(spark, sf_dir, "events").filter("event_id < 100").select("ts", "event_id"), "ts").select("event_id")
+    return last_log(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
 
 
 @query("""SELECT round(sum(len(regexp_extract_all(text, '\\S+'))) * 3.0 / 60 / 8, 6) AS tokens_per_second FROM documents""")

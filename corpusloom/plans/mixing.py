@@ -10,14 +10,14 @@ from corpusloom.plans.catalogue import query, table
 
 
 def sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Two tables of rows numbered from 0: documents of one source, and benchmark items."""
-    d = table(spark, sf_dir, "documents").filter("source = 'src8'").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+    """Two tables of rows numbered from 0: documents and benchmark items."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.md5("text").alias("digest"))
     return [mix.numbered(d, "id"), mix.numbered(b, "id")]
 
 
 SOURCES_SQL = """
-a AS (SELECT doc_id AS id, md5(text) AS digest, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents WHERE source = 'src8'),
+a AS (SELECT doc_id AS id, md5(text) AS digest, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents),
 b AS (SELECT item_id AS id, md5(text) AS digest, row_number() OVER (ORDER BY item_id) - 1 AS row_idx FROM benchmark)
 """
 
