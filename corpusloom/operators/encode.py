@@ -27,18 +27,22 @@ class Extras:
     front: Column | None = None
 
 
-def rendered(template: templates.Template, messages: Column, eos: str, extras: Extras = Extras()) -> Column:
-    """The text of each message: media expanded, function turns and the tool prompt written in the template's tool format."""
+def rendered(df: DataFrame, template: templates.Template, messages: Column, eos: str, extras: Extras = Extras(), out: str = "__text") -> DataFrame:
+    """``out``: the text of each message, with media expanded, function turns and the tool prompt in the template's tool format.
+
+    The Python passes are columns of their own, as no expression over an array may hold one.
+    """
     if extras.media:
         messages = media.process(messages, template.media, **extras.media)
-    told = F.lit("")
-    if extras.tools:
-        given = F.coalesce(F.col("_tools"), F.lit(""))
-        # a constant empty _tools folds away, and the Python pass with it
-        told = F.when(given == "", F.lit("")).otherwise(tools.tool_prompt_column(given, template.tools))
-        calls = F.exists(messages, lambda m: m["role"] == "function")
-        messages = F.when(calls, tools.spoken(messages, template.tools)).otherwise(messages)
-    return templates.turns(template, messages, F.col("_system"), told, eos=eos)
+    if not extras.tools:
+        return df.withColumn(out, templates.turns(template, messages, F.col("_system"), F.lit(""), eos=eos))
+    given = F.coalesce(F.col("_tools"), F.lit(""))
+    # a constant empty _tools folds away, and its Python pass with it
+    told = F.when(given == "", F.lit("")).otherwise(tools.tool_prompt_column(given, template.tools))
+    ready = df.withColumns({"__told": told, "__said": messages})
+    ready = ready.withColumn("__spoken", tools.spoken(F.col("__said"), template.tools))
+    said = F.when(F.exists("__said", lambda m: m["role"] == "function"), tools.with_contents(F.col("__said"), F.col("__spoken"))).otherwise(F.col("__said"))
+    return ready.withColumn(out, templates.turns(template, said, F.col("_system"), F.col("__told"), eos=eos)).drop("__told", "__said", "__spoken")
 
 
 def _turn_ids(text: Column, tok) -> Column:
@@ -72,7 +76,7 @@ def fold_turns(rounds: Column, args: DataArgs, efficient_eos: bool = False, eos_
 def supervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespace", eos: str = "</s>", extras: Extras = Extras()) -> DataFrame:
     """input_ids, attention_mask, labels of the valid rows."""
     t = templates.get(template)
-    rows = df.filter(valid("sft")).withColumn("__text", rendered(t, F.concat("_prompt", "_response"), eos, extras))
+    rows = rendered(df.filter(valid("sft")), t, F.concat("_prompt", "_response"), eos, extras)
     folded = fold_turns(_turn_ids(F.col("__text"), tokenizer(tok)), args, t.efficient_eos, cutoff=args.capacity)
     return _sequence(rows.withColumn("__e", folded).drop("__text"), front=extras.front)
 
@@ -92,7 +96,8 @@ def pairwise(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespac
     sides = {}
     for i, name in enumerate(("chosen", "rejected")):
         whole = F.concat("_prompt", F.slice("_response", i + 1, 1))
-        prompt, answer = templates.one_turn(rendered(t, whole, eos, extras))
+        rows = rendered(rows, t, whole, eos, extras, f"__{name}_text")
+        prompt, answer = templates.one_turn(F.col(f"__{name}_text"))
         end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
         sides |= {"__prompt": f(prompt), f"__{name}": F.concat(f(answer), end)}
     rows = rows.withColumns(sides)
@@ -102,7 +107,7 @@ def pairwise(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespac
         source, target = head(F.col("__prompt"), F.col("__s")), head(F.col(f"__{name}"), F.col("__n"))
         rows = rows.withColumns({f"{name}_input_ids": F.concat(source, target), f"{name}_labels": F.concat(ignored(F.size(source)), target)})
         rows = rows.withColumn(f"{name}_attention_mask", F.array_repeat(F.lit(1), F.size(f"{name}_input_ids")))
-    return rows.drop("__prompt", "__chosen", "__rejected", "__s", "__n")
+    return rows.drop("__prompt", "__chosen", "__rejected", "__chosen_text", "__rejected_text", "__s", "__n")
 
 
 def shifted(df: DataFrame, column: str, batch: str = "batch_id", order: str = "row_idx", out: str = "_kl_response") -> DataFrame:
@@ -128,12 +133,13 @@ def feedback(df: DataFrame, template: str, args: DataArgs, tok: str = "whitespac
     rows = rows.withColumn("kto_tags", tag)
     end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
     for prefix, last in (("", own), ("kl_", kl)):
-        prompt, response = templates.one_turn(rendered(t, F.concat("_prompt", F.array(last)), eos, extras))
+        rows = rendered(rows, t, F.concat("_prompt", F.array(last)), eos, extras)
+        prompt, response = templates.one_turn(F.col("__text"))
         rows = rows.withColumns({"__p": f(prompt), "__r": F.concat(f(response), end)})
         s, n = infer_seqlen(F.size("__p"), F.size("__r"), args.cutoff_len)
         source, target = head(F.col("__p"), s), head(F.col("__r"), n)
         rows = _sequence(rows.withColumn("__e", F.struct(F.concat(source, target).alias("ids"), F.concat(ignored(F.size(source)), target).alias("labels"))), prefix)
-    return rows.drop("__p", "__r")
+    return rows.drop("__p", "__r", "__text")
 
 
 def balance(df: DataFrame) -> DataFrame:
@@ -146,11 +152,12 @@ def unsupervised(df: DataFrame, template: str, args: DataArgs, tok: str = "white
     t, f = templates.get(template), tokenizer(tok)
     rows = df.filter(valid("unsupervised"))
     answer = F.when(F.size("_response") == 1, F.col("_response")).otherwise(F.array(message("assistant", F.lit(""))))
-    prompt, response = templates.one_turn(rendered(t, F.concat("_prompt", answer), eos, extras))
+    rows = rendered(rows, t, F.concat("_prompt", answer), eos, extras)
+    prompt, response = templates.one_turn(F.col("__text"))
     end = F.array(F.lit(EOS_ID)) if t.efficient_eos else F.expr(_INTS)
     rows = rows.withColumns({"__p": f(prompt), "__r": F.concat(f(response), end)})
     s, n = infer_seqlen(F.size("__p"), F.size("__r"), args.cutoff_len)
-    return _sequence(rows.withColumn("__e", F.struct(head(F.col("__p"), s).alias("ids"), head(F.col("__r"), n).alias("labels")))).drop("__p", "__r")
+    return _sequence(rows.withColumn("__e", F.struct(head(F.col("__p"), s).alias("ids"), head(F.col("__r"), n).alias("labels")))).drop("__p", "__r", "__text")
 
 
 def pretrain_ids(df: DataFrame, text: Column, tok: str = "whitespace", eos_id: int = EOS_ID, add_bos: bool = False, cutoff: int | None = None) -> DataFrame:

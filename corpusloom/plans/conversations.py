@@ -321,18 +321,18 @@ def render_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
             turn("assistant", F.lit("It is of size "), F.col("p_size").cast("string"), F.lit(".")),
         ).alias("messages"),
     )
-    out = align(rows, TOOLED)
-    text = encode.rendered(templates.get("qwen"), F.concat("_prompt", "_response"), "<|im_end|>")
-    return out.select("row_idx", F.array_join(text, "").alias("text"))
+    out = encode.rendered(align(rows, TOOLED), templates.get("qwen"), F.concat("_prompt", "_response"), "<|im_end|>")
+    return out.select("row_idx", F.array_join("__text", "").alias("text"))
 
 
 @query(r"""SELECT p_partkey AS row_idx, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
   || 'What is <|vision_start|>' || repeat('<|image_pad|>', p_size) || '<|vision_end|> beside <|vision_start|>' || repeat('<|image_pad|>', 2) || '<|vision_end|>?<|im_end|>' || chr(10)
   || '<|im_start|>assistant' || chr(10) || p_name || '<|im_end|>' || chr(10) AS text FROM part""")
 def render_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_idx"), F.lit("What is <image> beside <image>?").alias("instruction"), F.col("p_name").alias("output"), F.array(F.col("p_size"), F.lit(2)).alias("counts"),
+    turn = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("content")))
+    out = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_idx"), turn("user", F.lit("What is <image> beside <image>?")).alias("_prompt"), turn("assistant", F.col("p_name")).alias("_response"),
+        F.lit("").alias("_system"), F.lit("").alias("_tools"), F.array(F.col("p_size"), F.lit(2)).alias("counts"),
     )
-    out = align(rows, DatasetSpec("pictures", columns={"prompt": "instruction", "response": "output"}))
     extras = encode.Extras(media={"image": F.col("counts")}, tools=False)
-    return out.select("row_idx", F.array_join(encode.rendered(templates.get("qwen2_vl"), F.concat("_prompt", "_response"), "<|im_end|>", extras), "").alias("text"))
+    return encode.rendered(out, templates.get("qwen2_vl"), F.concat("_prompt", "_response"), "<|im_end|>", extras).select("row_idx", F.array_join("__text", "").alias("text"))

@@ -13,6 +13,10 @@ TOOL = {"name": "f", "description": "Adds", "parameters": {"type": "object", "pr
 CALL = '[{"name": "f", "arguments": {"a": 1}}]'
 
 
+def whole_talk():
+    return F.concat("_prompt", "_response")
+
+
 def rows(spark, extra=""):
     talk = [("user", "sum " + extra), ("function", CALL), ("observation", "2"), ("assistant", "It is 2")]
     schema = "row_idx long, _prompt array<struct<role:string,content:string>>, _response array<struct<role:string,content:string>>, _system string, _tools string, n array<int>"
@@ -23,30 +27,28 @@ def rows(spark, extra=""):
 @pytest.mark.parametrize("name", ["qwen", "default", "llama3", "mistral"])
 def test_tools_and_calls_are_written_in_the_templates_format(spark, name):
     t = templates.get(name)
-    texts = {r["row_idx"]: "".join(r["t"]) for r in rows(spark).select("row_idx", encode.rendered(t, F.concat("_prompt", "_response"), "</s>").alias("t")).collect()}
+    texts = {r["row_idx"]: "".join(r["__text"]) for r in encode.rendered(rows(spark), t, whole_talk(), "</s>").collect()}
     today = spark.sql("SELECT date_format(current_date(), 'dd MMM yyyy')").first()[0]
     assert tools.tool_prompt(json.dumps([TOOL]), t.tools, today) in texts[0]
     assert tools.call_text(CALL, t.tools) in texts[0] and CALL not in texts[0].replace(tools.call_text(CALL, t.tools), "")
-    plain = encode.rendered(t, F.concat("_prompt", "_response"), "</s>", encode.Extras(tools=False))
-    assert texts[1] == "".join(rows(spark).filter("row_idx = 1").select(plain.alias("t")).first()["t"])
+    plain = encode.rendered(rows(spark).filter("row_idx = 1"), t, whole_talk(), "</s>", encode.Extras(tools=False))
+    assert texts[1] == "".join(plain.first()["__text"])
 
 
 def test_tools_reach_the_ids(spark):
     out = {r["row_idx"]: r for r in encode.supervised(rows(spark), "qwen", DataArgs(cutoff_len=500)).collect()}
-    text = encode.rendered(templates.get("qwen"), F.concat("_prompt", "_response"), "</s>")
-    whole = rows(spark).select("row_idx", F.flatten(F.transform(text, tokenizer("whitespace"))).alias("ids")).collect()
+    whole = encode.rendered(rows(spark), templates.get("qwen"), whole_talk(), "</s>").select("row_idx", F.flatten(F.transform("__text", tokenizer("whitespace"))).alias("ids")).collect()
     assert {r["row_idx"]: r["ids"] for r in whole} == {i: r["input_ids"] for i, r in out.items()}
 
 
-def test_a_constant_empty_tools_column_needs_no_python(spark):
-    df = rows(spark).withColumn("_tools", F.lit("")).withColumn("_prompt", F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content")))).withColumn("_response", F.array(F.struct(F.lit("assistant").alias("role"), F.lit("y").alias("content"))))
-    plan = df.select(encode.rendered(templates.get("qwen"), F.concat("_prompt", "_response"), "</s>"))._jdf.queryExecution().optimizedPlan().toString()
+def test_rows_without_tools_need_no_python(spark):
+    plan = encode.supervised(rows(spark), "qwen", DataArgs(cutoff_len=50), extras=encode.Extras(tools=False))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan
 
 
 def test_media_in_rows(spark):
     df = rows(spark, "<image> and <image>").filter("row_idx = 0")
-    text = lambda name, counts: "".join(df.select(encode.rendered(templates.get(name), F.concat("_prompt", "_response"), "</s>", encode.Extras(media={"image": counts})).alias("t")).first()["t"])
+    text = lambda name, counts: "".join(encode.rendered(df, templates.get(name), whole_talk(), "</s>", encode.Extras(media={"image": counts})).first()["__text"])
     assert "<|vision_start|><|image_pad|><|image_pad|><|vision_end|> and <|vision_start|><|image_pad|><|vision_end|>" in text("qwen2_vl", F.col("n"))
     grid = F.array(*(F.struct(F.lit(r).alias("rows"), F.lit(c).alias("columns")) for r, c in ((2, 3), (1, 1))))
     assert "[IMG][IMG][IMG][IMG_BREAK][IMG][IMG][IMG][IMG_END] and [IMG][IMG_END]" in text("pixtral", grid)
