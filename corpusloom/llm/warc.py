@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ._common import scratch
+from ._common import scratch, stored
 
 PARTITION_BYTES = 32 << 20
 MIN_REVISIT = 1000
+#: A payload of more than this part of all rows is hot.
+HOT = 2000
 #: Fixed values of the format.
 VERSION, REVISIT_PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = (
@@ -67,7 +69,7 @@ def record_bytes(page_id: int | None, url: str | None, digest: str, size: int, p
 
 
 def read_records(stream, wanted=lambda head: True, payload: bool = True) -> Iterator[tuple[dict, bytes | None]]:
-    """(headers in lower case, payload) of the wanted records of an uncompressed stream; other blocks are skipped unread."""
+    """(headers in lower case, payload) of the wanted records of an uncompressed stream; other blocks are passed over, by a jump where the stream can jump."""
     while True:
         line = stream.readline()
         if not line:
@@ -103,6 +105,9 @@ def read_records(stream, wanted=lambda head: True, payload: bool = True) -> Iter
 
 
 def _skip(stream, size: int) -> None:
+    if size > 1 << 16 and not isinstance(stream, gzip.GzipFile) and stream.seekable():
+        stream.seek(size - 1, 1)
+        size = 1  # reading the last byte tells whether it is there
     while size > 0:
         got = stream.read(min(size, 1 << 20))
         if not got:
@@ -256,9 +261,16 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "key": F.unhex(F.sha2("payload", 256))})
-    # only payloads that occur again take part in the join; the counting aggregates before it shuffles
-    again = rows.filter(F.col("size") >= min_revisit).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(again, "key", "left")
+    # the counting aggregates before it shuffles, and reads no payload further than its hash
+    large = rows.filter(F.col("size") >= min_revisit)
+    counted = large.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    again, total = stored(counted, "again"), pages.count()
+    # payloads that are a large share of all rows: under HOT of them, so they go to every task and their rows stay where they are
+    often = F.col("n") * HOT > total
+    met = large.join(F.broadcast(again.filter(often).select("key", F.col("refers_to").alias("hot"), F.lit(True).alias("known"))), "key", "left")
+    usual = met.filter("known is null").drop("hot", "known").join(again.filter(~often).drop("n"), "key", "left")
+    joined = usual.unionByName(met.filter("known").drop("known").withColumnRenamed("hot", "refers_to"))
+    joined = joined.unionByName(rows.filter(F.col("size") < min_revisit).withColumn("refers_to", F.lit(None).cast("long")))
     visit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     out = joined.select(
         "page_id", "url", "digest", "size", F.when(~visit, F.col("payload")).alias("payload"), F.when(visit, F.col("refers_to")).alias("refers_to")
