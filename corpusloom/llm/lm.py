@@ -9,8 +9,8 @@ price of log10(M / (n(h) + M)), the weight that the formula leaves for unseen wo
 to 1. The end of a text is a word like any other. One traversal from left to right carries the state and adds up.
 
 Size: every n-gram of the training texts counts, none is cut. The texts are dealt into units of about ``UNIT`` tokens. Each unit names its
-distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space, added up there, and the
-totals that differ from a unit's own are sent back to it. So a task that scores a unit holds exactly the arcs that its texts can
+distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space and added up there, and what
+the other units count of them is sent back, in the order asked and without the hashes. So a task that scores a unit holds exactly the arcs that its texts can
 touch, and what is moved grows with the input, a few bytes an n-gram. Words are told by 64 bits. Pairs and triples are told by 40
 bits besides those of the part; as the parts' number grows with the n-grams, about 4 in a million share a hash with another and
 add their counts, at any size.
@@ -42,7 +42,7 @@ from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 END = b"\n"
 FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
 #: Tokens of a unit, tokens whose arcs are held at once while it is scored, and n-grams that a part of the hash space takes.
-UNIT, HELD, PART = 1_500_000, 400_000, 4_000_000
+UNIT, HELD, PART = 1_500_000, 400_000, 6_000_000
 #: Bits of the hash of a pair or triple besides those that number the part.
 KEY = 40
 
@@ -134,39 +134,47 @@ class Grams:
         self.keys, self.numbers, self.counts = keys, numbers, counts
 
     def spaces(self, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(hashes, counts) by hash: of the words, and of the pairs and triples, shortened."""
-        out = []
-        for keys, counts in ((self.keys[0], self.counts[0]), (np.concatenate(self.keys[1:]) >> np.uint64(64 - KEY - bits), np.concatenate(self.counts[1:]))):
-            order = np.argsort(keys)
-            out.append((keys[order], counts[order]))
-        return out
-
-    def learn(self, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], bits: int) -> None:
-        """Puts in the totals of all training texts, as (sorted keys, totals); n-grams absent there stay as they are."""
-        for order, (own, counts) in enumerate(zip(self.keys, self.counts, strict=True)):
-            keys, totals = grams if order else words
-            if len(keys):
-                short = own >> np.uint64(64 - KEY - bits) if order else own
-                at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-                hit = keys[at] == short
-                counts[hit] = totals[at[hit]]
-
-
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as gaps, byte by byte of their places, and counts, mostly one byte each; compressed."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+        """(hashes, order) of the words, and of the pairs and triples, shortened: in order they are what the unit asks for."""
+        keys = (self.keys[0], np.concatenate(self.keys[1:]) >> np.uint64(64 - KEY - bits))
+        return [(k, np.argsort(k, kind="stable")) for k in keys]
+
+    def learn(self, more: list[np.ndarray], bits: int) -> None:
+        """Adds what other units count, given in the order of ``spaces``."""
+        at = len(self.keys[1])
+        for (_, order), extra, space in zip(self.spaces(bits), more, (0, 1), strict=True):
+            own = np.zeros(len(order), dtype=np.int64)
+            own[order] = extra
+            if space:
+                self.counts[1] += own[:at]
+                self.counts[2] += own[at:]
+            else:
+                self.counts[0] += own
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts, mostly one byte each; compressed."""
     large = counts >= 255
-    parts = [np.array([len(keys)], "<i8").tobytes(), np.ascontiguousarray(gaps.T).tobytes(), np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()]
+    parts = [np.array([len(counts)], "<i8").tobytes(), np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked_counts(data: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").reshape(-1)
-    counts = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(raw, "<i8", offset=8 + 9 * n)
-    return np.cumsum(gaps, dtype=np.uint64), counts
+    counts = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<i8", offset=8 + n)
+    return counts
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte by byte of their places; compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.T).tobytes())
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
 _UNIT_GRAMS = ("words", "tokens", "train", "n", "ahead")
@@ -178,50 +186,53 @@ def _rows(batch: pa.RecordBatch, names) -> Iterator[tuple]:
 
 
 def _asker(bits: int):
-    """Units to (part, unit, words, grams): packed hashes with the unit's own counts, by part."""
+    """Units to (part, unit, words, counts, grams, gram_counts): packed hashes and the unit's own counts, by part."""
     parts = 1 << bits
 
     def ask(batches):
         for batch in batches:
             for unit, *own in _rows(batch, ("unit", *_UNIT_GRAMS)):
+                grams = Grams(*own)
                 cells = []
-                for (keys, counts), width in zip(Grams(*own).spaces(bits), (64, KEY + bits), strict=True):
+                for (keys, order), counts, width in zip(grams.spaces(bits), (grams.counts[0], np.concatenate(grams.counts[1:])), (64, KEY + bits), strict=True):
+                    keys, counts = keys[order], counts[order]
                     edges = [*np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(keys)] if bits else [0, len(keys)]
-                    cells.append(pa.array([packed(keys[s:e], counts[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts, pa.int64()), *cells], names=["part", "unit", "words", "grams"])
+                    spans = list(zip(edges[:-1], edges[1:], strict=True))
+                    cells += [pa.array([packed_keys(keys[s:e]) for s, e in spans], pa.binary()), pa.array([packed_counts(counts[s:e]) for s, e in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts, pa.int64()), *cells], names=["part", "unit", *_ASKED])
 
     return ask
 
 
-def _summed(asked: list[bytes]) -> list[bytes]:
-    """For each unit's packed counts, packed totals of what others count as well."""
-    found = [unpacked(x) for x in asked]
-    key, count = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
-    of = np.repeat(np.arange(len(found), dtype=np.int32), [len(k) for k, _ in found])
-    order = np.argsort(key)
-    key, count, of = key[order], count[order], of[order]
+_ASKED = ("words", "counts", "grams", "gram_counts")
+
+
+def _summed(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
+    """For each unit's keys, in its order, packed sums of what the others count."""
+    found, own = [unpacked_keys(x) for x in keys], np.concatenate([unpacked_counts(x) for x in counts])
+    ends = np.cumsum([len(k) for k in found])
+    key = np.concatenate(found)
     if len(key):
+        order = np.argsort(key)
+        key = key[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        total = np.repeat(np.add.reduceat(count, starts), np.diff(np.append(starts, len(key))))
-    else:
-        total = count
-    told = np.flatnonzero(total != count)
-    told = told[np.argsort(of[told], kind="stable")]
-    edges = np.searchsorted(of[told], np.arange(len(found) + 1)).tolist()
-    return [packed(key[told[s:e]], total[told[s:e]]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        total = np.empty(len(key), dtype=np.int64)
+        total[order] = np.repeat(np.add.reduceat(own[order], starts), np.diff(np.append(starts, len(key))))
+        own = total - own
+    return [packed_counts(x) for x in np.split(own, ends[:-1])]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part after the other to (unit, part, words, grams), totals where they differ from the unit's own counts."""
+    """Rows of one part after the other to (unit, part, words, grams): what other units count of what the unit asked for."""
 
     def work(part: int, asked: list[tuple]) -> pa.RecordBatch:
-        units, words, grams = zip(*asked, strict=True)
-        cells = [pa.array(units, pa.int64()), pa.array([part] * len(units), pa.int32()), pa.array(_summed(words), pa.binary()), pa.array(_summed(grams), pa.binary())]
+        units, words, counts, grams, gram_counts = zip(*asked, strict=True)
+        cells = [pa.array(units, pa.int64()), pa.array([part] * len(units), pa.int32()), pa.array(_summed(words, counts), pa.binary()), pa.array(_summed(grams, gram_counts), pa.binary())]
         return pa.RecordBatch.from_arrays(cells, names=["unit", "part", "words", "grams"])
 
     part, asked = None, []
     for batch in batches:
-        for p, *row in _rows(batch, ("part", "unit", "words", "grams")):
+        for p, *row in _rows(batch, ("part", "unit", *_ASKED)):
             if p != part:
                 if asked:
                     yield work(part, asked)
@@ -289,8 +300,7 @@ def _scorer(total: int, distinct: int, bits: int, kind: pa.DataType):
         _, _, _, n, ahead = own
         grams = Grams(*own)
         if answers:  # in order of the parts, which number the first bits of the hashes
-            told = [[unpacked(x) for x in column] for column in zip(*answers, strict=True)]
-            grams.learn(*((np.concatenate([k for k, _ in t]), np.concatenate([c for _, c in t])) for t in told), bits)
+            grams.learn([np.concatenate([unpacked_counts(x) for x in column]) for column in zip(*answers, strict=True)], bits)
         automaton = Automaton(grams, total, distinct)
         log = np.log10(grams.counts[0] + 1.0)
         known, base, score = [], [], []
@@ -345,7 +355,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sums = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()
     total, distinct = sums["learned"], _distinct_words(units)
     bits = min(16, max(0, ceil(log2(max(1, 2 * sums["n"] / PART)))))
-    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, words binary, grams binary")
+    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, words binary, counts binary, grams binary, gram_counts binary")
     told = asked.repartition(1 << bits, "part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, words binary, grams binary")
     own = ("row", "id", "held", *_UNIT_GRAMS)
     types = dict(units.dtypes)
