@@ -4,7 +4,7 @@ Method: the symbols of a word form a doubly linked list; a priority queue holds
 changed meanwhile are stale and skipped. Decoding concatenates the vocabulary's strings and reads the bytes as UTF-8.
 
 Defined cases: a null text is empty and has no ids; the added token's string in a text becomes its id, as in the library;
-very long words cost n log n; repeated rows get equal results; an empty table gives an empty one. Only the id and text columns
+very long words cost n log n; of pairs of one rank the leftmost merges first, as in the library; repeated rows get equal results; an empty table gives an empty one. Only the id and text columns
 are read, so other columns can have any name.
 """
 

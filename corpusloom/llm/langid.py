@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE`` rows a language at most, those of the
-smallest hash of the id) by follow-the-regularised-leader with elastic-net penalties, which leaves most weights at zero; a
+smallest hash of id and text; equal ones once) by follow-the-regularised-leader with elastic-net penalties, which leaves most weights at zero; a
 temperature is then fitted on a fifth of the sample that the weights have not seen. Inputs of a prediction are whole texts only.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; without a labelled row nothing is learned
@@ -25,8 +25,7 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 600
 #: Follow-the-regularised-leader: learning rate and its offset, elastic net (L1, L2), passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.002, 0.001, 3
-#: Loss (in nats) that a softer temperature may cost.
-SLACK = 0.01
+#: Characters of a text that are counted at once.
 BLOCK = 1 << 20
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -120,20 +119,18 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     def loss(t: float) -> float:
         return -float(np.mean([np.log(max(model.scores(c, t)[y], 1e-300)) for c, y in held]))
 
-    # the softest temperature that is about as good as the best: perfect separation must not end in blind confidence
     losses = {float(t): loss(float(t)) for t in np.exp(np.linspace(np.log(0.02), np.log(5), 40))}
-    softest = max(t for t, x in losses.items() if x <= min(losses.values()) + SLACK)
-    return Model(languages, idf, model.weights, model.bias, softest)
+    return Model(languages, idf, model.weights, model.bias, min(losses, key=lambda t: (losses[t], -t)))  # the least loss, the softest of equals
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """Per language, the labelled rows of the smallest hashes outside the held-out fold; at most ``per_language`` each."""
     # the model has a column of weights per language, so a table of them is small enough to broadcast
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
-    u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
+    u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40))  # rows of one id are told apart by their texts
     counts = labelled.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n"))
     limits = counts.select("y", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))).cast("long").alias("limit"))
-    drawn = labelled.select(F.col(label_col).alias("y"), u.alias("u"), F.col(text_col).alias("t")).join(F.broadcast(limits), "y").filter("u < limit").select("y", "u", "t")
+    drawn = labelled.select(F.col(label_col).alias("y"), u.alias("u"), F.col(text_col).alias("t")).join(F.broadcast(limits), "y").filter("u < limit").select("y", "u", "t").dropDuplicates(["y", "u"])  # repeated rows are learned once
     found: dict[str, list] = {}
     for r in drawn.orderBy("u").toLocalIterator():
         own = found.setdefault(r["y"], [])

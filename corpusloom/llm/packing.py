@@ -10,7 +10,8 @@ place, so that short pieces exist to fill up sequences even where a large group
 
 Defined cases: a null text is empty, an empty text is the end id alone; repeated rows are packed as often as they occur (a
 row is one document even where ids repeat or are null); very long texts become many full sequences; an empty table gives an
-empty result. Only the id and text columns are read, so other columns can have any name.
+empty result; ties in rank are broken by row, so which of two equal pieces takes a slot has no meaning. Only the id and text
+columns are read, so other columns can have any name.
 """
 
 from __future__ import annotations

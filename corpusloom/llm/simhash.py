@@ -6,7 +6,7 @@ counts gives each part its own threshold, the parts are probed and every candida
 Defined cases: a null text has no words; a text without words has the fingerprint zero, which links like any other; a text of
 fewer words than a shingle is hashed whole. Repeated rows and exact copies share a fingerprint and so a component, and are
 never expanded into pairs. Rows with a null id get the component of their fingerprint (null if nothing in it has an id).
-An empty table gives an empty result. Only the id and text columns are read, so other columns can have any name.
+Ties: a bit that exactly half of the hashes set is 0; the smallest id names a component. An empty table gives an empty result. Only the id and text columns are read, so other columns can have any name.
 """
 
 from __future__ import annotations
