@@ -23,6 +23,7 @@ N = V = 0 and every word has probability 1; an empty table gives an empty result
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil, log2, log10
@@ -42,7 +43,7 @@ from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 END = b"\n"
 FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
 #: Tokens of a unit, tokens whose arcs are held at once while it is scored, and n-grams that a part of the hash space takes.
-UNIT, HELD, PART = 1_500_000, 400_000, 6_000_000
+UNIT, HELD, PART = 1_500_000, 150_000, 6_000_000
 #: Bits of the hash of a pair or triple besides those that number the part.
 KEY = 40
 
@@ -115,7 +116,7 @@ class Grams:
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
         scored = place >= np.repeat(np.array(ahead, dtype=np.int64), sizes)
-        self.scored, self.starts = scored, starts
+        self.starts = starts
         counted = (scored & np.repeat(np.array(train, dtype=bool), sizes)).astype(np.float64)
         hashes = np.frombuffer(words, dtype=np.uint64)
         keys = [mixed(hashes)]
@@ -257,8 +258,9 @@ class Automaton:
         m1, m2 = STRENGTH[1], STRENGTH[2]
         self.p2 = (two + m1 * self.single[self.last2]) / (one[self.before2] + m1)
         self.empty = list(zip(np.log10(self.single).tolist(), np.where(one > 0, 1 + np.arange(words), 0).tolist(), strict=True))
-        self.fail = [0.0, *np.log10(m1 / (one + m1)).tolist(), *np.log10(m2 / (two + m2)).tolist()]
-        self.shorter = [0, *([0] * words), *(1 + self.last2).tolist()]
+        # arrays of machine numbers: a unit has nearly as many states as tokens
+        self.fail = array("d", np.concatenate([[0.0], np.log10(m1 / (one + m1)), np.log10(m2 / (two + m2))]).tobytes())
+        self.shorter = array("q", np.concatenate([np.zeros(1 + words, dtype=np.int64), 1 + self.last2]).tobytes())
         self.arcs: dict[int, tuple[float, int]] = {}
 
     def hold(self, start: int, end: int) -> None:
