@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, langid, license_scan, line_dedup, lm, packing, quality, simhash, warc
+from . import audio, bpe, crosstok, langid, license_scan, line_dedup, lm, packing, quality, resampling, sharding, simhash, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,6 +55,18 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encoding(_docs(spark, sf_dir))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.cross_tokenizer_alignment(_docs(spark, sf_dir))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(_docs(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resampling(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
@@ -90,14 +102,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+#: The CRC's table of 256 values, and the CRC of a text's UTF-8.
+CRC_TABLE = """tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i,
+  list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, left(md5(coalesce(text, '')), 16) AS grp, left(md5(coalesce(doc_id::VARCHAR, '')), 16) AS own FROM documents),
+s AS (SELECT sum(size)::HUGEINT AS total FROM d),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY grp, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER (PARTITION BY grp) AS grp_size FROM d),
+g AS (SELECT *, min(start) OVER (PARTITION BY grp) AS grp_start FROM p),
+h AS (SELECT *, least(15, (CASE WHEN grp_size * 1024 <= total THEN 2 * grp_start + grp_size ELSE 2 * start + size END) * 16 // (2 * total)) AS sh FROM g, s)
+SELECT doc_id, size::BIGINT AS size, {CRC_OF.format("t")}::BIGINT AS text_crc32, 'bytes' AS law, sh::INTEGER AS shard,
+  row_number() OVER (PARTITION BY sh ORDER BY grp, own) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM h, tab
+"""
+
+OP13_SQL = rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM words),
+counted AS (SELECT side, r, g, count(*) AS n FROM grams GROUP BY ALL),
+placed AS (SELECT g, {CRC_OF.format("g")} % 10000 AS b FROM (SELECT DISTINCT g FROM counted), tab),
+sums AS (SELECT b, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM counted JOIN placed USING (g) GROUP BY b),
+alls AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gain AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, alls),
+weights AS (SELECT r, sum(n) AS nf, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM counted JOIN placed USING (g) JOIN gain USING (b) WHERE side = 0 GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS nw, coalesce(nf, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM (SELECT * FROM words WHERE side = 0) LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY nw >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY nw >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN nw >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM ranked
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_warc, op2_license_scan, op3_language_id, op4_line_dedup, op5_packing,
         op6_simhash_near_dedup, op7_lm_scoring, op8_media_fingerprints, op9_quality_rules, op10_bpe_encoding,
+        op11_cross_tokenizer_alignment, op12_sharding, op13_importance_resampling,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_quality_rules": OP9_SQL, "op12_sharding": OP12_SQL, "op13_importance_resampling": OP13_SQL}
