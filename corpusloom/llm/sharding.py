@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ._common import stored
 
@@ -59,7 +60,7 @@ def _placed(rows: DataFrame, cuts: list[str]) -> DataFrame:
             keys = np.array(batch.column(at).to_pylist(), dtype="S48")
             yield batch.append_column("range", pa.array(np.searchsorted(edges, keys, side="right").astype(np.int32)))
 
-    return rows.mapInArrow(run, rows.schema.add("range", "int"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("range", IntegerType())]))
 
 
 def _weight(total: int, n: int):
