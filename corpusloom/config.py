@@ -55,7 +55,7 @@ class DataArgs:
     interleave_probs: tuple[float, ...] | None = None
     max_samples: int | None = None
     val_size: float = 0.0
-    packing: bool = False
+    packing: bool | None = None  #: None: pre-training packs, other stages do not
     neat_packing: bool = False
     datasets: tuple[str, ...] = ()
     eval_datasets: tuple[str, ...] = ()
@@ -91,9 +91,51 @@ class DataArgs:
         return self.cutoff_len - 1 if self.packing else self.cutoff_len
 
 
+@dataclass(frozen=True)
+class RunSpec:
+    """What a run does with its data: stage, layout, tokenizer, seed; whether it generates, predicts or evaluates; where encoded rows are kept."""
+
+    stage: str = "sft"
+    template: str = "default"
+    tokenizer: str = "whitespace"
+    eos: str = "</s>"
+    add_bos: bool = False
+    seed: int = 42
+    train: bool = True
+    evaluate: bool = False
+    predict: bool = False
+    generate: bool = False
+    tokenized: str | None = None
+
+    def __post_init__(self):
+        if self.stage not in ("pt", "sft", "rm", "ppo", "kto"):
+            raise ValueError(f"unknown stage {self.stage}")
+
+
+def check_run(run: RunSpec, args: DataArgs) -> None:
+    """What a stage and its data arguments exclude."""
+    if run.stage != "sft":
+        if run.generate:
+            raise ValueError("only the sft stage generates predictions")
+        if args.neat_packing:
+            raise ValueError("only the sft stage packs neatly")
+        if args.train_on_prompt or args.mask_history:
+            raise ValueError("train_on_prompt and mask_history are for the sft stage")
+    elif run.predict and not run.generate:
+        raise ValueError("predictions need generate")
+    if run.stage == "ppo" and not run.train:
+        raise ValueError("the ppo stage trains only")
+    if run.train and not args.datasets:
+        raise ValueError("name a dataset to train on")
+    if (run.evaluate or run.predict) and not args.eval_datasets and args.val_size < 1e-6:
+        raise ValueError("name a dataset to evaluate on, or a validation share")
+    if run.generate and not args.eval_datasets:
+        raise ValueError("generate needs a dataset to evaluate on")
+
+
 def check_stage(stage: str, ranking: bool) -> None:
-    """Reward models need ranked data; every other stage but preference training must not get it."""
+    """Reward models need ranked data, and no other stage takes it."""
     if stage == "rm" and not ranking:
         raise ValueError("this stage needs a ranking dataset")
-    if stage in ("pt", "sft") and ranking:
+    if stage != "rm" and ranking:
         raise ValueError("this stage takes no ranking dataset")

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from corpusloom.config import DatasetSpec
 
 MESSAGES = "array<struct<role:string,content:string>>"
-Converter = Callable[[DataFrame, DatasetSpec], DataFrame]
+#: Kinds of media in aligned rows.
+aligned_media = ("images", "videos", "audios")
+Converter = Callable[[DataFrame, DatasetSpec, str | None], DataFrame]
 _CONVERTERS: dict[str, Converter] = {}
 
 
@@ -118,10 +120,11 @@ register_converter("alpaca", alpaca)
 register_converter("sharegpt", sharegpt)
 
 
-def align(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+def align(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> DataFrame:
+    """Rows in the canonical schema; ``folder`` is where relative paths of media begin."""
     if spec.formatting not in _CONVERTERS:
         raise ValueError(f"converter {spec.formatting} does not exist")
-    return _CONVERTERS[spec.formatting](df, spec)
+    return _CONVERTERS[spec.formatting](df, spec, folder)
 
 
 def gathered(turns: DataFrame, key: str, order: str, role: str = "role", content: str = "text") -> DataFrame:

@@ -64,11 +64,14 @@ def usable(specs: list[DatasetSpec], stage: str) -> list[DatasetSpec]:
     return [s for s in specs if s.ranking == (stage == "rm")] if stage in ("rm", "pt", "sft") else specs
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
+def listed(spark: SparkSession, path: str, missing: bool = False) -> list[str]:
+    """A file, or what a folder holds, in order; a path that is not there is an error unless it may be ``missing``."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(at):
+        if missing:
+            return []
         raise FileNotFoundError(path)
     if not system.getFileStatus(at).isDirectory():
         return [path]
@@ -78,7 +81,7 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
 
 def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A file, or a folder of files of one kind."""
-    files = _listed(spark, path)
+    files = listed(spark, path)
     kinds = {FORMATS.get(f.rpartition(".")[2]) for f in files}
     if None in kinds or not kinds:
         raise ValueError(f"unknown kind of file in {path}")
