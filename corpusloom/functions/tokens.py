@@ -20,10 +20,15 @@ def register_tokenizer(name: str, f: Tokenizer) -> None:
 
 
 def tokenizer(name: str) -> Tokenizer:
-    """A function from text column to array<int>; all are native expressions."""
+    """A function from text column to array<int>. Those here are native expressions; one that is not has ``many`` for arrays of texts."""
     return _TOKENIZERS[name]
 
 
+def of_each(tok: Tokenizer, texts: Column) -> Column:
+    """The ids of each text of an array. What runs in Python cannot stand inside an expression over an array."""
+    return tok.many(texts) if hasattr(tok, "many") else F.transform(texts, tok)
+
+
 def whitespace_words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DataArgs
 from corpusloom.functions import media, templates, tools
-from corpusloom.functions.tokens import head, ignored, infer_seqlen, source_labels, tokenizer
+from corpusloom.functions.tokens import head, ignored, infer_seqlen, of_each, source_labels, tokenizer
 from corpusloom.operators.align import message, none, valid
 
 EOS_ID, BOS_ID, PAD_ID = 2, 1, 0
@@ -45,9 +45,6 @@ def rendered(df: DataFrame, template: templates.Template, messages: Column, eos:
     return ready.withColumn(out, templates.turns(template, said, F.col("_system"), F.col("__told"), eos=eos)).drop("__told", "__said", "__spoken")
 
 
-def _turn_ids(text: Column, tok) -> Column:
-    """array<struct<source, target>> of token ids, one per round."""
-    return F.transform(templates.pairs(text), lambda p: F.struct(tok(p["source"]).alias("source"), tok(p["target"]).alias("target")))
 
 
 def fold_turns(rounds: Column, args: DataArgs, efficient_eos: bool = False, eos_id: int = EOS_ID, cutoff: int | None = None) -> Column:
@@ -77,8 +74,9 @@ def supervised(df: DataFrame, template: str, args: DataArgs, tok: str = "whitesp
     """input_ids, attention_mask, labels of the valid rows."""
     t = templates.get(template)
     rows = rendered(df.filter(valid("sft")), t, F.concat("_prompt", "_response"), eos, extras)
-    folded = fold_turns(_turn_ids(F.col("__text"), tokenizer(tok)), args, t.efficient_eos, cutoff=args.capacity)
-    return _sequence(rows.withColumn("__e", folded).drop("__text"), front=extras.front)
+    rows = rows.withColumn("__ids", of_each(tokenizer(tok), F.col("__text")))
+    folded = fold_turns(templates.pairs(F.col("__ids")), args, t.efficient_eos, cutoff=args.capacity)
+    return _sequence(rows.withColumn("__e", folded).drop("__text", "__ids"), front=extras.front)
 
 
 def _sequence(df: DataFrame, prefix: str = "", front: Column | None = None) -> DataFrame:

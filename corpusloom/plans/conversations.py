@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import DataArgs, DatasetSpec
-from corpusloom.functions import templates
+from corpusloom.functions import templates, unigram
 from corpusloom.functions.tokens import block_causal_mask, cumulative, infer_seqlen, sequence_lengths, tokenizer, valid_labels, whitespace_words
 from corpusloom.operators import encode, pack, stats
 from corpusloom.operators.align import align, gathered, joined_prompt, request_problem, valid
@@ -271,6 +271,15 @@ def request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gathered(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", request_problem(F.col("messages")).alias("problem"))
 
 
+@query("SELECT doc_id, text AS decoded FROM documents")
+def unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by the likeliest pieces of a public vocabulary, and back."""
+    import public_tokenizers
+
+    tok = unigram.of_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return table(spark, sf_dir, "documents").withColumn("ids", tok(F.col("text"))).select("doc_id", tok.decode(F.col("ids")).alias("decoded"))
+
+
 @query("SELECT doc_id, md5(lang || '. ' || source) AS digest FROM documents")
 def prompt_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_prompt(table(spark, sf_dir, "documents"), ["lang", "source"]).select("doc_id", F.md5("text_prompt").alias("digest"))
