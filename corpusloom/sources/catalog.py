@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import DatasetSpec, check_stage
+from corpusloom.sources.dialogues import BELLE, HH, parsed
 
 PARTS = ("prompt", "query", "response", "history", "messages", "system", "tools", "images", "videos", "audios", "chosen", "rejected", "kto_tag")
 TAGS = ("role_tag", "content_tag", "user_tag", "assistant_tag", "observation_tag", "function_tag", "system_tag")
@@ -153,13 +154,6 @@ def ultra_chat(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_talk(F.slice("r.data", F.lit(1), n)).alias("conversations")).filter(F.size("conversations") >= 2)
 
 
-def _split_turns(prompt: Column, human: str, assistant: str) -> Column:
-    """array<struct<query, response>> of a well-formed dialogue text: ``human`` and ``assistant`` marks in turn."""
-    parts = F.filter(F.split(prompt, human, -1), lambda p: F.trim(p) != "")
-    at = lambda p: F.split(p, assistant, 2)
-    return F.transform(parts, lambda p: F.struct(_strip(F.get(at(p), F.lit(0))).alias("query"), _strip(F.coalesce(F.get(at(p), F.lit(1)), F.lit(""))).alias("response")))
-
-
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -167,20 +161,16 @@ def _strip(text: Column) -> Column:
 def belle_multiturn(spark: SparkSession, path: str) -> DataFrame:
     """One text of a whole dialogue per row; its last question is answered by ``output``."""
     rows = spark.read.schema("instruction string, output string").json(path)
-    turns = _split_turns(F.col("instruction"), "Human:", "Assistant:")
-    last = F.size("__t") - 1
-    talk = F.flatten(F.transform("__t", lambda t, i: F.array(t["query"], F.when(i == last, _strip(F.col("output"))).otherwise(t["response"]))))
-    return rows.withColumn("__t", turns).select(_talk(talk).alias("conversations"))
+    told = rows.withColumn("__d", parsed(F.col("instruction"), BELLE))
+    last = F.array(F.array(F.col("__d.question"), _strip(F.col("output"))))
+    return told.select(_talk(F.flatten(F.concat("__d.history", last))).alias("conversations"))
 
 
 def hh_rlhf(spark: SparkSession, path: str) -> DataFrame:
     """Two dialogues that differ in the last answer: instruction, chosen, rejected, history."""
     rows = spark.read.schema("chosen string, rejected string").json(path)
-    turns = _split_turns(F.col("chosen"), r"\n\nHuman: ", r"\n\nAssistant: ")
-    last = F.element_at("__t", -1)
-    answer = lambda c: _strip(F.substring_index(c, "\n\nAssistant: ", -1))
-    history = F.transform(F.slice("__t", F.lit(1), F.greatest(F.size("__t") - 1, F.lit(0))), lambda t: F.array(t["query"], t["response"]))
-    return rows.withColumn("__t", turns).select(last["query"].alias("instruction"), answer(F.col("chosen")).alias("chosen"), answer(F.col("rejected")).alias("rejected"), history.alias("history"))
+    told = rows.withColumns({"__c": parsed(F.col("chosen"), HH), "__r": parsed(F.col("rejected"), HH)})
+    return told.select(F.col("__c.question").alias("instruction"), F.col("__c.answer").alias("chosen"), F.col("__r.answer").alias("rejected"), F.col("__c.history").alias("history"))
 
 
 BUILDERS = {"ultra_chat": ultra_chat, "belle_multiturn": belle_multiturn, "hh_rlhf_en": hh_rlhf}
