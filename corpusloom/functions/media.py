@@ -189,3 +189,66 @@ def process(messages: Column, name: str, **counts: Column) -> Column:
     """Messages with all kinds of media expanded as the named model writes them; ``counts``: tokens of each medium, by kind."""
     check_support(name, set(counts))
     return reduce(lambda m, kind: expanded_messages(m, kind, plugin(name)[kind](counts[kind])), counts, messages)
+
+
+# --- sound inside of videos ---------------------------------------------------------------------------------------
+
+#: Places of a second on the common clock, and places of a chunk.
+PER_SECOND, PER_CHUNK = 25, 50
+
+
+def time_chunks(frames: Column, tokens: Column, seconds: Column) -> Column:
+    """array<int>: how many tokens each time chunk of a video gets, of ``frames`` with ``tokens`` each, ``seconds`` apart.
+
+    Tokens are gone through in order, and each can open one chunk at most: a frame that lies several chunks ahead opens the first
+    of them with its first token, the next with its second, and so on.
+    """
+    zero, none_yet = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+    start = F.struct(F.lit(1).cast("long").alias("chunk"), zero.alias("begin"), none_yet.alias("sizes"))
+    tokens = tokens.cast("long")
+
+    def frame(s: Column, i: Column) -> Column:
+        time = F.floor(i * seconds * PER_SECOND)
+        opened = F.least(tokens, F.greatest(zero, F.floor(time / PER_CHUNK) - s["chunk"] + 1))
+        sizes = F.concat(s["sizes"], F.array(i * tokens - s["begin"]), F.array_repeat(F.lit(1).cast("long"), (opened - 1).cast("int")))
+        after = F.struct((s["chunk"] + opened).alias("chunk"), (i * tokens + opened - 1).alias("begin"), sizes.alias("sizes"))
+        return F.when(opened > 0, after).otherwise(s)
+
+    at = F.when(frames > 0, F.sequence(zero, frames.cast("long") - 1)).otherwise(none_yet)
+    return F.aggregate(at, start, frame, lambda s: F.concat(s["sizes"], F.array(frames.cast("long") * tokens - s["begin"])))
+
+
+def sound_chunks(tokens: Column) -> Column:
+    """array<int>: the sound's tokens by chunk, the last one shorter; one empty chunk without any."""
+    n = F.greatest(F.lit(1), F.ceil(tokens / PER_CHUNK)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(F.lit(PER_CHUNK), tokens - j * PER_CHUNK).cast("long"))
+
+
+def with_sound(videos: Column, sounds: Column, merge: int = 2) -> Column:
+    """array<string>: each video's tokens and its sound's, merged by time chunk.
+
+    ``videos`` is array<struct<t, h, w, seconds>> (grid, and seconds between its frames), ``sounds`` the tokens of each sound.
+    """
+    def one(v: Column, i: Column) -> Column:
+        pictures = time_chunks(v["t"], div(v["h"], merge) * div(v["w"], merge), v["seconds"])
+        heard = sound_chunks(F.get(sounds, i))
+        run = lambda token, n: F.repeat(F.lit(token), F.coalesce(n, F.lit(0)).cast("int"))
+        chunks = F.transform(F.arrays_zip(pictures.alias("p"), heard.alias("s")), lambda z: F.concat(run("<|VIDEO|>", z["p"]), run("<|AUDIO|>", z["s"])))
+        return F.concat(F.lit("<|vision_bos|><|audio_bos|>"), F.array_join(chunks, ""), F.lit("<|audio_eos|><|vision_eos|>"))
+
+    return F.transform(videos, one)
+
+
+def videos_with_sound(messages: Column, videos: Column, sounds: Column, merge: int = 2) -> Column:
+    """Messages whose videos carry their sound: a video's placeholder takes both, and a sound's placeholder of that message goes."""
+    count = lambda kind: F.aggregate(messages, F.lit(0), lambda a, m: a + placeholder_count(m["content"], kind))
+    silent = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), _without(m["content"], "audio", placeholder_count(m["content"], "video")).alias("content")))
+    fits = (count("video") == F.coalesce(F.size(sounds), F.lit(0))) & (F.coalesce(F.size(videos), F.lit(0)) == F.coalesce(F.size(sounds), F.lit(0)))
+    wrong = F.raise_error(F.lit("each video needs a placeholder and a sound")).cast("array<struct<role:string,content:string>>")
+    return F.when(fits, expanded_messages(silent, "video", with_sound(videos, sounds, merge))).otherwise(wrong)
+
+
+def _without(text: Column, kind: str, n: Column) -> Column:
+    """The text less its first n placeholders of a kind."""
+    parts = F.split(text, PLACEHOLDERS[kind], -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when((i == 0) | (i <= n), p).otherwise(F.concat(F.lit(PLACEHOLDERS[kind]), p))), "")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import DataArgs, DatasetSpec
-from corpusloom.functions import templates, unigram
+from corpusloom.functions import media, templates, unigram
 from corpusloom.functions.tokens import block_causal_mask, cumulative, infer_seqlen, sequence_lengths, tokenizer, valid_labels, whitespace_words
-from corpusloom.operators import encode, pack, stats
+from corpusloom.operators import encode, pack, requests, stats
 from corpusloom.operators.align import align, gathered, joined_prompt, request_problem, valid
 from corpusloom.operators.mix import numbered, random_key
 from corpusloom.plans.catalogue import query, table
@@ -345,3 +345,34 @@ def render_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     extras = encode.Extras(media={"image": F.col("counts")}, tools=False)
     return encode.rendered(out, templates.get("qwen2_vl"), F.concat("_prompt", "_response"), "<|im_end|>", extras).select("row_idx", F.array_join("__text", "").alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 9 + 1 AS t, p_size AS n, CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 1.7 END AS s FROM part),
+v AS (SELECT p_partkey, floor(i * s * 25)::BIGINT // 50 AS j, count(*) * 6 AS n FROM p, LATERAL (SELECT unnest(range(t)) AS i) GROUP BY ALL),
+a AS (SELECT p_partkey, j, least(50, n * 4 - j * 50) AS n FROM p, LATERAL (SELECT unnest(range(greatest(1, ceil(n * 4 / 50.0)::BIGINT))) AS j)),
+m AS (SELECT p_partkey, j, coalesce(v.n, 0) AS pictures, coalesce(a.n, 0) AS heard FROM v FULL JOIN a USING (p_partkey, j))
+SELECT p_partkey AS row_idx, 'See <|vision_bos|><|audio_bos|>' || string_agg(repeat('<|VIDEO|>', pictures::INT) || repeat('<|AUDIO|>', heard::INT), '' ORDER BY j) || '<|audio_eos|><|vision_eos|> .' AS text FROM m GROUP BY p_partkey""")
+def render_video_with_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video and its sound, merged by time chunk."""
+    size = F.col("p_size")
+    seconds = F.when(size % 3 == 0, 1.0).when(size % 3 == 1, 0.5).otherwise(1.7)
+    video = F.array(F.struct((size % 9 + 1).alias("t"), F.lit(4).alias("h"), F.lit(6).alias("w"), seconds.alias("seconds")))
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.lit("See <video> <audio>.").alias("content")))
+    out = media.videos_with_sound(messages, video, F.array(size * 4))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_idx"), F.get(out, F.lit(0))["content"].alias("text"))
+
+
+@query("""WITH z AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+t AS (SELECT conv_id, role, text, p, n - 1 AS n FROM z WHERE p < n - 1),
+l AS (SELECT conv_id, max(n) AS n, bool_or(p = 0 AND role = 'system') AS led, max(text) FILTER (p = 0 AND role = 'system') AS system FROM t GROUP BY conv_id),
+u AS (SELECT conv_id, role, text, (p - led::INT)::BIGINT AS i, n - led::INT AS k FROM t JOIN l USING (conv_id, n) WHERE p >= led::INT),
+b AS (SELECT conv_id, system, n - led::INT AS k, bool_and(CASE WHEN i % 2 = 0 THEN role IN ('user', 'tool') ELSE role IN ('assistant', 'function') END) AS fits FROM l LEFT JOIN u USING (conv_id) GROUP BY ALL)
+SELECT conv_id, CASE WHEN k % 2 = 0 THEN 'questions and answers have to alternate and end with a question' WHEN NOT fits THEN 'a role stands where it cannot' END AS error,
+  CASE WHEN k % 2 = 1 AND fits THEN system END AS system, CASE WHEN k % 2 = 1 AND fits THEN (SELECT md5(string_agg(role || '=' || text, '|' ORDER BY i)) FROM u WHERE u.conv_id = b.conv_id) END AS digest FROM b""")
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without their last turn, as chat requests in JSON, and back to canonical rows."""
+    rows = gathered(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    asked = F.slice("messages", F.lit(1), F.size("messages") - 1)
+    request = rows.select("conv_id", F.to_json(F.struct(asked.alias("messages"))).alias("request"))
+    said = F.array_join(F.transform("_prompt", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
+    return requests.converted(request).select("conv_id", "error", F.col("_system").alias("system"), F.md5(said).alias("digest"))
