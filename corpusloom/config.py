@@ -61,6 +61,7 @@ class DataArgs:
     eval_datasets: tuple[str, ...] = ()
     max_steps: int = -1
     batch_size: int = 1000
+    media_dir: str | None = None  #: where media lie; the catalogue's folder if not told
 
     def __post_init__(self):
         if self.mix_strategy not in ("concat", "interleave_under", "interleave_over"):

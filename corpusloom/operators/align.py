@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import DatasetSpec
+from corpusloom.sources.media_files import resolved
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: Kinds of media in aligned rows.
 aligned_media = ("images", "videos", "audios")
-Converter = Callable[[DataFrame, DatasetSpec, str | None], DataFrame]
+Converter = Callable[[DataFrame, DatasetSpec], DataFrame]
 _CONVERTERS: dict[str, Converter] = {}
 
 
@@ -38,20 +39,18 @@ def _kind(df: DataFrame, name: str | None) -> T.DataType | None:
     return df.schema[name].dataType if name else None
 
 
-def _media(df: DataFrame, spec: DatasetSpec, part: str, folder: str | None) -> Column:
-    """A path or list of paths as a list under ``folder`` (for local sources); empty lists become null."""
+def _media(df: DataFrame, spec: DatasetSpec, part: str) -> Column:
+    """A path or list of paths as a list; empty lists become null."""
     name = spec.column(part)
     if not name:
         return F.lit(None).cast("array<string>")
     listed = F.col(name) if isinstance(_kind(df, name), T.ArrayType) else F.when(F.col(name).isNotNull(), F.array(name))
-    if folder and spec.source in ("file", "script"):
-        listed = F.transform(listed, lambda p: F.when(p.startswith("/") | p.contains("://"), p).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), p)))
     return F.when(F.size(listed) > 0, listed)
 
 
-def _ends(df: DataFrame, spec: DatasetSpec, system: Column, folder: str | None) -> list[Column]:
+def _ends(df: DataFrame, spec: DatasetSpec, system: Column) -> list[Column]:
     text = lambda part: F.col(spec.column(part)) if spec.column(part) else F.lit("")
-    return [system.alias("_system"), text("tools").alias("_tools")] + [_media(df, spec, m, folder).alias(f"_{m}") for m in ("images", "videos", "audios")]
+    return [system.alias("_system"), text("tools").alias("_tools")] + [_media(df, spec, m).alias(f"_{m}") for m in aligned_media]
 
 
 def _preferred(tag: Column, response: Column) -> Column:
@@ -60,7 +59,7 @@ def _preferred(tag: Column, response: Column) -> Column:
     return F.when(tag, F.concat(response, empty)).otherwise(F.concat(empty, response))
 
 
-def alpaca(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> DataFrame:
+def alpaca(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Instruction rows. Which response is taken: preference tag, then ranked pair, then plain response, then none."""
     ask = [F.when(F.col(spec.column(p)) != "", F.col(spec.column(p))) for p in ("prompt", "query") if spec.column(p)]
     prompt = F.array(message("user", F.concat_ws("\n", *ask)))
@@ -79,10 +78,10 @@ def alpaca(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> DataF
         answer = F.col(spec.column("response")) if spec.column("response") else F.lit(None).cast("string")
         response = F.when(tag.isNotNull(), _preferred(tag, F.array(message("assistant", answer)))).otherwise(response)
     system = F.col(spec.column("system")) if spec.column("system") else F.lit("")
-    return df.select(*_kept(df), prompt.alias("_prompt"), response.alias("_response"), *_ends(df, spec, system, folder))
+    return df.select(*_kept(df), prompt.alias("_prompt"), response.alias("_response"), *_ends(df, spec, system))
 
 
-def sharegpt(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> DataFrame:
+def sharegpt(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Message rows: a leading system turn is peeled off; a wrong role or count empties prompt and response (the row stays)."""
     role, content = spec.tag("role_tag"), spec.tag("content_tag")
     raw = F.col(spec.column("messages") or "conversations")
@@ -108,7 +107,7 @@ def sharegpt(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> Dat
         tag = F.col(spec.column("kto_tag"))
         prompt, response = F.when(tag.isNotNull(), front).otherwise(prompt), F.when(tag.isNotNull(), _preferred(tag, last)).otherwise(response)
     return df.select(
-        *_kept(df), F.when(sound, prompt).otherwise(none()).alias("_prompt"), F.when(sound, response).otherwise(none()).alias("_response"), *_ends(df, spec, system, folder)
+        *_kept(df), F.when(sound, prompt).otherwise(none()).alias("_prompt"), F.when(sound, response).otherwise(none()).alias("_response"), *_ends(df, spec, system)
     )
 
 
@@ -121,10 +120,12 @@ register_converter("sharegpt", sharegpt)
 
 
 def align(df: DataFrame, spec: DatasetSpec, folder: str | None = None) -> DataFrame:
-    """Rows in the canonical schema; ``folder`` is where relative paths of media begin."""
+    """Rows in the canonical schema; of local sources, media that lie under ``folder`` are named by their place there."""
     if spec.formatting not in _CONVERTERS:
         raise ValueError(f"converter {spec.formatting} does not exist")
-    return _CONVERTERS[spec.formatting](df, spec, folder)
+    rows = _CONVERTERS[spec.formatting](df, spec)
+    kinds = [f"_{m}" for m in aligned_media if spec.column(m)]
+    return resolved(rows, kinds, folder) if folder and kinds and spec.source in ("file", "script") else rows
 
 
 def gathered(turns: DataFrame, key: str, order: str, role: str = "role", content: str = "text") -> DataFrame:

@@ -132,7 +132,7 @@ def merged(found: dict[str, tuple[DatasetSpec, DataFrame]], run: RunSpec, args:
     for name, (spec, rows) in found.items():
         check_stage(run.stage, spec.ranking)
         drawn, n = sample(positioned(rows), spec, args, run.seed)
-        parts[name] = align(drawn, spec, folder), n
+        parts[name] = align(drawn, spec, args.media_dir or folder), n
     if apart:
         return {name: rows for name, (rows, _) in parts.items()}
     tables = [rows for rows, _ in parts.values()]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import DatasetSpec, check_stage
+from corpusloom.sources.arrow_files import arrow
 from corpusloom.sources.dialogues import BELLE, HH, parsed
 
 PARTS = ("prompt", "query", "response", "history", "messages", "system", "tools", "images", "videos", "audios", "chosen", "rejected", "kto_tag")
@@ -90,7 +91,7 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
         raise ValueError("files should be of one kind")
     kind = kinds.pop()
     if kind == "arrow":
-        return _arrow(spark, files)
+        return arrow(spark, files)
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
         return reader.csv(files, header=True, multiLine=True, escape='"')
@@ -99,26 +100,6 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return reader.format(kind).load(files)
 
 
-def _arrow(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Arrow files (stream or file layout), read where the tasks run; the first file's schema holds for all."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def opened(data: bytes):
-        source = pa.BufferReader(data)
-        return pa.ipc.open_file(source) if data[:6] == b"ARROW1" else pa.ipc.open_stream(source)
-
-    binary = spark.read.format("binaryFile").load(files).select("content")
-    schema = from_arrow_schema(opened(bytes(binary.first()["content"])).schema)
-
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield from opened(data).read_all().to_batches(max_chunksize=10_000)
-
-    return binary.mapInArrow(run, schema)
-
-
 def load(spark: SparkSession, spec: DatasetSpec, folder: str = ".") -> DataFrame:
     """The rows of a dataset; hubs need a network and are refused."""
     if spec.source == "hub":
