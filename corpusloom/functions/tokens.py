@@ -92,10 +92,11 @@ def block_causal_mask(mask: Column) -> Column:
 
 
 def sequence_lengths(mask: Column) -> Column:
-    """Lengths of the packed items 1, 2, ... of a row; missing numbers are left out."""
-    top = F.array_max(F.concat(mask, F.array(F.lit(0))))
-    counts = F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda v: F.size(F.filter(mask, lambda x: x == v)))
-    return F.filter(counts, lambda n: n > 0)
+    """Lengths of the packed items 1, 2, ... of a row; missing numbers are left out. The sorted numbers are gone through once."""
+    items = F.array_sort(F.filter(mask, lambda x: x > 0))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda a, x: F.when(x == a["last"], F.struct(a["last"].alias("last"), (a["n"] + 1).alias("n"), a["out"].alias("out"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("n"), F.when(a["n"] > 0, F.concat(a["out"], F.array(a["n"]))).otherwise(a["out"]).alias("out")))
+    return F.aggregate(items, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(a["n"]))).otherwise(a["out"]))
 
 
 def cumulative(lengths: Column) -> Column:
@@ -107,6 +108,21 @@ def valid_labels(labels: Column) -> Column:
     return F.filter(labels, lambda x: x != IGNORE)
 
 
+def without(ids: Column, others: Column) -> Column:
+    """The list's distinct ids that the other list does not hold, in order."""
+    return F.array_except(ids, others)
+
+
+def within(ids: Column, others: Column) -> Column:
+    """Whether every id of the list is in the other one."""
+    return F.size(F.array_except(ids, others)) == 0
+
+
+def joined(ids: Column, others: Column) -> Column:
+    """The distinct ids of both lists: those of the first, then the new ones of the second."""
+    return F.array_union(ids, others)
+
+
 def token_types(ids: Column, image_id: int) -> Column:
     """1 where a token stands for a piece of an image."""
     return F.transform(ids, lambda x: (x == image_id).cast("int"))

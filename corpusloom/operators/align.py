@@ -162,6 +162,19 @@ def media_mismatch(text: Column, placeholder: str, media: Column) -> Column:
     return found.cast("int") - F.coalesce(F.size(media), F.lit(0))
 
 
+def only(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns; those that are not used go before anything is read of them. A missing one is an error."""
+    return require(df, *columns).select(*columns)
+
+
+def not_longer(df: DataFrame, most: int, ids: str = "input_ids") -> DataFrame:
+    """Rows of at most so many tokens; if none is left, an error."""
+    out = df.filter(F.size(ids) <= most)
+    if out.isEmpty():
+        raise ValueError(f"no row of at most {most} tokens")
+    return out
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

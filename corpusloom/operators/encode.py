@@ -167,16 +167,26 @@ def pretrain_ids(df: DataFrame, text: Column, tok: str = "whitespace", eos_id: i
 
 
 def chunks(df: DataFrame, block: int, batch: str = "batch_id", order: str = "row_idx", ids: str = "input_ids", bos_id: int | None = None) -> DataFrame:
-    """A batch's tokens end to end, in full blocks only: batch, block, input_ids. Batches are of fixed size, so tasks stay small."""
+    """A batch's tokens end to end, in full blocks only: batch, block, input_ids. Batches are of fixed size, so tasks stay small.
+
+    Each row is cut where blocks end, and the pieces are shuffled whole.
+    """
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = df.select(batch, order, ids, F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0)).alias("__ahead"))
-    tokens = placed.select(batch, F.posexplode(ids).alias("__i", "__t"), "__ahead").withColumn("__pos", F.col("__ahead") + F.col("__i"))
-    blocks = tokens.withColumn("block", F.floor(F.col("__pos") / block).cast("long")).groupBy(batch, "block")
-    out = blocks.agg(F.array_sort(F.collect_list(F.struct("__pos", "__t"))).alias("__s")).filter(F.size("__s") == block)
-    made = F.transform("__s", lambda x: x["__t"])
-    if bos_id is not None:
-        made = F.concat(F.array(F.lit(bos_id)), F.slice(made, 2, block))
-    return out.select(batch, "block", made.alias("input_ids"))
+    placed = df.select(batch, order, ids, F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0)).alias("__ahead")).filter(F.size(ids) > 0)
+    first, last = F.floor(F.col("__ahead") / block), F.floor((F.col("__ahead") + F.size(ids) - 1) / block)
+
+    def piece(b: Column) -> Column:
+        start = F.greatest(b * block, F.col("__ahead"))
+        end = F.least((b + 1) * block, F.col("__ahead") + F.size(ids))
+        return F.struct(b.cast("long").alias("block"), start.alias("start"), F.slice(F.col(ids), (start - F.col("__ahead") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+
+    pieces = placed.select(batch, F.inline(F.transform(F.sequence(first, last), piece)))
+    out = pieces.groupBy(batch, "block").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("__s"))
+    made = F.flatten(F.col("__s.piece"))
+    full = out.select(batch, "block", made.alias("input_ids")).filter(F.size("input_ids") == block)
+    if bos_id is None:
+        return full
+    return full.withColumn("input_ids", F.concat(F.array(F.lit(bos_id)), F.slice("input_ids", 2, block)))
 
 
 def aligned_text(df: DataFrame) -> Column:

@@ -41,10 +41,18 @@ def reward_accuracy(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
     return df.agg(F.avg((F.col(chosen) > F.col(rejected)).cast("double")).alias("accuracy"))
 
 
-def preference_metrics(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
-    """Mean rewards of both sides, accuracy and margin."""
+def preference_metrics(df: DataFrame, chosen: str, rejected: str, measures: tuple[str, ...] = (), own_loss: str | None = None, loss: str | None = None, beta: float = 0.1) -> DataFrame:
+    """Mean rewards of both sides, accuracy and margin.
+
+    ``measures`` (such as logps and logits) are means of columns ``chosen_<name>`` and ``rejected_<name>``. With the loss on the
+    chosen answer and the whole loss of each row, their mean and that of the odds-ratio part.
+    """
     c, r = F.col(chosen), F.col(rejected)
-    return df.agg(F.avg(c).alias("rewards_chosen"), F.avg(r).alias("rewards_rejected"), F.avg((c > r).cast("double")).alias("rewards_accuracies"), F.avg(c - r).alias("rewards_margins"))
+    out = {"rewards_chosen": F.avg(c), "rewards_rejected": F.avg(r), "rewards_accuracies": F.avg((c > r).cast("double")), "rewards_margins": F.avg(c - r)}
+    out |= {f"{m}_{side}": F.avg(f"{side}_{m}") for m in measures for side in ("chosen", "rejected")}
+    if own_loss and loss:
+        out |= {"sft_loss": F.avg(own_loss), "odds_ratio_loss": F.avg((F.col(loss) - F.col(own_loss)) / beta)}
+    return df.agg(*(a.alias(n) for n, a in out.items()))
 
 
 def class_means(df: DataFrame, reward: str, tag: str) -> DataFrame:
@@ -58,6 +66,37 @@ def class_means(df: DataFrame, reward: str, tag: str) -> DataFrame:
     return out.withColumns({"chosen_mean": mean("chosen"), "rejected_mean": mean("rejected")}).withColumn("margin", F.col("chosen_mean") - F.col("rejected_mean"))
 
 
+def feedback_metrics(df: DataFrame, tag: str, measures: tuple[str, ...] = ("rewards", "logps", "logits"), kl: str | None = None) -> DataFrame:
+    """Per class (by the tag) the sum of each measure over its rows, by the number of all its rows; the margin of rewards; the mean kl.
+
+    A NaN adds nothing to a sum, and its row is counted, as in the published trainer. A class without rows is null.
+    """
+    out = {}
+    for name, test in (("chosen", F.col(tag)), ("rejected", ~F.col(tag))):
+        for m in measures:
+            total = F.sum(F.when(test, F.when(F.isnan(m), F.lit(0.0)).otherwise(F.coalesce(F.col(m), F.lit(0.0)))))
+            out[f"{m}_{name}"] = total / F.nullif(F.count_if(test), F.lit(0))
+    if kl:
+        out["kl"] = F.avg(kl)
+    means = df.agg(*(a.alias(n) for n, a in out.items()))
+    return means.withColumn("rewards_margins", F.col("rewards_chosen") - F.col("rewards_rejected")) if "rewards" in measures else means
+
+
+def zipped(order: str = "row_idx", **tables: DataFrame) -> DataFrame:
+    """Rows of several tables side by side, by their place: order, and a column per table, named as it is told; each has one column besides.
+
+    Tables of different lengths are an error, as rows would be paired with the wrong ones.
+    """
+    out = None
+    for name, t in tables.items():
+        (own,) = (c for c in t.columns if c != order)
+        part = t.select(F.col(order), F.struct(F.col(own)).alias(name))
+        out = part if out is None else out.join(part, order, "full")
+    whole = {n: F.when(F.col(n).isNull(), F.raise_error(F.lit(f"{n} has too few rows")).cast(out.schema[n].dataType)).otherwise(F.col(n)) for n in tables}
+    out = out.withColumns(whole)
+    return out.select(order, *(F.col(n).getField(out.schema[n].dataType.fieldNames()[0]).alias(n) for n in tables))
+
+
 def sequence_logps(logps: Column, labels: Column) -> tuple[Column, Column]:
     """(sum of the labels' log-probabilities that count, how many): place i of ``logps`` belongs to label i + 1."""
     pairs = F.zip_with(logps, F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda p, t: F.when(t != IGNORE, p))

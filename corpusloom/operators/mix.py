@@ -20,12 +20,20 @@ def random_key(seed: int | str, *columns: Column | str) -> Column:
 DRAWN, LEAST = 64, 10_000
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many more underscores in front as it takes to be none of those taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def _cuts(keys: DataFrame, ranges: int, rows: int) -> list:
-    """Range ends from a bounded sample of the keys. Where they fall changes the balance of the tasks and nothing else."""
+    """Range ends from a bounded sample of the keys (column ``k``). Where they fall changes the balance of the tasks and nothing else."""
     wanted = DRAWN * ranges
     drawn = keys.sample(min(1.0, 1.2 * wanted / rows), 7).limit(4 * wanted) if rows > wanted else keys
-    tiles = drawn.select("__key", F.ntile(ranges).over(Window.orderBy("__key")).alias("t"))
-    found = tiles.groupBy("t").agg(F.max("__key").alias("end")).orderBy("t").collect()
+    tiles = drawn.select("k", F.ntile(ranges).over(Window.orderBy("k")).alias("t"))
+    found = tiles.groupBy("t").agg(F.max("k").alias("end")).orderBy("t").collect()
     return [r["end"] for r in found[:-1]]
 
 
@@ -56,18 +64,19 @@ def numbered(df: DataFrame, *order: Column | str, out: str = "row_idx", hot: boo
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     if hot:
         keys.append(F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and t != "variant")))
-    keyed = df.withColumn("__key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
+    key, part = fresh("__key", [*df.columns, out]), fresh("__part", [*df.columns, out])
+    keyed = df.withColumn(key, F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
     rows = keyed.count()
     ranges = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // LEAST))
-    cuts = _cuts(keyed.select("__key"), ranges, rows) if ranges > 1 else []
-    placed = keyed.withColumn("__part", _place(F.col("__key"), keyed.schema["__key"].dataType, cuts))
-    counts = placed.groupBy("__part").agg(F.count("*").alias("n")).collect()  # as many rows as ranges
+    cuts = _cuts(keyed.select(F.col(key).alias("k")), ranges, rows) if ranges > 1 else []
+    placed = keyed.withColumn(part, _place(F.col(key), keyed.schema[key].dataType, cuts))
+    counts = placed.groupBy(part).agg(F.count("*").alias("n")).collect()  # as many rows as ranges
     before, shift = 0, {}
-    for r in sorted(counts, key=lambda r: r["__part"]):
-        shift[r["__part"]], before = before, before + r["n"]
+    for r in sorted(counts, key=lambda r: r[part]):
+        shift[r[part]], before = before, before + r["n"]
     shifts = F.array(*(F.lit(shift.get(i, 0)).cast("long") for i in range(len(cuts) + 1)))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
-    return placed.withColumn(out, (F.element_at(shifts, F.col("__part") + 1) + local).cast("long")).drop("__part", "__key")
+    local = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
+    return placed.withColumn(out, (F.element_at(shifts, F.col(part) + 1) + local).cast("long")).drop(part, key)
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
@@ -115,7 +124,7 @@ def interleaved(tables: list[DataFrame], strategy: str = "interleave_under", pro
     u = F.conv(F.substring(random_key(seed, "id"), 1, 12), 16, 10).cast("double") / float(16**12)
     source = reduce(lambda c, i: c.when(u < edges[i], i), range(1, k - 1), F.when(u < edges[0], 0)).otherwise(k - 1)
     draws = tables[0].sparkSession.range(total).select(F.col("id").alias("mix_idx"), source.alias("src_idx"))
-    draws = draws.withColumn("__take", F.row_number().over(Window.partitionBy("src_idx").orderBy("mix_idx")) - 1)
+    draws = _ranked_by_stretch(draws, "src_idx", "mix_idx", "__take")
     limits = F.element_at(F.array(*(F.lit(n) for n in sizes)), F.col("src_idx") + 1)
     if strategy == "interleave_under":  # the first draw that finds its table empty ends it
         end = draws.filter(F.col("__take") >= limits).agg(F.min("mix_idx").alias("e")).first()["e"]
@@ -128,6 +137,19 @@ def interleaved(tables: list[DataFrame], strategy: str = "interleave_under", pro
     return wanted.join(concatenated(*tables), ["src_idx", "row_idx"])
 
 
+#: Places of a mixture that one task ranks.
+STRETCH = 65_536
+
+
+def _ranked_by_stretch(df: DataFrame, key: str, place: str, out: str) -> DataFrame:
+    """``out``: how many rows of the key come before, for dense places: ranks inside stretches of them, onto the stretches' counts."""
+    cut = df.withColumn("__b", F.floor(F.col(place) / STRETCH).cast("long"))
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut.groupBy(key, "__b").agg(F.count("*").alias("__n")).select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    rank = F.row_number().over(Window.partitionBy(key, "__b").orderBy(place)) - 1
+    return cut.join(ahead, [key, "__b"]).withColumn(out, F.col("__ahead") + rank).drop("__b", "__ahead")
+
+
 def split(df: DataFrame, val_size: float, seed: int = 42, shuffle: bool = True) -> DataFrame:
     """A column ``split``: exactly val_size rows (or that share, rounded up) of a seeded order are validation, the rest train."""
     n = df.count()

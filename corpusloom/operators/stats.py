@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import valid_labels
+from corpusloom.operators.mix import numbered
 
 
 def length_cdf(df: DataFrame, length: Column, interval: int) -> DataFrame:
@@ -46,28 +47,39 @@ def smoothing_weight(n: Column) -> Column:
     return 1.8 * (1 / (1 + F.exp(-0.05 * n)) - 0.5)
 
 
+def stretched(df: DataFrame, order: str, key: str | None, stretch: int) -> DataFrame:
+    """The rows with __key (the key, or a constant) and __b: consecutive rows of a key, at most ``stretch`` of them.
+
+    Rows are numbered over key and order by ranges, so a long series is ordered by many tasks.
+    """
+    keyed = df.withColumn("__key", F.col(key) if key else F.lit(0))
+    placed = numbered(keyed.withColumn("__series", F.col("__key")), "__series", order, out="__k")
+    return placed.withColumn("__b", F.floor(F.col("__k") / stretch).cast("long")).drop("__k", "__series")
+
+
 def smoothed(df: DataFrame, key: str, order: str, value: str, stretch: int = 1024) -> DataFrame:
     """Per key, the exponentially smoothed series as rows (key, order, value, smoothed); the weight follows the series' length.
 
     A series is cut into stretches. Each is folded from zero, which tells what it adds and by how much it fades what came
     before; a fold over those few numbers a key gives the value that each stretch starts from. No task holds more than a
-    stretch, and per key the numbers of its stretches.
+    stretch, and per key the numbers of its stretches; the joins are on key and stretch, so no key is large in them.
     """
-    w = Window.partitionBy(key)
-    placed = df.withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(order)) - 1, "__x": F.col(value).cast("double")})
-    cut = placed.groupBy(key, F.floor(F.col("__k") / stretch).alias("__b")).agg(
-        F.array_sort(F.collect_list(F.struct("__k", order, value, "__x"))).alias("__s"), F.first(smoothing_weight(F.col("__n").cast("double"))).alias("__w")
-    )
+    item = F.struct(F.col(order), F.col(value), F.col(value).cast("double").alias("__x"))
+    placed = stretched(df.select(key, order, value), order, key, stretch)
+    cut = placed.groupBy("__key", "__b").agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    sizes = placed.groupBy("__key", "__b").agg(F.count("*").alias("n")).groupBy("__key").agg(F.sum("n").alias("n"), F.collect_list("__b").alias("b"))
+    lengths = sizes.select(F.col("__key").alias("__of"), smoothing_weight(F.col("n").cast("double")).alias("__w"), F.explode("b").alias("__at"))
+    cut = cut.join(lengths, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__b") == F.col("__at"))).drop("__of", "__at")
     weight = F.col("__w")
     onward = lambda last, x: last * weight + (1 - weight) * x["__x"]
-    told = cut.withColumn("__t", F.struct("__b", F.aggregate("__s", F.lit(0.0), onward).alias("adds"), F.pow("__w", F.size("__s")).alias("fades"), F.col("__s")[0]["__x"].alias("first")))
-    chain = told.groupBy(key).agg(F.array_sort(F.collect_list("__t")).alias("__c"))
+    told = cut.select("__key", F.struct("__b", F.aggregate("__s", F.lit(0.0), onward).alias("adds"), F.pow("__w", F.size("__s")).alias("fades"), F.col("__s")[0]["__x"].alias("first")).alias("__t"))
+    chain = told.groupBy("__key").agg(F.array_sort(F.collect_list("__t")).alias("__c"))
     none = F.expr("cast(array() as array<double>)")
     starts = F.aggregate("__c", F.struct(F.col("__c")[0]["first"].alias("last"), none.alias("out")), lambda a, t: F.struct((a["last"] * t["fades"] + t["adds"]).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out")))
-    begun = chain.select(key, F.posexplode(starts["out"]).alias("__b", "__start"))
-    joined = cut.join(begun.withColumn("__b", F.col("__b").cast("long")), [key, "__b"])
+    begun = chain.select(F.col("__key").alias("__of"), F.explode(F.arrays_zip(F.col("__c.__b").alias("at"), starts["out"].alias("start"))).alias("__z")).select("__of", F.col("__z.at").alias("__at"), F.col("__z.start").alias("__start"))
+    joined = cut.join(begun, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__b") == F.col("__at")))
     fold = F.aggregate("__s", F.struct(F.col("__start").alias("last"), none.alias("out")), lambda a, x: F.struct(onward(a["last"], x).alias("last"), F.concat(a["out"], F.array(onward(a["last"], x))).alias("out")))
-    rows = joined.select(key, F.explode(F.arrays_zip(F.col("__s").alias("s"), fold["out"].alias("o"))).alias("__z"))
+    rows = joined.select(F.col("__key").alias(key), F.explode(F.arrays_zip(F.col("__s").alias("s"), fold["out"].alias("o"))).alias("__z"))
     return rows.select(key, F.col(f"__z.s.{order}").alias(order), F.col(f"__z.s.{value}").alias(value), F.col("__z.o").alias("smoothed"))
 
 
@@ -92,10 +104,19 @@ def progress(df: DataFrame, done: str, total: str, elapsed: str) -> DataFrame:
     })
 
 
-def running(df: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
-    """Last value, sum, count and average so far."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(1))).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"sum": F.sum(value).over(w), "count": F.count(value).over(w)}).withColumn("avg", F.col("sum") / F.col("count"))
+def running(df: DataFrame, order: str, value: str, key: str | None = None, stretch: int = 65_536) -> DataFrame:
+    """Sum, count and average so far: inside stretches, onto the sums of the stretches before."""
+    placed = stretched(df, order, key, stretch)
+    parts = placed.groupBy("__key", "__b").agg(F.sum(value).alias("__sum"), F.count(value).alias("__count"))  # a row per stretch
+    before = Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select(F.col("__key").alias("__of"), F.col("__b").alias("__at"), F.sum("__sum").over(before).alias("__s"), F.sum("__count").over(before).alias("__n"))
+    both = placed.join(ahead, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__b") == F.col("__at")))
+    here = Window.partitionBy("__key", "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(value).over(here)
+    total = F.when(own.isNull(), F.col("__s")).otherwise(own + F.coalesce(F.col("__s"), F.lit(0)))
+    count = F.count(value).over(here) + F.coalesce(F.col("__n"), F.lit(0))
+    out = both.withColumns({"sum": total, "count": count}).withColumn("avg", F.col("sum") / F.col("count"))
+    return out.select(*df.columns, "sum", "count", "avg")
 
 
 def schedule(rows: int, per_step: int, accumulate: int, epochs: int, done: int = 0) -> dict[str, int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.tokens import joined, whitespace_words, within, without
 from corpusloom.operators import evaluate, stats
 from corpusloom.operators.mix import random_key
 from corpusloom.plans.catalogue import query, table
@@ -223,3 +224,38 @@ def ext_revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeded_order(seed: int, *columns: str) -> Column:
     return random_key(seed, *columns)
+
+
+@query("""WITH x AS (SELECT quality = 1 AS good, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars / 100.0 END AS r, doc_id * 0.5 AS p FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+SELECT round(sum(r) FILTER (good) / count(*) FILTER (good), 6) AS rewards_chosen, round(sum(r) FILTER (NOT good) / count(*) FILTER (NOT good), 6) AS rewards_rejected,
+  round(avg(p) FILTER (good), 6) AS logps_chosen, round(avg(p) FILTER (NOT good), 6) AS logps_rejected, round(avg(p), 6) AS kl,
+  round(sum(r) FILTER (good) / count(*) FILTER (good) - sum(r) FILTER (NOT good) / count(*) FILTER (NOT good), 6) AS rewards_margins FROM x""")
+def kto_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a preference run: a reward in seven is not a number."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("quality is not null")
+    scored = rows.select((F.col("quality") == 1).alias("tag"), F.when(F.col("doc_id") % 7 == 0, float("nan")).otherwise(F.col("n_chars") / 100.0).alias("rewards"), (F.col("doc_id") * 0.5).alias("logps"))
+    out = evaluate.feedback_metrics(scored, "tag", ("rewards", "logps"), kl="logps")
+    return out.select(*(cents(c).alias(c) for c in out.columns))
+
+
+@query("SELECT round(avg(l_discount), 9) AS rewards_chosen, round(avg(l_tax), 9) AS rewards_rejected, round(avg((l_discount > l_tax)::INT), 9) AS rewards_accuracies, round(avg(l_discount - l_tax), 9) AS rewards_margins, round(avg(l_quantity), 9) AS logps_chosen, round(avg(l_linenumber), 9) AS logps_rejected, round(avg(l_tax), 9) AS sft_loss, round(avg((l_discount - l_tax) / 0.1), 9) AS odds_ratio_loss FROM lineitem")
+def preference_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumns({"chosen_logps": F.col("l_quantity"), "rejected_logps": F.col("l_linenumber")})
+    out = evaluate.preference_metrics(rows, "l_discount", "l_tax", ("logps",), "l_tax", "l_discount")
+    return out.select(*(cents(c, 9).alias(c) for c in out.columns))
+
+
+@query("SELECT doc_id AS row_idx, md5(text) AS prompt, lang AS predict, source AS label FROM documents")
+def predictions_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts, predictions and labels from tables of their own, side by side by place."""
+    rows = table(spark, sf_dir, "documents").withColumn("row_idx", F.col("doc_id"))
+    return evaluate.zipped(prompt=rows.select("row_idx", F.md5("text").alias("p")), predict=rows.select("row_idx", "lang"), label=rows.select("row_idx", "source"))
+
+
+@query("""WITH w AS (SELECT conv_id, list(DISTINCT w) FILTER (role = 'user') AS a, list(DISTINCT w) FILTER (role = 'assistant') AS b FROM (SELECT conv_id, role, unnest(regexp_extract_all(text, '\\S+')) AS w FROM conversations) GROUP BY conv_id)
+SELECT conv_id, len(list_filter(a, lambda x: NOT list_contains(b, x)))::BIGINT AS only_asked, len(list_distinct(list_concat(a, b)))::BIGINT AS either, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS inside FROM w WHERE a IS NOT NULL AND b IS NOT NULL""")
+def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, words of the questions against those of the answers."""
+    words = lambda role: F.flatten(F.collect_list(F.when(F.col("role") == role, whitespace_words(F.col("text")))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(words("user").alias("a"), words("assistant").alias("b")).filter("size(a) > 0 and size(b) > 0")
+    return rows.select("conv_id", F.size(without(F.col("a"), F.col("b"))).cast("long").alias("only_asked"), F.size(joined(F.col("a"), F.col("b"))).cast("long").alias("either"), within(F.col("a"), F.col("b")).alias("inside"))

@@ -94,12 +94,18 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
         return arrow(spark, files)
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        return reader.csv(files, header=True, multiLine=True, escape='"')
+        return reader.csv(files, header=True, multiLine=_over_lines(spark, files), escape='"')
     if kind in ("json", "jsonl"):
         return reader.json(files, multiLine=kind == "json")
     return reader.format(kind).load(files)
 
 
+def _over_lines(spark: SparkSession, files: list[str]) -> bool:
+    """Whether a record of a CSV file goes on over a line's end: then some line has an odd number of quotes. If none does, files can be split."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(files).filter(odd % 2 == 1).isEmpty()
+
+
 def load(spark: SparkSession, spec: DatasetSpec, folder: str = ".") -> DataFrame:
     """The rows of a dataset; hubs need a network and are refused."""
     if spec.source == "hub":
