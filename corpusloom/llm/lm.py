@@ -9,8 +9,8 @@ price of log10(M / (n(h) + M)), the weight that the formula leaves for unseen wo
 to 1. The end of a text is a word like any other. One traversal from left to right carries the state and adds up.
 
 Size: every n-gram of the training texts counts, none is cut. The texts are dealt into units of about ``UNIT`` tokens. Each unit names its
-distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space and added up there, and what
-the other units count of them is sent back, in the order asked and without the hashes. So a task that scores a unit holds exactly the arcs that its texts can
+distinct n-grams by hashes with its own counts of them; they are sent, packed, to parts of the hash space (or as rows, where the parts
+are many) and added up there, and what the other units count of them is sent back, in the order asked and without the hashes. So a task that scores a unit holds exactly the arcs that its texts can
 touch, and what is moved grows with the input, a few bytes an n-gram. Words are told by 64 bits. Pairs and triples are told by 40
 bits besides those of the part; as the parts' number grows with the n-grams, about 4 in a million share a hash with another and
 add their counts, at any size.
@@ -42,10 +42,10 @@ from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 #: The end of a text; no word holds white space, so none equals it.
 END = b"\n"
 FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
-#: Tokens of a unit, tokens whose arcs are held at once while it is scored, and n-grams that a part of the hash space takes.
+#: Tokens of a unit, tokens whose arcs are laid out at once while it is scored, and n-grams that a part of the hash space takes.
 UNIT, HELD, PART = 1_500_000, 150_000, 6_000_000
-#: Bits of the hash of a pair or triple besides those that number the part.
-KEY = 40
+#: Bits of the hash of a pair or triple besides those that number the part; bits of the parts' number up to which units send packs.
+KEY, PACKED_BITS = 40, 10
 
 
 def _fold(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,7 +62,6 @@ def _units(id_type: pa.DataType):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, number = TaskContext.get().partitionId() << 40, 0, 0
-        pack = zstandard.ZstdCompressor(level=1).compress
         vocabulary: defaultdict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         pieces: list[tuple] = []
@@ -75,7 +74,7 @@ def _units(id_type: pa.DataType):
             cells = [
                 pa.array([part | serial]), pa.array([row], pa.list_(pa.int64())), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([train], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([ahead], pa.list_(pa.int32())),
-                pa.array([words.tobytes()], pa.binary()), pa.array([pack(np.concatenate(tokens).astype(np.uint16 if len(vocabulary) < 1 << 16 else np.uint32).tobytes())], pa.binary()), pa.array([learned], pa.int64()),
+                pa.array([words.tobytes()], pa.binary()), pa.array([packed_tokens(np.concatenate(tokens), len(vocabulary))], pa.binary()), pa.array([learned], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(cells, names=["unit", "row", "id", "held", "train", "n", "ahead", "words", "tokens", "learned"])
 
@@ -111,7 +110,7 @@ class Grams:
     """The n-grams of one unit: for each order the distinct hashes, the unit's own training counts, and the number of each position's n-gram (-1: none)."""
 
     def __init__(self, words: bytes, tokens: bytes, train: list[bool], n: list[int], ahead: list[int]):
-        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), dtype=np.uint16 if len(words) // 8 < 1 << 16 else np.uint32).astype(np.int64)
+        self.tokens = unpacked_tokens(tokens)
         sizes = np.array(n, dtype=np.int64) + np.array(ahead, dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
@@ -152,6 +151,18 @@ class Grams:
                 self.counts[0] += own
 
 
+def packed_tokens(tokens: np.ndarray, words: int) -> bytes:
+    """Numbers of words, byte by byte of their places, as many as the largest needs; compressed."""
+    wide = max(1, ((words - 1).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].T)
+    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return sum((plane.astype(np.int64) << 8 * k for k, plane in enumerate(planes)), np.zeros(planes.shape[1], dtype=np.int64))
+
+
 def packed_counts(counts: np.ndarray) -> bytes:
     """Counts, mostly one byte each; compressed."""
     large = counts >= 255
@@ -243,8 +254,71 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(part, asked)
 
 
+def _row_asker(bits: int):
+    """Units to rows of their n-grams: (space, key, unit, place, n), the place being that in the unit's order."""
+
+    def ask(batches):
+        for batch in batches:
+            for unit, *own in _rows(batch, ("unit", *_UNIT_GRAMS)):
+                grams = Grams(*own)
+                for space, ((keys, order), counts) in enumerate(zip(grams.spaces(bits), (grams.counts[0], np.concatenate(grams.counts[1:])), strict=True)):
+                    keys, counts = keys[order].view(np.int64), counts[order]
+                    for at in range(0, len(keys), 100_000):
+                        part = keys[at : at + 100_000]
+                        cells = [pa.array(np.full(len(part), space, dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), unit)), pa.array(np.arange(at, at + len(part))), pa.array(counts[at : at + 100_000])]
+                        yield pa.RecordBatch.from_arrays(cells, names=["space", "key", "unit", "place", "n"])
+
+    return ask
+
+
+def _row_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, space, place, n), in that order, to one answer a unit."""
+
+    def work(unit: int, told: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cells = [pa.array([packed_counts(np.concatenate([np.zeros(0, dtype=np.int64), *x]))], pa.binary()) for x in told]
+        return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([0], pa.int32()), *cells], names=["unit", "part", "words", "grams"])
+
+    unit, told = None, [[], []]
+    for batch in batches:
+        units, spaces, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        edges = [0, *(np.flatnonzero((np.diff(units) != 0) | (np.diff(spaces) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if units[a] != unit:
+                if unit is not None:
+                    yield work(unit, told)
+                unit, told = int(units[a]), [[], []]
+            told[spaces[a]].append(n[a:b])
+    if unit is not None:
+        yield work(unit, told)
+
+
+def _exchanged(units: DataFrame, bits: int, n_units: int) -> DataFrame:
+    """unit, part, words, grams: what all other units count of what a unit asks for.
+
+    While the parts are few, a unit sends each a pack. Packs are as many as units times parts, so from ``PACKED_BITS`` on the
+    n-grams go as rows, as many as there are, are summed by ``groupBy`` and joined back; both ways give the same.
+    """
+    grams = units.select("unit", *_UNIT_GRAMS)
+    if bits <= PACKED_BITS:
+        asked = grams.mapInArrow(_asker(bits), "part int, unit long, words binary, counts binary, grams binary, gram_counts binary")
+        return asked.repartition(1 << bits, "part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, words binary, grams binary")
+    rows = grams.mapInArrow(_row_asker(bits), "space int, key long, unit long, place long, n long")
+    sums = rows.groupBy("space", "key").agg(F.sum("n").alias("all"))
+    others = rows.join(sums, ["space", "key"]).select("unit", "space", "place", (F.col("all") - F.col("n")).alias("n"))
+    return others.repartition(max(1, n_units), "unit").sortWithinPartitions("unit", "space", "place").mapInArrow(_row_answer, "unit long, part int, words binary, grams binary")
+
+
 class Automaton:
-    """The states and arcs that a unit's texts can touch. State 0 is the empty history, 1 + w a word's, beyond those a pair's."""
+    """The states and arcs that a unit's texts can touch. State 0 is the empty history, 1 + w a word's, beyond those a pair's.
+
+    Arcs are told by the n-gram's number at a position, so that no table of arcs has to be built and searched: where a word's state
+    stands before position i, its arc, if there is one, is the pair that ends there, and a pair's is the triple.
+    """
+
+    #: What stands for an arc that is not there; log-probabilities are 0 at most.
+    NONE = 1.0
 
     def __init__(self, grams: Grams, total: int, distinct: int):
         self.grams = grams
@@ -254,42 +328,47 @@ class Automaton:
         at2 = np.zeros(len(two), dtype=np.int64)  # a position of each pair tells its words
         valid = np.flatnonzero(grams.numbers[1] >= 0)
         at2[grams.numbers[1][valid]] = valid
-        self.last2, self.before2 = grams.tokens[at2], grams.tokens[at2 - 1]
+        last2, before2 = grams.tokens[at2], grams.tokens[at2 - 1]
         m1, m2 = STRENGTH[1], STRENGTH[2]
-        self.p2 = (two + m1 * self.single[self.last2]) / (one[self.before2] + m1)
+        self.p2 = (two + m1 * self.single[last2]) / (one[before2] + m1)
         self.empty = list(zip(np.log10(self.single).tolist(), np.where(one > 0, 1 + np.arange(words), 0).tolist(), strict=True))
         # arrays of machine numbers: a unit has nearly as many states as tokens
         self.fail = array("d", np.concatenate([[0.0], np.log10(m1 / (one + m1)), np.log10(m2 / (two + m2))]).tobytes())
-        self.shorter = array("q", np.concatenate([np.zeros(1 + words, dtype=np.int64), 1 + self.last2]).tobytes())
-        self.arcs: dict[int, tuple[float, int]] = {}
+        self.shorter = array("q", np.concatenate([np.zeros(1 + words, dtype=np.int64), 1 + last2]).tobytes())
+        self.pairs = 1 + words  #: the first state of a pair
 
-    def hold(self, start: int, end: int) -> None:
-        """Builds the arcs that the positions from start to end can touch; an arc of a word leads to its own state, an arc of a pair to the pair's."""
-        grams, words = self.grams, len(self.single)
+    def arcs(self, start: int, end: int) -> tuple[list[float], list[float], list[int]]:
+        """For each position: the weight of a word's arc and of a pair's arc there (``NONE``: no arc), and the pair's state that both lead to."""
+        grams = self.grams
         _, two, three = grams.counts
-        pairs = np.unique(grams.numbers[1][start:end])
-        pairs = pairs[pairs >= 0]
-        pairs = pairs[two[pairs] > 0]
-        found, first = np.unique(grams.numbers[2][start:end], return_index=True)
-        at = first[found >= 0] + start
-        at = at[three[grams.numbers[2][at]] > 0]
-        pair, inner, last = grams.numbers[1][at - 1], grams.numbers[1][at], grams.tokens[at]
+        pair, triple = grams.numbers[1][start:end], grams.numbers[2][start:end]
+        word_arc, pair_arc = np.full(end - start, self.NONE), np.full(end - start, self.NONE)
+        seen = np.flatnonzero((pair >= 0) & (two[pair] > 0)) if len(two) else np.zeros(0, dtype=np.int64)
+        word_arc[seen] = np.log10(self.p2[pair[seen]])
+        seen = np.flatnonzero((triple >= 0) & (three[triple] > 0)) if len(three) else np.zeros(0, dtype=np.int64)
+        history = grams.numbers[1][start + seen - 1]
         m2 = STRENGTH[2]
-        p3 = (three[grams.numbers[2][at]] + m2 * self.p2[inner]) / (two[pair] + m2)
-        keys = np.concatenate([((1 + self.before2[pairs]) << 32) | self.last2[pairs], ((1 + words + pair) << 32) | last])
-        ways = zip(np.log10(np.concatenate([self.p2[pairs], p3])).tolist(), (1 + words + np.concatenate([pairs, inner])).tolist(), strict=True)
-        self.arcs = dict(zip(keys.tolist(), ways, strict=True))
-
-    def traverse(self, words: list[int], state: int = 0) -> tuple[float, int]:
-        """Log-probability of the words and the state reached."""
-        total, arcs, fail, shorter, empty = 0.0, self.arcs.get, self.fail, self.shorter, self.empty
-        for w in words:
-            while state:
-                if (arc := arcs(state << 32 | w)) is not None:
-                    break
+        pair_arc[seen] = np.log10((three[triple[seen]] + m2 * self.p2[pair[seen]]) / (two[history] + m2))
+        return word_arc.tolist(), pair_arc.tolist(), (self.pairs + pair).tolist()
+
+    def traverse(self, start: int, end: int, state: int = 0) -> tuple[float, int]:
+        """Log-probability of the words from position ``start`` to ``end`` - 1, read from a state, and the state reached."""
+        total, pairs, fail, shorter, empty = 0.0, self.pairs, self.fail, self.shorter, self.empty
+        for w, word_arc, pair_arc, target in zip(self.grams.tokens[start:end].tolist(), *self.arcs(start, end), strict=True):
+            if state >= pairs:
+                if pair_arc <= 0:
+                    total += pair_arc
+                    state = target
+                    continue
                 total += fail[state]
                 state = shorter[state]
-            p, state = arc if state else empty[w]
+            if state:
+                if word_arc <= 0:
+                    total += word_arc
+                    state = target
+                    continue
+                total += fail[state]
+            p, state = empty[w]
             total += p
         return total, state
 
@@ -306,17 +385,17 @@ def _scorer(total: int, distinct: int, bits: int, kind: pa.DataType):
         automaton = Automaton(grams, total, distinct)
         log = np.log10(grams.counts[0] + 1.0)
         known, base, score = [], [], []
-        held_to = 0
         ends = [*grams.starts.tolist()[1:], len(grams.tokens)]
         for start, end, before in zip(grams.starts.tolist(), ends, ahead, strict=True):
-            if end > held_to:
-                held_to = next((e for e in ends if e >= start + HELD), ends[-1])
-                automaton.hold(start, held_to)
-            state = automaton.traverse(grams.tokens[start : start + before].tolist())[1]
-            words = grams.tokens[start + before : end]
+            own, total_score = start + before, 0.0
+            state = automaton.traverse(start, own)[1]
+            words = grams.tokens[own:end]
             known.append(int((grams.counts[0][words] > 0).sum()))
             base.append(float(log[words].sum()))
-            score.append(automaton.traverse(words.tolist(), state)[0])
+            for at in range(own, end, HELD):
+                more, state = automaton.traverse(at, min(end, at + HELD), state)
+                total_score += more
+            score.append(total_score)
         cells = [pa.array(row, pa.int64()), pa.array(ids, kind), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
         return pa.RecordBatch.from_arrays(cells, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
@@ -356,9 +435,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     units = stored(texts.mapInArrow(_units(arrow), _unit_layout(kind)), "units")
     sums = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()
     total, distinct = sums["learned"], _distinct_words(units)
-    bits = min(16, max(0, ceil(log2(max(1, 2 * sums["n"] / PART)))))
-    asked = units.select("unit", *_UNIT_GRAMS).mapInArrow(_asker(bits), "part int, unit long, words binary, counts binary, grams binary, gram_counts binary")
-    told = asked.repartition(1 << bits, "part").sortWithinPartitions("part", "unit").mapInArrow(_answer, "unit long, part int, words binary, grams binary")
+    bits = min(64 - KEY, max(0, ceil(log2(max(1, 2 * sums["n"] / PART)))))  # at most the whole hash
+    told = _exchanged(units, bits, sums["units"])
     own = ("row", "id", "held", *_UNIT_GRAMS)
     types = dict(units.dtypes)
     none = F.lit(None).cast("binary")

@@ -159,10 +159,11 @@ def lm_scores(rows):
     return [(i, round(sum(log10(p(tuple(x[max(0, j - 2) : j]), x[j])) for j in range(len(x))), 6)) for i, t in rows for x in [words(t)]], p, n[1]
 
 
-@pytest.mark.parametrize("unit", [1_500_000, 50])
-def test_lm_scores_match_the_formula(spark, monkeypatch, unit):
-    """Every n-gram counts; small units send their counts to each other, and a text goes on from one unit into the next."""
+@pytest.mark.parametrize(("unit", "packed"), [(1_500_000, 10), (50, 10), (50, 2), (1_500_000, -1)])
+def test_lm_scores_match_the_formula(spark, monkeypatch, unit, packed):
+    """Every n-gram counts; units send their counts to each other, in packs or as rows, and a text goes on from one unit into the next."""
     monkeypatch.setattr(lm, "UNIT", unit)
+    monkeypatch.setattr(lm, "PACKED_BITS", packed)
     monkeypatch.setattr(lm, "PART", 4_000_000 if unit > 50 else 500)
     monkeypatch.setattr(lm, "HELD", 400_000 if unit > 50 else 20)
     rows = [*EDGES, *docs(60), *docs(60)[:9], (None, "the cat"), (77_001, None), (77_001, "a b a b a b")]
@@ -170,6 +171,14 @@ def test_lm_scores_match_the_formula(spark, monkeypatch, unit):
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in out) == Counter(lm_scores(rows)[0])
 
 
+def test_lm_numbers_are_packed_whole():
+    r = np.random.default_rng(0)
+    for words in (1, 2, 256, 257, 65_536, 65_537, 20_000_000):
+        tokens = r.integers(0, words, 1000)
+        assert (lm.unpacked_tokens(lm.packed_tokens(tokens, words)) == tokens).all()
+    assert len(lm.unpacked_tokens(lm.packed_tokens(np.zeros(0, dtype=np.uint32), 1))) == 0
+
+
 def test_lm_states_are_distributions():
     _, p, words = lm_scores(docs(40, 3))
     every = [w for (w,) in words]
