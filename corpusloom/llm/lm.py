@@ -43,7 +43,7 @@ from ._common import as_bytes, crc_mod, mixed, pieces_of, segments, stored
 END = b"\n"
 FLOOR, STRENGTH = 0.5, (0.0, 200.0, 20.0)
 #: Tokens of a unit, tokens whose arcs are laid out at once while it is scored, and n-grams that a part of the hash space takes.
-UNIT, HELD, PART = 1_500_000, 150_000, 6_000_000
+UNIT, HELD, PART = 1_200_000, 150_000, 6_000_000
 #: Bits of the hash of a pair or triple besides those that number the part; bits of the parts' number up to which units send packs.
 KEY, PACKED_BITS = 40, 10
 
