@@ -1,15 +1,18 @@
 """Licence scans with DataFrame functions only: a trained paragraph classifier, confirmed against templates.
 
-Training (on the driver, over the fixed templates, their crops and thinned copies, and prose that is no licence; no corpus row
-is read): multinomial logistic regression with an L1 penalty on sparse word 1- to 3-grams, where every feature holds an anchor
-word. A temperature, and the least probability below which a paragraph is ``unknown``, are set on copies kept out of training.
+Training (on the driver, over the fixed templates, their crops and thinned copies, and texts that are no licence of a known family;
+no corpus row is read): multinomial logistic regression with an L1 penalty on sparse word 1- to 3-grams, where every feature holds
+an anchor word. A third of the texts of the unknown class is kept out of training whole; a temperature, and the least probability
+below which a paragraph is ``unknown``, are set on these and on other copies of the templates.
 
-Scoring: a paragraph is a line. Lines without an anchor word have no feature and are skipped; for others the n-grams' weights
-are looked up in a map literal, added up and turned into probabilities. A found family is confirmed if enough of the line's word
-pairs lie in one of the family's templates. All of it is expressions over one row: no shuffle, no join, no Python.
+Scoring: a paragraph ends at a blank line or where a line ends with a sentence, so a wrapped licence is one paragraph; where a
+paragraph has several lines, each line is looked at on its own as well, as it may stand below a title or a heading. What holds no
+anchor word has no feature and is skipped; for others the n-grams' weights are looked up in a map literal, added up and turned
+into probabilities. A found family is confirmed if enough of the paragraph's word pairs lie in one of its templates and no other
+family's template holds more of them. All of it is expressions over one row: no shuffle, no join, no Python.
 
 Defined cases: null and empty texts have no finding; ties go to the alphabetically first family; repeated rows get equal
-results; whole texts and very long lines are read (time grows with a line's length); an empty table gives an empty result.
+results; whole texts and very long lines are read (time grows with a paragraph's length); an empty table gives an empty result.
 Only id and text are read, so other columns can have any name.
 """
 
@@ -29,6 +32,10 @@ from .license_texts import ANCHORS, TEMPLATES, UNKNOWN
 ORDERS = (1, 2, 3)
 COPIES, RATE, L1, STEPS = 24, 2.0, 2e-4, 400
 MIN_SIMILARITY = 0.6
+#: Every such text of the unknown class is kept out of training.
+HELD = 3
+#: Where paragraphs end: at a blank line, and where a line ends with a sentence.
+PARAGRAPH_END = r"\n[ \t\r]*(?=\n)|(?<=[.:;!?])[ \t\r]*\n"
 
 
 def words_of(line: str) -> list[str]:
@@ -41,10 +48,10 @@ def grams(words: list[str]) -> list[str]:
     return sorted({g for g in found if not set(g.split()).isdisjoint(ANCHORS)})
 
 
-def _samples(seed: int) -> Iterator[tuple[str, list[str]]]:
-    """Templates and prose, whole, cropped and thinned."""
+def _samples(seed: int, unknown: tuple[str, ...]) -> Iterator[tuple[str, list[str]]]:
+    """Templates and texts of the unknown class, whole, cropped and thinned."""
     r = np.random.default_rng(seed)
-    for family, texts in [*TEMPLATES.items(), ("unknown", UNKNOWN)]:
+    for family, texts in [*TEMPLATES.items(), ("unknown", unknown)]:
         for text in texts:
             words = words_of(text)
             yield family, words
@@ -64,7 +71,7 @@ def _samples(seed: int) -> Iterator[tuple[str, list[str]]]:
 def model() -> dict:
     """families, weights {n-gram: [weight per family]}, bias, temperature, threshold."""
     families = (*sorted(TEMPLATES), "unknown")
-    train, held = list(_samples(1)), list(_samples(2))
+    train, held = list(_samples(1, tuple(t for i, t in enumerate(UNKNOWN) if i % HELD))), list(_samples(2, UNKNOWN[::HELD]))
     index = {g: i for i, g in enumerate(sorted({g for _, w in train for g in grams(w)}))}
 
     def matrix(rows):
@@ -120,24 +127,26 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, licence (null: no line with an anchor word or all unknown), probability, similarity, confirmed, findings.
+    """id, licence (null: nothing with an anchor word or all unknown), probability, similarity, confirmed, findings.
 
-    ``findings`` has a row per line with an anchor word: line number from 0, family (or ``unknown``), probability of the
-    family, similarity to its templates, confirmed. The document's licence is the finding with the highest probability, confirmed ones
-    first.
+    ``findings`` has a row per paragraph, and per line of longer ones, with an anchor word: part (its number, paragraphs before
+    lines), family (or ``unknown``), probability of the family, similarity to its templates, confirmed. The document's licence is
+    the finding with the highest probability, confirmed ones first.
     """
     m = model()
     families, k = m["families"], len(m["families"]) - 1
     weights = F.from_json(F.lit(json.dumps(m["weights"])), "map<string,array<double>>")
-    pairs = {f: [sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)}) for w in map(words_of, texts)] for f, texts in TEMPLATES.items()}
-    templates = F.from_json(F.lit(json.dumps(pairs)), "map<string,array<array<string>>>")
+    pairs = [[f, sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)})] for f, texts in sorted(TEMPLATES.items()) for w in map(words_of, texts)]
+    templates = F.from_json(F.lit(json.dumps([{"family": f, "pairs": p} for f, p in pairs])), "array<struct<family:string,pairs:array<string>>>")
     names = F.from_json(F.lit(json.dumps(families)), "array<string>")
     bias = F.from_json(F.lit(json.dumps(m["bias"])), "array<double>")
     anchored = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    lines = F.when(F.col("t").rlike(anchored), F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("s"))))
-    hits = F.transform(F.filter(lines, lambda x: x["s"].rlike(anchored)), lambda x: F.struct(x["line"].alias("line"), _line_words(x["s"]).alias("w")))
+    paragraphs = F.filter(F.split("t", PARAGRAPH_END, -1), lambda p: p.rlike(anchored))
+    lines = F.filter(F.flatten(F.transform(F.filter(paragraphs, lambda p: F.contains(F.trim(p), F.lit("\n"))), lambda p: F.split(p, "\n", -1))), lambda x: x.rlike(anchored))
+    parts = F.when(F.col("t").rlike(anchored), F.concat(paragraphs, lines))
+    hits = F.transform(parts, lambda s, i: F.struct(i.alias("part"), _line_words(s).alias("w")))
 
     def summed(words: Column) -> Column:
         every = F.array_distinct(F.concat(*(_grams(words, n) for n in ORDERS)))
@@ -146,32 +155,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         total = F.aggregate(found, F.struct(zero.alias("z"), F.lit(0).alias("n")), lambda a, w: F.struct(F.zip_with(a["z"], w, lambda p, q: p + q).alias("z"), (a["n"] + 1).alias("n")))
         return F.transform(F.array(total), lambda a: F.zip_with(F.transform(a["z"], lambda v: v / F.sqrt(F.greatest(a["n"], F.lit(1)))), bias, lambda p, q: (p + q) / m["temperature"]))[0]
 
-    scored = F.transform(hits, lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), summed(x["w"]).alias("z")))
+    scored = F.transform(hits, lambda x: F.struct(x["part"].alias("part"), x["w"].alias("w"), summed(x["w"]).alias("z")))
 
     def softmax(z: Column) -> Column:
         top = F.array_max(z)
         e = F.transform(z, lambda v: F.exp(v - top))
         return F.transform(F.array(F.aggregate(e, F.lit(0.0), lambda a, v: a + v)), lambda s: F.transform(e, lambda v: v / s))[0]
 
-    likely = F.transform(scored, lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), softmax(x["z"]).alias("p")))
+    likely = F.transform(scored, lambda x: F.struct(x["part"].alias("part"), x["w"].alias("w"), softmax(x["z"]).alias("p")))
 
     def named(x: Column) -> Column:
         best = F.array_max(F.slice(x["p"], 1, k))
         family = F.when(best >= m["threshold"], F.element_at(names, F.array_position(F.slice(x["p"], 1, k), best).cast("int"))).otherwise("unknown")
-        return F.struct(x["line"].alias("line"), x["w"].alias("w"), family.alias("family"), best.alias("probability"))
+        return F.struct(x["part"].alias("part"), x["w"].alias("w"), family.alias("family"), best.alias("probability"))
 
     def compared(x: Column) -> Column:
         own = F.array_distinct(_grams(x["w"], 2))
-        close = F.transform(F.try_element_at(templates, x["family"]), lambda t: F.size(F.array_intersect(own, t)) / F.greatest(F.size(own), F.lit(1)))
-        return F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), F.coalesce(F.array_max(close), F.lit(0.0)).alias("similarity"))
+        close = F.transform(templates, lambda t: F.struct((t["family"] == x["family"]).alias("own"), (F.size(F.array_intersect(own, t["pairs"])) / F.greatest(F.size(own), F.lit(1))).alias("part")))
+        most = lambda mine: F.coalesce(F.array_max(F.transform(F.filter(close, lambda c: c["own"] == F.lit(mine)), lambda c: c["part"])), F.lit(0.0))
+        return F.struct(x["part"].alias("part"), x["family"].alias("family"), x["probability"].alias("probability"), most(True).alias("similarity"), most(False).alias("rival"))
 
     judged = F.transform(F.transform(likely, named), compared)
     final = F.transform(
-        judged, lambda x: F.struct(*(x[c].alias(c) for c in ("line", "family", "probability", "similarity")), (x["similarity"] >= MIN_SIMILARITY).alias("confirmed"))
+        judged, lambda x: F.struct(*(x[c].alias(c) for c in ("part", "family", "probability", "similarity")), ((x["similarity"] >= MIN_SIMILARITY) & (x["similarity"] >= x["rival"])).alias("confirmed"))
     )
-    out = rows.select("id", F.coalesce(final, F.expr("cast(array() as array<struct<line:int,family:string,probability:double,similarity:double,confirmed:boolean>>)")).alias("findings"))
+    out = rows.select("id", F.coalesce(final, F.expr("cast(array() as array<struct<part:int,family:string,probability:double,similarity:double,confirmed:boolean>>)")).alias("findings"))
     known = F.filter("findings", lambda x: x["family"] != "unknown")
-    ranked = F.array_max(F.transform(known, lambda x: F.struct(x["confirmed"].alias("c"), x["probability"].alias("p"), x["similarity"].alias("s"), (-x["line"]).alias("l"), x["family"].alias("f"))))
+    ranked = F.array_max(F.transform(known, lambda x: F.struct(x["confirmed"].alias("c"), x["probability"].alias("p"), x["similarity"].alias("s"), (-x["part"]).alias("l"), x["family"].alias("f"))))
     out = out.withColumn("top", ranked)
     return out.select("id", F.col("top.f").alias("licence"), F.col("top.p").alias("probability"), F.col("top.s").alias("similarity"), F.coalesce("top.c", F.lit(False)).alias("confirmed"), "findings")
 
