@@ -240,14 +240,17 @@ def all_matches(rows: DataFrame, id_col: str, audio_col: str, is_query, block: i
     return named.join(found, at, "left").select(named["id"], "n_ints", named["class_id"], "match_id", "offset", "bit_error", "votes")
 
 
-def tune(vector: list[float] | None, note: int = 1000) -> bytes | None:
-    """A vector as a WAV melody, one note a coefficient; for tables without audio."""
+def tune(vector: list[float] | None, note: int = 1000, drop: int = 0, noise: float = 0.0, seed: int = 0) -> bytes | None:
+    """A vector as a WAV melody, one note a coefficient; for tables without audio. A copy can lack its first notes and have noise on it."""
     if vector is None:
         return None
-    v = np.clip(np.array([0.0 if x is None else x for x in vector], dtype=float), -0.5, 0.5)
+    v = np.clip(np.array([0.0 if x is None else x for x in vector[drop:]], dtype=float), -0.5, 0.5)
     steps = np.floor((v + 0.5) * 24)
     phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (steps / 12) / RATE, note))
-    sound = (12000 * (np.sin(phase) + 0.3 * np.sin(2 * phase))).astype("<i2")
+    wave_form = np.sin(phase) + 0.3 * np.sin(2 * phase)
+    if noise:
+        wave_form = wave_form + noise * np.random.default_rng(seed).standard_normal(len(wave_form))
+    sound = np.clip(12000 * wave_form, -32768, 32767).astype("<i2")
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
@@ -257,6 +260,31 @@ def tune(vector: list[float] | None, note: int = 1000) -> bytes | None:
     return out.getvalue()
 
 
+#: Of a hundred ids, those that end in this digit are copies; they lack up to so many notes, and have so much noise for a full note's swing of 1.
+COPY, DROPPED, NOISE = 7, 16, 0.02
+
+
+def recordings(vectors: DataFrame) -> DataFrame:
+    """vec_id and audio (struct<vector, drop, seed>) of every row of ``embeddings``: its own melody, or that of another recording, played again.
+
+    A row whose id ends in ``COPY`` plays the melody of the row that leads its hundred, without its first notes and with noise. Its
+    own melody stays where that row is not there or has no vector.
+    """
+    leads = vectors.filter(F.col("vec_id") % 100 == 0).groupBy((F.col("vec_id").cast("long")).alias("lead")).agg(F.first("embedding").alias("led"))
+    copy = F.col("vec_id") % 10 == COPY
+    base = F.when(copy, F.col("vec_id") - F.pmod("vec_id", F.lit(100))).cast("long")
+    both = vectors.withColumn("base", base).join(leads, F.col("base") == F.col("lead"), "left")
+    drop = F.when(copy & F.col("led").isNotNull(), F.pmod(F.floor(F.col("vec_id") / 10), F.lit(DROPPED)) + 1).otherwise(F.lit(0)).cast("int")
+    return both.select("vec_id", F.struct(F.coalesce("led", "embedding").alias("vector"), drop.alias("drop"), F.pmod("vec_id", F.lit(1 << 31)).alias("seed")).alias("audio"))
+
+
+def played(cell: dict | None) -> bytes | None:
+    """The recording of a cell of ``recordings``."""
+    if cell is None:
+        return None
+    return tune(cell["vector"], drop=cell["drop"], noise=NOISE if cell["drop"] else 0.0, seed=cell["seed"] or 0)
+
+
 def media_fingerprints(vectors: DataFrame) -> DataFrame:
     """Every row of ``embeddings`` as a recording, with every match; queries are the ids divisible by 100."""
-    return all_matches(vectors, "vec_id", "embedding", F.col("id") % 100 == 0, reader=tune).withColumnRenamed("id", "vec_id")
+    return all_matches(recordings(vectors), "vec_id", "audio", F.col("id") % 100 == 0, reader=played).withColumnRenamed("id", "vec_id")

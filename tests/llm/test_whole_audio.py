@@ -49,3 +49,36 @@ def test_the_best_passing_offset_counts():
     looped = [np.concatenate([np.full(50, 3, np.uint32), body]), np.concatenate([flipped, np.full(50, 3, np.uint32)])]
     assert audio.align(looped[:1], looped[1:]) == []
     assert [x[2] for x in audio.align(looped[:1], looped[1:], every=True)] == [-50]
+
+
+def test_the_query_finds_copies_and_nothing_else(spark):
+    """Copies lack notes at their start and have noise; the direct comparison of all pairs at all offsets is the measure."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    found = {(r["vec_id"], r["match_id"]): r for r in audio.media_fingerprints(vectors).collect() if r["match_id"] is not None}
+    prints = {r["vec_id"]: audio.fingerprint(audio.played(r["audio"].asDict())) for r in audio.recordings(vectors).collect()}
+    copies = {(i, i - i % 100) for i in prints if i % 10 == audio.COPY}
+    assert len(copies) == 50
+
+    def least_error(a, b):
+        errors = []
+        for o in range(-len(a) + 1, len(b)):
+            x, y = a[max(0, -o) :], b[max(0, o) :]
+            n = min(len(x), len(y))
+            if n >= audio.MIN_OVERLAP * min(len(a), len(b)):
+                errors.append(float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n))
+        return min(errors)
+
+    near = {(i, q) for q in range(0, 500, 100) for i in prints if i != q and least_error(prints[q], prints[i]) <= 0.15}
+    assert near == copies
+    assert len(set(found) & near) >= 0.9 * len(near)
+    assert set(found) <= near
+    for (i, _), r in found.items():
+        assert r["offset"] < 0 and r["bit_error"] <= audio.MAX_ERROR and r["votes"] >= audio.MIN_VOTES
+
+
+def test_recordings_of_any_rows(spark):
+    rows = [(100, [0.1] * 40), (107, None), (117, [0.2] * 40), (207, [0.3] * 40), (None, [0.1] * 40), (5, None), (100, [0.4] * 40), (300, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, base string").select("vec_id", "embedding")
+    got = sorted(((r["vec_id"], r["audio"]["drop"]) for r in audio.recordings(df).collect()), key=str)
+    assert len(got) == 8 and (107, 11) in got and (117, 12) in got and (207, 0) in got
+    assert audio.media_fingerprints(df).count() >= 8 and audio.media_fingerprints(df.limit(0)).count() == 0
