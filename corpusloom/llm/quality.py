@@ -38,8 +38,8 @@ BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "log in to", "lorem ipsum",
     "privacy policy", "read more", "share this", "sign up", "skip to content", "subscribe to", "terms of use",
 )
-#: What a line of running text ends with.
-TERMINAL = tuple(x.encode() for x in ".!?:;…\"')]”’»")
+#: What a line of running text ends with: stops, closing marks, and the stops of Chinese, Japanese, Hindi, Urdu, Arabic, Armenian and Amharic.
+TERMINAL = tuple(x.encode() for x in ".!?:;…\"')]”’»。！？：；」』）｡।॥۔؟؛։።")
 _PHRASES = re.compile("|".join(BOILERPLATE).encode())
 _NOT = {name: bytes(set(range(256)) - set(keep)) for name, keep in {"sym": b"#*$%&<>", "up": bytes(range(65, 91)), "low": bytes(range(97, 123))}.items()}
 _SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))

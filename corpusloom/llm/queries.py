@@ -90,7 +90,7 @@ own AS (SELECT *, row_number() OVER (PARTITION BY r, s ORDER BY j) > 1 AS dup,
   FROM lines WHERE n > 0),
 judged AS (SELECT *, (bars >= 2 AND 4 * bars >= n) OR 2 * sym >= n OR (n >= 2 AND up > low)
   OR (n <= 20 AND regexp_matches(s, '(?i){"|".join(quality.BOILERPLATE)}'))
-  OR NOT regexp_matches(s, '[.!?:;…"'')\]”’»][\x20\x09-\x0D]*$') AS fails FROM own),
+  OR NOT regexp_matches(s, '[.!?:;…"'')\]”’»。！？：；」』）｡।॥۔؟؛։።][\x20\x09-\x0D]*$') AS fails FROM own),
 doc_lines AS (SELECT r, count(*) FILTER (dup) AS n_dup, count(*) FILTER (fails) AS n_fail, coalesce(sum(chars) FILTER (fails), 0) AS lost FROM judged GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
