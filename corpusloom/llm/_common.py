@@ -50,14 +50,15 @@ def dealt(rows: DataFrame, name: str, weight: str, least: float) -> DataFrame:
 
     Every two rows of a group meet under some new name, and no new name has much over ``least`` in weight, but for single rows.
     """
-    large = stored(rows.groupBy(name).agg(F.sum(weight).alias("__w")).filter(F.col("__w") > least), "large")
+    total, own_as, other_as = (fresh(x, rows.columns) for x in ("__w", "__own", "__other"))
+    large = stored(rows.groupBy(name).agg(F.sum(weight).alias(total)).filter(F.col(total) > least), "large")
     if large.isEmpty():
         return rows
     hot = rows.join(large, name)
-    chunks = F.ceil(F.col("__w") * 2 / least)
+    chunks = F.ceil(F.col(total) * 2 / least)
     own = F.pmod(F.xxhash64(*(c for c in rows.columns if c != name)), chunks)
-    spread = hot.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    named = spread.withColumn(name, F.xxhash64(name, F.least("__own", "__other"), F.greatest("__own", "__other")))
+    spread = hot.withColumn(own_as, own).withColumn(other_as, F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    named = spread.withColumn(name, F.xxhash64(name, F.least(own_as, other_as), F.greatest(own_as, other_as)))
     return rows.join(large, name, "left_anti").unionByName(named.select(*rows.columns))
 
 

@@ -83,11 +83,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Of each component the row of the smallest id; rows without an id come last. All columns stay."""
-    from .resemblance import keyed_rows
+    from .resemblance import kept_rows, keyed_rows
 
     keyed, key = keyed_rows(docs, id_col)
-    found = near_duplicates(keyed, key, text_col, max_bits).filter("id <=> component").select(F.col("id").alias("__kept"))
-    return keyed.join(found, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    found = near_duplicates(keyed, key, text_col, max_bits).filter("id <=> component")
+    return kept_rows(docs, keyed, key, found.select(F.col("id").alias("row")))
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:

@@ -110,10 +110,43 @@ def test_licences_found_and_confirmed(spark):
     assert "Python" not in license_scan.license_scan(frame(spark, rows))._jdf.queryExecution().toString()
 
 
+MIT = """Copyright (c) 2019 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+NOTICES = [
+    (MIT, "mit", True), ("A title\n" + MIT.replace("\n", "\r\n"), "mit", True), ("Some heading\nReleased under the MIT License.\nText goes on here", "mit", True),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "agpl", True),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published\nby the Free Software Foundation, either version 2 of the License, or\n(at your option) any later version.", "gpl", True),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at the address below.", "epl", True),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.", "zlib", True),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "boost", True),
+    ("You may use this file under the terms of the Artistic License 2.0.", "artistic", None),
+]
+NONE = [
+    "You may not copy, modify or distribute this catalogue without written permission.", "No copies of these plans may be made or distributed without permission in writing.",
+    "Her license was renewed in March.", "The warranty covers parts and labour for one year.", "All copyright in the paintings stays with the museum.", "They distribute food to those in need.",
+    "The origin of the fire is not known.", "He spoke of a boost to trade and of an eclipse of the sun.",
+]
+
+
+def test_wrapped_notices_and_what_is_none(spark):
+    rows = [(i, f"Before it there is a line.\n\n{t}\n\nAnd one after it.") for i, (t, _, _) in enumerate(NOTICES)] + [(100 + i, t) for i, t in enumerate(NONE)]
+    out = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    for i, (t, family, confirmed) in enumerate(NOTICES):
+        assert out[i]["licence"] == family, (t, out[i])
+        assert confirmed is None or out[i]["confirmed"] == confirmed, (t, out[i])
+    named = [(t, out[100 + i]["licence"], out[100 + i]["probability"], out[100 + i]["confirmed"]) for i, t in enumerate(NONE) if out[100 + i]["licence"]]
+    assert not [x for x in named if x[3]] and len(named) <= 1, named
+
+
 def test_licence_classifier_on_unseen_copies():
     m = license_scan.model()
     right = total = 0
-    for family, words in license_scan._samples(99):
+    for family, words in license_scan._samples(99, license_scan.UNKNOWN):
         g = [x for x in license_scan.grams(words) if x in m["weights"]]
         z = np.array(m["bias"]) + sum((np.array(m["weights"][x]) for x in g), np.zeros(len(m["families"]))) / np.sqrt(max(len(g), 1))
         p = np.exp((z - z.max()) / m["temperature"])
