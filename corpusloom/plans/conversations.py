@@ -112,10 +112,29 @@ def sft_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_idx", F.size("input_ids").cast("long").alias("n_ids"), F.size(valid_labels(F.col("labels"))).cast("long").alias("n_labels"))
 
 
-@query()
+def spelled(ids: str) -> Column:
+    """A list of ids as text, for two engines to agree on."""
+    return F.array_join(F.col(ids).cast("array<string>"), " ").alias(ids)
+
+
+#: A text's ids, a list of ignored labels, and how many tokens of an answer t beside a prompt s fit into a budget; in SQL.
+IDS = "list_transform(regexp_extract_all({0}, '\\S+'), lambda x: ('0x' || left(md5(x), 7))::INT)"
+BLANK = "list_transform(range({0}), lambda x: -100)"
+FITS = "least({t}, CASE WHEN {t} * 2 < {cut} THEN {cut} WHEN {s} * 2 < {cut} THEN {cut} - {s} ELSE trunc({cut} * ({t}::DOUBLE / ({s} + {t})))::BIGINT END)"
+QWEN = """(CASE WHEN i = 0 THEN '<|im_start|>system' || chr(10) || (CASE WHEN system = '' THEN 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.' ELSE system END) || '<|im_end|>' || chr(10) ELSE '' END)
+  || CASE WHEN i % 2 = 0 THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE text || '<|im_end|>' || chr(10) END"""
+
+
+@query(f"""WITH RECURSIVE {TALK_SQL}, q AS (SELECT conv_id, i, n, {IDS.format(QWEN)} AS ids FROM good g JOIN u USING (conv_id)),
+r AS (SELECT conv_id, i // 2 AS r, max(n) // 2 AS rounds, max(ids) FILTER (i % 2 = 0) AS s, max(ids) FILTER (i % 2 = 1) AS t FROM q GROUP BY 1, 2),
+fold AS (SELECT conv_id, rounds AS r, 0::BIGINT AS used, 0 AS done, []::INT[] AS ids, []::INT[] AS labels FROM r WHERE r = 0
+  UNION ALL SELECT conv_id, r, used + ns + nt, done + 1, list_concat(list_concat(s[1:ns], t[1:nt]), ids), list_concat(list_concat({BLANK.format("ns")}, CASE WHEN done > 0 THEN {BLANK.format("nt")} ELSE t[1:nt] END), labels) FROM (
+    SELECT *, least(greatest({CUT} - used - nt, 0), len(s)) AS ns FROM (
+      SELECT f.conv_id, r.r, f.used, f.done, f.ids, f.labels, r.s, r.t, {FITS.format(t="len(r.t)", s="len(r.s)", cut=f"({CUT} - f.used)")} AS nt FROM fold f JOIN r ON r.conv_id = f.conv_id AND r.r = f.r - 1 WHERE f.used < {CUT}) a) b)
+SELECT conv_id AS row_idx, array_to_string(arg_max(ids, done), ' ') AS input_ids, array_to_string(arg_max(labels, done), ' ') AS labels, len(arg_max(ids, done))::INT AS n_mask FROM fold GROUP BY conv_id""")
 def sft_mask_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode.supervised(talk(spark, sf_dir), "qwen", DataArgs(cutoff_len=CUT, mask_history=True), extras=PLAIN)
-    return out.select("row_idx", "input_ids", "labels", "attention_mask")
+    return out.select("row_idx", spelled("input_ids"), spelled("labels"), F.size("attention_mask").alias("n_mask"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, s, t, least(greatest(1000 - nt, 0), s) AS new_s, nt AS new_t FROM (
@@ -166,13 +185,26 @@ def kto_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.balance(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256), extras=PLAIN))
 
 
-@query()
+#: Labelled documents as prompts and answers in ids, each beside the answer of the row before it, cut for a budget; in SQL.
+KTO_SQL = f"""
+x AS (SELECT doc_id, quality = 1 AS good, doc_id // 1000 AS b, split_part(text, chr(10), 1) AS ask, substr(text, length(split_part(text, chr(10), 1)) + 2) AS answer FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+y AS (SELECT doc_id, b, good AND answer <> '' AS kto_tags, {IDS.format("'<|im_start|>system' || chr(10) || 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || ask || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)")} AS p,
+  {IDS.format("answer || '<|im_end|>' || chr(10)")} AS r FROM x),
+z AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY b ORDER BY doc_id), last_value(r) OVER (PARTITION BY b ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS k FROM y),
+m AS (SELECT *, {FITS.format(t="len(r)", s="len(p)", cut="$cut")} AS nr, {FITS.format(t="len(k)", s="len(p)", cut="$cut")} AS nk FROM z),
+c AS (SELECT *, least(greatest($cut - nr, 0), len(p)) AS np, least(greatest($cut - nk, 0), len(p)) AS npk FROM m)
+"""
+
+
+@query(f"""WITH {KTO_SQL.replace("$cut", "256")} SELECT doc_id AS row_idx, kto_tags, array_to_string(list_concat(p[1:np], r[1:nr]), ' ') AS input_ids, array_to_string(list_concat({BLANK.format("np")}, r[1:nr]), ' ') AS labels,
+  array_to_string(list_concat(p[1:npk], k[1:nk]), ' ') AS kl_input_ids, array_to_string(list_concat({BLANK.format("npk")}, k[1:nk]), ' ') AS kl_labels FROM c""")
 def kto_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=256), extras=PLAIN)
-    return out.select("row_idx", "kto_tags", "input_ids", "labels", "kl_input_ids", "kl_labels")
+    return out.select("row_idx", "kto_tags", spelled("input_ids"), spelled("labels"), spelled("kl_input_ids"), spelled("kl_labels"))
 
 
-@query()
+@query(f"""WITH {KTO_SQL.replace("$cut", "64")}, w AS (SELECT doc_id, (ceil(max(np + nr) OVER (PARTITION BY b) / 8.0) * 8)::INT AS width, (ceil(max(npk + nk) OVER (PARTITION BY b) / 8.0) * 8)::INT AS kl_width FROM c)
+SELECT doc_id AS row_idx, width, kl_width, width AS label_width FROM w""")
 def kto_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack.feedback_rows(encode.feedback(align(tagged(spark, sf_dir), TEXTS), "qwen", DataArgs(cutoff_len=64), extras=PLAIN))
     return out.select("row_idx", F.size("input_ids").alias("width"), F.size("kl_input_ids").alias("kl_width"), F.size("labels").alias("label_width"))
@@ -206,16 +238,24 @@ def pairwise_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 templates.register(templates.Template("ext_pair", "Human : please : <C>", "<C><EOS>"))
 
 
-@query()
+@query(f"""WITH {PAIR_SQL}, m AS (SELECT doc_id, doc_id // 8 AS batch_id, 5 AS s, c, j, greatest(c, j) AS t FROM z),
+n AS (SELECT *, {FITS.format(t="t", s="s", cut="128")} AS nt FROM m),
+sides AS (SELECT doc_id, batch_id, 0 AS side, least(greatest(128 - nt, 0), s) + least(c, nt) AS size, least(c, nt) AS n_labels FROM n UNION ALL SELECT doc_id, batch_id, 1, least(greatest(128 - nt, 0), s) + least(j, nt), least(j, nt) FROM n)
+SELECT batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY side, doc_id) - 1)::INT AS place, side, doc_id AS row_idx, (ceil(max(size) OVER (PARTITION BY batch_id) / 8.0) * 8)::INT AS width, n_labels::INT AS n_labels FROM sides""")
 def pairwise_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode.batched(encode.pairwise(align(pairs_by_source(spark, sf_dir), PAIRED), "default", DataArgs(cutoff_len=128), extras=PLAIN), 8)
     return pack.pair_rows(out).select("batch_id", "place", "side", "row_idx", F.size("input_ids").alias("width"), F.size(valid_labels(F.col("labels"))).alias("n_labels"))
 
 
-@query()
+@query(f"""WITH {TALK_SQL}, s AS (SELECT conv_id, i, n, (CASE WHEN i = 0 AND system <> '' THEN '<|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || system || '<|eot_id|>' ELSE '' END)
+  || CASE WHEN i % 2 = 0 THEN '<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) ELSE text || '<|eot_id|>' END AS shown FROM good g JOIN u USING (conv_id)),
+x AS (SELECT conv_id, string_agg(shown, '' ORDER BY i) FILTER (i < n - 1) AS prompt, max(shown) FILTER (i = n - 1) AS response FROM s GROUP BY conv_id),
+y AS (SELECT conv_id, {IDS.format("prompt")} AS p, {IDS.format("response")} AS r FROM x),
+z AS (SELECT *, {FITS.format(t="len(r)", s="len(p)", cut=CUT)} AS nr FROM y)
+SELECT conv_id AS row_idx, array_to_string(p[1:least(greatest({CUT} - nr, 0), len(p))], ' ') AS input_ids, array_to_string(r[1:nr], ' ') AS labels FROM z""")
 def unsupervised_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode.unsupervised(talk(spark, sf_dir), "llama3", DataArgs(cutoff_len=CUT), extras=PLAIN)
-    return out.select("row_idx", "input_ids", "labels")
+    return out.select("row_idx", spelled("input_ids"), spelled("labels"))
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,39 @@ def test_packing_keeps_every_token(spark):
     assert out.filter(F.size("input_ids") != 512).count() == 0
 
 
+def plain_bins(lengths, capacity):
+    """Bins as lists of places: each takes the longest that still fits, the later one of equals, until none does."""
+    left, bins = sorted(range(len(lengths)), key=lambda i: (lengths[i], i)), []
+    while left:
+        room, own = capacity, []
+        for i in reversed(left):
+            if lengths[i] <= room:
+                own.append(i)
+                room -= lengths[i]
+        left = [i for i in left if i not in own]
+        bins.append(own)
+    return bins
+
+
+def test_packed_queries_equal_a_plain_packing(spark):
+    from corpusloom.plans import conversations
+
+    args = conversations.DataArgs(cutoff_len=512, packing=True)
+    rows = sorted(encode.batched(encode.supervised(conversations.talk(spark, SF), "default", args)).select("row_idx", "batch_id", F.size("input_ids").alias("n")).collect())
+    want, packed = {}, {}
+    for batch in {r["batch_id"] for r in rows}:
+        own = [r for r in rows if r["batch_id"] == batch and r["n"] <= 511]
+        for k, items in enumerate(plain_bins([r["n"] for r in own], 511)):
+            packed[batch, k] = [own[i]["n"] for i in items]
+            want |= {own[i]["row_idx"]: (batch, k, seat, own[i]["n"]) for seat, i in enumerate(items)}
+    got = {r["row_idx"]: (r["batch_id"], r["bin"], r["seat"], r["n"]) for r in catalogue.queries()["pack_knapsack"](spark, SF).collect()}
+    assert got == want
+    for r in catalogue.queries()["packed_rows"](spark, SF).collect():
+        lengths = packed.pop((r["batch_id"], r["bin"]))
+        assert r["width"] == 512 and r["lengths"] == lengths and r["cu_seqlens"] == [sum(lengths[:i]) for i in range(len(lengths) + 1)] and r["last_position"] == max(lengths) - 1
+    assert not packed
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
