@@ -6,6 +6,7 @@ Counts are columns (array<int>, one per medium of the row, in order), so nothing
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -191,6 +192,81 @@ def process(messages: Column, name: str, **counts: Column) -> Column:
     return reduce(lambda m, kind: expanded_messages(m, kind, plugin(name)[kind](counts[kind])), counts, messages)
 
 
+# --- from sizes to counts -----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """How a model's processor sees pictures: side of a patch, patches merged per side, further tokens, and the bounds of their pixels."""
+
+    patch: int = 14
+    merge: int = 2
+    extra: int = 0
+    drop_first: bool = False
+    most: int = 768 * 768
+    least: int = 32 * 32
+    frames_merged: int = 2
+
+
+def snapped(height: Column, width: Column, g: Geometry) -> tuple[Column, Column]:
+    """(height, width) in multiples of a merged patch, the area kept between its bounds and the aspect nearly the same."""
+    unit = g.patch * g.merge
+    to = lambda x, f: F.greatest(F.lit(unit), (f(x / unit) * unit).cast("int"))
+    h, w, area = to(height, F.bround), to(width, F.bround), (height * width).cast("double")
+    shrink, grow = F.sqrt(area / g.most), F.sqrt(F.lit(float(g.least)) / area)
+    pick = lambda side, own: F.when(h * w > g.most, to(side / shrink, F.floor)).when(h * w < g.least, to(side * grow, F.ceil)).otherwise(own)
+    return pick(height, h), pick(width, w)
+
+
+Counter = Callable[[Column, Geometry], Column]  #: a medium's size -> how many tokens, or what a plugin's pieces ask for
+_COUNTERS: dict[tuple[str, str], Counter] = {}
+
+
+def register_counter(name: str, kind: str, f: Counter) -> None:
+    """How many tokens a plugin's medium of a size has; sizes are structs of what is needed (height, width, frames)."""
+    if (name, kind) in _COUNTERS:
+        raise ValueError(f"counter {name} {kind} exists")
+    _COUNTERS[name, kind] = f
+
+
+def counts(name: str, kind: str, sizes: Column, geometry: Geometry = Geometry()) -> Column:
+    """The counts that the plugin's pieces take, of an array of sizes; null sizes have null counts."""
+    if (name, kind) not in _COUNTERS:
+        raise ValueError(f"{name} does not count {kind}s by size")
+    return F.transform(sizes, lambda m: F.when(m.isNotNull(), _COUNTERS[name, kind](m, geometry)))
+
+
+def _flat(m: Column, g: Geometry) -> Column:
+    return patches(m["height"], m["width"], g.patch, g.extra, g.drop_first)
+
+
+def _merged(m: Column, g: Geometry) -> Column:
+    h, w = snapped(m["height"], m["width"], g)
+    return merged_grid(F.lit(1), div(h, g.patch), div(w, g.patch), g.merge)
+
+
+def _merged_frames(m: Column, g: Geometry) -> Column:
+    h, w = snapped(m["height"], m["width"], g)
+    return merged_grid(F.ceil(m["frames"] / g.frames_merged), div(h, g.patch), div(w, g.patch), g.merge)
+
+
+for _name, _kind, _f in (
+    ("llava", "image", _flat), ("llava_next", "image", _flat), ("llava_next_video", "image", _flat), ("video_llava", "image", _flat),
+    ("llava_next_video", "video", lambda m, g: pooled_frames(m["height"], m["width"], g.patch, m["frames"])),
+    ("video_llava", "video", lambda m, g: patches(m["height"], m["width"], g.patch, g.extra) * m["frames"]),
+    ("pixtral", "image", lambda m, g: F.struct(div(m["height"], g.patch).alias("rows"), div(m["width"], g.patch).alias("columns"))),
+    ("qwen2_vl", "image", _merged), ("qwen2_omni", "image", _merged), ("qwen2_vl", "video", _merged_frames), ("qwen2_omni", "video", _merged_frames),
+    ("qwen2_audio", "audio", lambda m, g: audio_tokens(m["frames"])), ("qwen2_omni", "audio", lambda m, g: audio_tokens(m["frames"])),
+):
+    register_counter(_name, _kind, _f)
+
+
+def process_sizes(messages: Column, name: str, geometry: Geometry = Geometry(), **sizes: Column) -> Column:
+    """``process`` from the sizes of the media (array<struct>, by kind) in place of their counts."""
+    check_support(name, set(sizes))
+    return process(messages, name, **{kind: counts(name, kind, of, geometry) for kind, of in sizes.items()})
+
+
 # --- sound inside of videos ---------------------------------------------------------------------------------------
 
 #: Places of a second on the common clock, and places of a chunk.

@@ -190,6 +190,13 @@ def overlap_scores(df: DataFrame, prediction: str = "predict", label: str = "lab
     return df.withColumn("__s", score(prediction, label)).select(*df.columns, "__s.*")
 
 
+def decoded_predictions(df: DataFrame, tok, ids: str = "predict_ids", labels: str = "label_ids", prompt: str = "prompt_ids") -> DataFrame:
+    """prompt, predict and label as texts: labels without those that are ignored; ``tok`` decodes a column of ids."""
+    kept = F.filter(labels, lambda x: x != IGNORE)
+    out = {"prompt": tok.decode(F.col(prompt)), "predict": tok.decode(F.col(ids)), "label": tok.decode(kept)}
+    return df.withColumns(out).drop(prompt, ids, labels)
+
+
 def macro_mean(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(*(F.avg(c).alias(c) for c in sorted(columns)))
 
@@ -204,6 +211,17 @@ EVAL_TEMPLATES = {
 CHOICES = ("A", "B", "C", "D")
 
 
+def register_eval_template(name: str, system: str, choice: str, answer: str) -> None:
+    """Words of a benchmark prompt for another language; {subject}, {choice} and {content} stand for what is filled in."""
+    if name in EVAL_TEMPLATES:
+        raise ValueError(f"evaluation template {name} exists")
+    if "{subject}" not in system or "{choice}" not in choice or "{content}" not in choice:
+        raise ValueError("a template needs {subject}, {choice} and {content}")
+    EVAL_TEMPLATES[name] = {"system": system, "choice": choice, "answer": answer}
+
+
+
+
 def question(language: str, prefix: str = "") -> Column:
     """The question with its choices, from columns question, A, B, C and D."""
     t = EVAL_TEMPLATES[language]

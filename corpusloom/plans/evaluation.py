@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tokens import joined, whitespace_words, within, without
+from corpusloom.functions import media, unigram
+from corpusloom.functions.tokens import ignored, joined, masked_prompt_labels, prefix_token_types, whitespace_words, within, without
+from corpusloom.functions.tokens import tokenizer as tokenizer_of
 from corpusloom.operators import evaluate, stats
 from corpusloom.operators.mix import random_key
 from corpusloom.plans.catalogue import query, table
@@ -259,3 +261,48 @@ def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda role: F.flatten(F.collect_list(F.when(F.col("role") == role, whitespace_words(F.col("text")))))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(words("user").alias("a"), words("assistant").alias("b")).filter("size(a) > 0 and size(b) > 0")
     return rows.select("conv_id", F.size(without(F.col("a"), F.col("b"))).cast("long").alias("only_asked"), F.size(joined(F.col("a"), F.col("b"))).cast("long").alias("either"), within(F.col("a"), F.col("b")).alias("inside"))
+
+
+@query("SELECT doc_id AS row_idx, source AS prompt, lang AS predict, text AS label FROM documents")
+def predictions_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of prompts, predictions and labels (their front ignored) back to texts."""
+    import public_tokenizers
+
+    tok = unigram.of_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), tok(F.col("source")).alias("prompt_ids"), tok(F.col("lang")).alias("predict_ids"), tok(F.col("text")).alias("__text"))
+    rows = rows.withColumn("label_ids", F.concat(ignored(F.size("prompt_ids")), F.col("__text"))).drop("__text")
+    return evaluate.decoded_predictions(rows, tok)
+
+
+@query("""WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n, doc_id % 40 AS k FROM documents)
+SELECT doc_id, least(k, n)::INT AS n_ignored, (n - least(k, n))::INT AS n_valid, n::INT AS n_front FROM x""")
+def prompt_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels whose first tokens, as many as a prompt has, are ignored, and token types behind images in front."""
+    ids = tokenizer_of("whitespace")(F.col("text"))
+    labels = masked_prompt_labels(F.col("ids"), (F.col("doc_id") % 40).cast("int"))
+    types = prefix_token_types(F.lit(2), 3, F.size("ids") + 6)
+    rows = table(spark, sf_dir, "documents").withColumn("ids", ids).select("doc_id", labels.alias("l"), types.alias("t"))
+    count = lambda c, v: F.size(F.filter(c, lambda x: x == v))
+    return rows.select("doc_id", count("l", -100).alias("n_ignored"), (F.size("l") - count("l", -100)).alias("n_valid"), count("t", 1).alias("n_front"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_quantity * 1e12) / (l_linenumber * 2.0) / (312.0 * 1e12 * 8), 12) AS used FROM lineitem""")
+def device_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = stats.utilisation(F.col("l_quantity") * 1e12, F.col("l_linenumber") * 2.0, 312.0, 8)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cents(used, 12).alias("used"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size * 30 + 20 AS h, p_size * 17 + 40 AS w FROM part),
+r AS (SELECT *, greatest(28, (round_even(h / 28.0, 0) * 28)::INT) AS h0, greatest(28, (round_even(w / 28.0, 0) * 28)::INT) AS w0, sqrt(h * w / 589824.0::DOUBLE) AS shrink, sqrt(1024.0::DOUBLE / (h * w)) AS grow FROM s),
+g AS (SELECT *, CASE WHEN h0 * w0 > 589824 THEN greatest(28, (floor(h / shrink / 28) * 28)::INT) WHEN h0 * w0 < 1024 THEN greatest(28, (ceil(h * grow / 28) * 28)::INT) ELSE h0 END AS h1,
+  CASE WHEN h0 * w0 > 589824 THEN greatest(28, (floor(w / shrink / 28) * 28)::INT) WHEN h0 * w0 < 1024 THEN greatest(28, (ceil(w * grow / 28) * 28)::INT) ELSE w0 END AS w1 FROM r)
+SELECT p_partkey, ((h // 14) * (w // 14) - 1)::INT AS flat, ((h1 // 14) * (w1 // 14) // 4)::INT AS merged, (ceil((p_partkey % 9 + 1) / 2.0)::INT * (h1 // 14) * (w1 // 14) // 4)::INT AS video,
+  ((h // 14) * (w // 14))::INT AS places FROM g""")
+def media_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of pictures and videos by their sizes, as several models count them."""
+    size = F.array(F.struct((F.col("p_size") * 30 + 20).alias("height"), (F.col("p_size") * 17 + 40).alias("width"), (F.col("p_partkey") % 9 + 1).cast("int").alias("frames")))
+    of = lambda name, kind, g=media.Geometry(): F.get(media.counts(name, kind, size, g), F.lit(0))
+    grid = of("pixtral", "image")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", of("llava", "image", media.Geometry(drop_first=True)).alias("flat"), of("qwen2_vl", "image").alias("merged"), of("qwen2_vl", "video").alias("video"), (grid["rows"] * grid["columns"]).alias("places"),
+    )

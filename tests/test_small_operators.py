@@ -128,3 +128,51 @@ def test_sinks_write_what_is_read_back(spark, tmp_path):
     drawn = spark.createDataFrame([("one", "<svg/>"), ("two", None)], "name string, svg_text string")
     sinks.save_drawings(drawn, str(tmp_path / "d"))
     assert [(r["name"], r["value"]) for r in spark.read.text(str(tmp_path / "d")).collect()] == [("one", "<svg/>")]
+
+
+def test_registered_counters_and_templates(spark):
+    from corpusloom.functions import media
+
+    sizes = spark.createDataFrame([([(336, 336, 8), (20, 5000, 1), None],)], "s array<struct<height:int,width:int,frames:int>>")
+
+    def smart(h, w, unit=28, most=768 * 768, least=1024):
+        a, b = max(unit, round(h / unit) * unit), max(unit, round(w / unit) * unit)
+        if a * b > most:
+            f = (h * w / most) ** 0.5
+            a, b = max(unit, int(h / f / unit) * unit), max(unit, int(w / f / unit) * unit)
+        elif a * b < least:
+            f = (least / (h * w)) ** 0.5
+            a, b = max(unit, -int(-h * f // unit) * unit), max(unit, -int(-w * f // unit) * unit)
+        return a // 14 * (b // 14) // 4
+
+    s = F.col("s")
+    got = sizes.select(media.counts("qwen2_vl", "image", s), media.counts("llava", "image", s, media.Geometry(extra=1, drop_first=True)), media.counts("llava_next_video", "video", s), media.counts("qwen2_audio", "audio", s)).first()
+    assert got[0] == [smart(336, 336), smart(20, 5000), None] and got[1] == [576, 357, None]
+    assert got[2] == [576 // 4 * 8, 357 // 4, None] and got[3] == [(((8 - 1) // 2 + 1) - 2) // 2 + 1, 0, None]
+    text = spark.createDataFrame([([("user", "<image> and <video>")], [(28, 56)], [(28, 28, 3)])], "m array<struct<role:string,content:string>>, i array<struct<height:int,width:int>>, v array<struct<height:int,width:int,frames:int>>")
+    made = text.select(media.process_sizes(F.col("m"), "qwen2_vl", media.Geometry(), image=F.col("i"), video=F.col("v")).alias("o")).first()["o"][0]["content"]
+    assert made == "<|vision_start|>" + "<|image_pad|>" * 2 + "<|vision_end|> and <|vision_start|>" + "<|video_pad|>" * 8 + "<|vision_end|>"
+    with pytest.raises(ValueError, match="by size"):
+        media.counts("mllama", "image", s)
+    with pytest.raises(ValueError, match="exists"):
+        media.register_counter("llava", "image", lambda m, g: m)
+    evaluate.register_eval_template("xx", "On {subject}.\n", "\n{choice}) {content}", "\n=>")
+    row = spark.createDataFrame([("q", "1", "2", "3", "4")], "question string, A string, B string, C string, D string")
+    assert row.select(evaluate.question("xx")).first()[0] == "q\nA) 1\nB) 2\nC) 3\nD) 4\n=>"
+    for bad in (("xx", "{subject}", "{choice}{content}"), ("yy", "none", "{choice}{content}")):
+        with pytest.raises(ValueError):
+            evaluate.register_eval_template(*bad, "")
+
+
+def test_benchmark_files(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('"What, then?\nTwo lines",a,b,c,d,A\nq2,1,2,3,4,D\n')
+    assert [(r["question"], r["D"], r["answer"]) for r in catalog.mmlu(spark, str(tmp_path / "m.csv")).collect()] == [("What, then?\nTwo lines", "d", "A"), ("q2", "4", "D")]
+    (tmp_path / "c.csv").write_text("id,question,A,B,C,D\n0,q,1,2,3,4\n")
+    assert catalog.ceval(spark, str(tmp_path / "c.csv")).select("answer", "explanation", "question").first()[:] == ("", "", "q")
+    (tmp_path / "cm.csv").write_text(",Question,A,B,C,D,Answer\n0,q,1,2,3,4,B\n")
+    got = catalog.cmmlu(spark, str(tmp_path / "cm.csv")).first().asDict()
+    assert got == {"question": "q", "A": "1", "B": "2", "C": "3", "D": "4", "answer": "B"}
+    built = []
+    stored = catalog.reload_or(spark, str(tmp_path / "none"), lambda: built.append(1) or spark.range(3))
+    stored.write.parquet(str(tmp_path / "some"))
+    assert built == [1] and catalog.reload_or(spark, str(tmp_path / "some"), lambda: 1 / 0).count() == 3 and catalog.reload_or(spark, None, lambda: spark.range(2)).count() == 2
