@@ -78,9 +78,10 @@ def padded(df: DataFrame, column: str, pad: int, batch: str, multiple: int = 8,
 
 
 def rotated(ids: Column, pad: int) -> Column:
-    """Leading pads moved to the end."""
-    lead = F.size(ids) - F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(ids)), lambda n: F.size(F.filter(F.slice(ids, 1, n), lambda x: x != pad))), lambda k: k > 0))
-    lead = F.when(F.size(ids) == 0, 0).otherwise(lead)
+    """Leading pads moved to the end; the list is gone through once."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("lead"))
+    step = lambda a, x: F.struct((a["n"] + (a["lead"] & (x == pad)).cast("int")).alias("n"), (a["lead"] & (x == pad)).alias("lead"))
+    lead = F.aggregate(ids, start, step, lambda a: a["n"])
     return F.concat(F.slice(ids, lead + 1, F.size(ids)), F.array_repeat(F.lit(pad), lead))
 
 

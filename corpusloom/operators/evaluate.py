@@ -32,6 +32,14 @@ def category_accuracy(df: DataFrame, category: str, correct: str) -> DataFrame:
     return out.select(F.when(F.col("__all") == 1, F.lit("Average")).otherwise(F.col(category)).alias("category"), "n", "accuracy")
 
 
+def categorised(df: DataFrame, subjects: DataFrame, subject: str = "subject", category: str = "category") -> DataFrame:
+    """Rows with the category of their subject, by a look-up table (subject, category); a subject that it lacks, or names twice, is an error."""
+    twice = F.raise_error(F.concat(F.lit("named twice: "), F.col(subject).cast("string"))).cast("string")
+    once = subjects.groupBy(subject).agg(F.count("*").alias("__n"), F.first(category).alias("__c")).withColumn("__c", F.when(F.col("__n") > 1, twice).otherwise(F.col("__c").cast("string"))).drop("__n")
+    missing = F.raise_error(F.concat(F.lit("no category: "), F.coalesce(F.col(subject).cast("string"), F.lit("null")))).cast("string")
+    return df.join(once, subject, "left").withColumn(category, F.coalesce("__c", missing)).drop("__c")
+
+
 def perplexity(df: DataFrame, key: str, nll: str, mask: str) -> DataFrame:
     """Per key exp of the mean masked loss; a corpus takes the mean of these."""
     return df.groupBy(key).agg(F.exp(F.sum(F.col(nll) * F.col(mask)) / F.sum(mask)).alias("perplexity"))

@@ -158,6 +158,13 @@ def mean_embedding(tokens: DataFrame, vectors: DataFrame, key: str, ids: str, ve
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda x: x["__m"]).alias("embedding"))
 
 
+def described_embedding(tokens: DataFrame, descriptions: DataFrame, vectors: DataFrame, tok, token: str = "token", description: str = "description", vector_id: str = "token_id", vector: str = "embedding") -> DataFrame:
+    """New tokens with the mean vector of the words that describe them; a token without a description, or with unknown words only, has none."""
+    told = tokens.join(descriptions.select(token, tok(F.col(description)).alias("__ids")), token, "left")
+    means = mean_embedding(told.filter("__ids is not null"), vectors, token, "__ids", vector_id, vector)
+    return tokens.join(means, token, "left")
+
+
 def noisy_mean(vectors: DataFrame, vector: str, seed: int = 0) -> DataFrame:
     """The mean of all vectors plus normal noise of deviation 1 / sqrt(dimension)."""
     means = vectors.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))

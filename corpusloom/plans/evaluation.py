@@ -306,3 +306,22 @@ def media_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", of("llava", "image", media.Geometry(drop_first=True)).alias("flat"), of("qwen2_vl", "image").alias("merged"), of("qwen2_vl", "video").alias("video"), (grid["rows"] * grid["columns"]).alias("places"),
     )
+
+
+@query("""SELECT coalesce(r_name, 'Average') AS category, count(*) AS n, round(avg((c_acctbal > 0)::INT) * 100, 6) AS accuracy FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), ())""")
+def accuracy_by_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per category of the subjects, which a table tells: customers by the region of their nation."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    subjects = nations.select(F.col("n_nationkey").alias("subject"), F.col("r_name").alias("category"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject"), (F.col("c_acctbal") > 0).alias("right"))
+    return evaluate.category_accuracy(evaluate.categorised(rows, subjects), "category", "right").withColumn("accuracy", cents("accuracy"))
+
+
+@query("""WITH w AS (SELECT label AS token, unnest([vec_id, vec_id, vec_id % 7]) AS token_id FROM embeddings WHERE vec_id % 3 = 0), v AS (SELECT vec_id AS token_id, embedding FROM embeddings)
+SELECT token, i::INT - 1 AS i, round(avg(embedding[i]::DOUBLE), 6) AS v FROM w JOIN v USING (token_id), range(1, 65) g(i) GROUP BY 1, 2""")
+def described_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New tokens (labels) told by lists of known ones; their words count as often as they stand there."""
+    vectors = table(spark, sf_dir, "embeddings")
+    told = vectors.filter("vec_id % 3 = 0").groupBy("label").agg(F.flatten(F.collect_list(F.array("vec_id", "vec_id", F.col("vec_id") % 7))).alias("description"))
+    out = stats.described_embedding(vectors.select(F.col("label").alias("token")).distinct(), told.withColumnRenamed("label", "token"), vectors.withColumnRenamed("vec_id", "token_id"), lambda c: c)
+    return out.filter("embedding is not null").select("token", F.posexplode("embedding").alias("i", "v")).withColumn("v", cents("v"))

@@ -176,3 +176,19 @@ def test_benchmark_files(spark, tmp_path):
     stored = catalog.reload_or(spark, str(tmp_path / "none"), lambda: built.append(1) or spark.range(3))
     stored.write.parquet(str(tmp_path / "some"))
     assert built == [1] and catalog.reload_or(spark, str(tmp_path / "some"), lambda: 1 / 0).count() == 3 and catalog.reload_or(spark, None, lambda: spark.range(2)).count() == 2
+
+
+def test_lookups_and_rotation(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "subject string, x int")
+    table = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "subject string, category string")
+    assert sorted(map(tuple, evaluate.categorised(rows.filter("subject is not null"), table).collect())) == [("a", 1, "A"), ("b", 2, "B")]
+    for bad, t in ((rows, table), (rows.limit(2), table.union(table)), (rows.limit(2), table.limit(1))):
+        with pytest.raises(Exception, match="no category|twice"):
+            evaluate.categorised(bad, t).collect()
+    ids = spark.createDataFrame([([0, 0, 5, 0, 6],), ([0, 0],), ([],), ([1, 0],), (None,)], "i array<int>")
+    assert [r[0] for r in ids.select(tokens.rotated(F.col("i"), 0)).collect()] == [[5, 0, 6, 0, 0], [0, 0], [], [1, 0], None]
+    new = spark.createDataFrame([("x",), ("y",), ("z",)], "token string")
+    told = spark.createDataFrame([("x", [1, 1, 2]), ("y", [9])], "token string, description array<int>")
+    vectors = spark.createDataFrame([(1, [0.0, 3.0]), (2, [3.0, 0.0])], "token_id int, embedding array<double>")
+    got = {r["token"]: r["embedding"] for r in stats.described_embedding(new, told, vectors, lambda c: c).collect()}
+    assert got == {"x": [1.0, 2.0], "y": None, "z": None}
