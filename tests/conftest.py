@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # small matrices; threads that wait for each other are slow on a busy machine
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
 
