@@ -275,7 +275,9 @@ def recordings(vectors: DataFrame) -> DataFrame:
     base = F.when(copy, F.col("vec_id") - F.pmod("vec_id", F.lit(100))).cast("long")
     both = vectors.withColumn("base", base).join(leads, F.col("base") == F.col("lead"), "left")
     drop = F.when(copy & F.col("led").isNotNull(), F.pmod(F.floor(F.col("vec_id") / 10), F.lit(DROPPED)) + 1).otherwise(F.lit(0)).cast("int")
-    return both.select("vec_id", F.struct(F.coalesce("led", "embedding").alias("vector"), drop.alias("drop"), F.pmod("vec_id", F.lit(1 << 31)).alias("seed")).alias("audio"))
+    out = both.select("vec_id", F.struct(F.coalesce("led", "embedding").alias("vector"), drop.alias("drop"), F.pmod("vec_id", F.lit(1 << 31)).alias("seed")).alias("audio"))
+    # rows are small and the work on each is not, so a join's merged partitions would leave it to a task or two
+    return out.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def played(cell: dict | None) -> bytes | None:
